@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from strandex.llm import preference, quality
+from strandex.llm import bpe, mixing, preference, quality, token_files, urls
 
 QUERIES = {
     "op1_preference_format": preference.op1_preference_format,
+    "op4_source_mixing": mixing.op4_source_mixing,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_token_files": token_files.op7_token_files,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_url_filter": urls.op10_url_filter,
 }
 
 ORACLES = {
