@@ -235,3 +235,33 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out._scratch_path = e._scratch_path
     return out
+
+
+# --- a filter of bounded size -------------------------------------------------------------------------------------
+
+
+class KeyFilter:
+    """A bit for each hashed key: 2**BITS bits whatever the number of keys. It lets every key through that it was built from and some others,
+    so it only ever saves work before an exact join."""
+
+    BITS = 24
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> KeyFilter:
+        """keys: one bigint column. What comes to the driver is at most 2**18 words of 64 bits."""
+        h = F.shiftrightunsigned(F.xxhash64(F.col(keys.columns[0])), 64 - cls.BITS)
+        masks = keys.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{keys.columns[0]}`), {64 - cls.BITS}) & 63 as int))").alias("m"))
+        got = masks.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        words = np.zeros(1 << (cls.BITS - 6), np.int64)
+        words[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return cls(words)
+
+    def column(self, key: str) -> Column:
+        """The hash to hand to test(): computed in Spark, where the filter's hash lives."""
+        return F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - self.BITS)
+
+    def test(self, hashed: np.ndarray) -> np.ndarray:
+        return (self.words[hashed >> 6] >> (hashed & 63)) & 1 == 1

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from strandex.llm import bpe, mixing, preference, quality, token_files, urls
+from strandex.llm import bpe, embeddings, mixing, preference, quality, shingles, token_files, urls
 
 QUERIES = {
     "op1_preference_format": preference.op1_preference_format,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,
     "op7_token_files": token_files.op7_token_files,
+    "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_filter": urls.op10_url_filter,
 }
 
 ORACLES = {
     "op1_preference_format": preference.SQL,
+    "op8_embedding_near_dedup": embeddings.SQL,
 }
