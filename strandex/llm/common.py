@@ -250,18 +250,19 @@ class KeyFilter:
         self.words = words
 
     @classmethod
-    def of(cls, keys: DataFrame) -> KeyFilter:
-        """keys: one bigint column. What comes to the driver is at most 2**18 words of 64 bits."""
-        h = F.shiftrightunsigned(F.xxhash64(F.col(keys.columns[0])), 64 - cls.BITS)
-        masks = keys.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{keys.columns[0]}`), {64 - cls.BITS}) & 63 as int))").alias("m"))
+    def place(cls, key: str, uniform: bool = False) -> Column:
+        """Where a bigint key's bit is: of its hash, or of the key itself if it is a hash already."""
+        return F.shiftrightunsigned(F.col(key) if uniform else F.xxhash64(F.col(key)), 64 - cls.BITS)
+
+    @classmethod
+    def of(cls, keys: DataFrame, uniform: bool = False) -> KeyFilter:
+        """keys: one bigint column. What comes to the driver is at most 2**(BITS - 6) words of 64 bits."""
+        at = keys.select(cls.place(keys.columns[0], uniform).alias("at"))
+        masks = at.select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("m"))
         got = masks.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
         words = np.zeros(1 << (cls.BITS - 6), np.int64)
         words[got.column(0).to_numpy()] = got.column(1).to_numpy()
         return cls(words)
 
-    def column(self, key: str) -> Column:
-        """The hash to hand to test(): computed in Spark, where the filter's hash lives."""
-        return F.shiftrightunsigned(F.xxhash64(F.col(key)), 64 - self.BITS)
-
-    def test(self, hashed: np.ndarray) -> np.ndarray:
-        return (self.words[hashed >> 6] >> (hashed & 63)) & 1 == 1
+    def test(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63)) & 1 == 1

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from strandex.llm import bpe, embeddings, mixing, preference, quality, shingles, token_files, urls
+from strandex.llm import bpe, embeddings, language_model, lines, mixing, preference, quality, shingles, token_files, urls
 
 QUERIES = {
     "op1_preference_format": preference.op1_preference_format,
+    "op2_cross_entropy_difference": language_model.op2_cross_entropy_difference,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_ngram_jaccard_join": shingles.op6_ngram_jaccard_join,

@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratc
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = rows.withColumn("h", wanted.column("doc_id")).mapInArrow(run, "id bigint, set array<bigint>")
+    sets = rows.withColumn("h", KeyFilter.place("doc_id")).mapInArrow(run, "id bigint, set array<bigint>")
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
