@@ -56,7 +56,7 @@ def rescued(text: Column) -> Column:
 def strings(text: Column, otherwise: Column, most: int = 4) -> Column:
     """The trimmed, non-empty strings of the first JSON array, at most so many; else an array of one."""
     found = F.from_json(F.regexp_extract(text, r"(?s)\[.*\]", 0), "array<string>")
-    kept = F.slice(F.filter(F.transform(found, F.trim), lambda s: s != ""), 1, most)
+    kept = F.slice(F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != ""), 1, most)
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(otherwise))
 
 
@@ -64,7 +64,7 @@ def plan(text: Column, question: Column) -> Column:
     """struct<strategy, queries, reasoning>: an unknown strategy is targeted, a targeted plan without queries asks the question."""
     parsed = F.from_json(braces(text), "strategy string, queries array<string>, reasoning string")
     strategy = F.when(F.lower(parsed.strategy) == "broadcast", F.lit("broadcast")).otherwise("targeted")
-    queries = F.filter(F.transform(F.coalesce(parsed.queries, F.expr("array()").cast("array<string>")), F.trim), lambda q: q != "")
+    queries = F.filter(F.transform(F.coalesce(parsed.queries, F.expr("array()").cast("array<string>")), lambda s: F.trim(s)), lambda q: q != "")
     failed = F.try_parse_json(braces(text)).isNull()
     queries = F.when((strategy == "targeted") & (F.size(queries) == 0), F.array(question)).otherwise(queries)
     return F.struct(strategy.alias("strategy"), queries.alias("queries"), F.when(failed, F.lit("parse_failed")).otherwise(F.coalesce(parsed.reasoning, F.lit(""))).alias("reasoning"))
@@ -91,7 +91,7 @@ def integers(text: Column) -> Column:
 
 def joined(values: Column) -> Column:
     """An array's non-blank items as one string."""
-    return F.array_join(F.filter(F.transform(values, F.trim), lambda s: s != ""), "; ")
+    return F.array_join(F.filter(F.transform(values, lambda s: F.trim(s)), lambda s: s != ""), "; ")
 
 
 def permutation(order: Column, n: Column) -> Column:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from strandex.functions import parsing, text, vector
 from strandex.operators import dedup, joins, retrieval, sequence, verdict
+from strandex.plans import providers
+from strandex.plans import retrieval as plans
+from strandex.scratch import written
 from strandex.session import table
 
 QUERIES: dict = {}
@@ -148,7 +151,7 @@ def query_drift_filter(spark, d):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS k FROM conversations WHERE role = 'user'),
-p AS (SELECT a.conv_id, a.turn, max(CASE WHEN len(a.k) = 0 OR len(b.k) = 0 THEN 0.0 ELSE len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) END) AS nearest
+p AS (SELECT a.conv_id, a.turn, max(CASE WHEN b.k IS NULL THEN NULL WHEN len(a.k) = 0 OR len(b.k) = 0 THEN 0.0 ELSE len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) END) AS nearest
       FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn < a.turn GROUP BY 1, 2)
 SELECT conv_id, turn, round(nearest, 6) AS nearest, coalesce(nearest < 0.1, TRUE) AS kept FROM p""")
 def query_jaccard_filter(spark, d):
@@ -555,3 +558,47 @@ def resize_and_backoff(spark, d):
 def numbered_evidence(spark, d):
     t = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.substring(s.text, 1, 20))
     return table(spark, d, "conversations").groupBy("conv_id").agg(t.alias("t")).select("conv_id", text.numbered(F.col("t")).alias("evidence"))
+
+
+# --- plans --------------------------------------------------------------------------------------------------------
+
+
+def documents_as_chunks(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("source").alias("video_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("memory_text"), providers.HashEmbedder()(F.col("text")).alias("v_dynamic"))
+
+
+def benchmark_samples(spark, d):
+    """Each benchmark text asks one source; its options are its first four words."""
+    b = table(spark, d, "benchmark")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    return b.select(F.col("item_id").alias("sample_key"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("video_id"), F.col("text").alias("question"), F.col("text").alias("query"), F.slice(words, 1, 4).alias("candidates"), F.lit("A").alias("gold"))
+
+
+@query("""WITH words AS (SELECT 'd' AS side, doc_id AS id, source AS video, unnest(string_split_regex(lower(text), '\\s+')) AS t FROM documents
+  UNION ALL SELECT 'q', item_id, 'src' || (item_id % 20), unnest(string_split_regex(lower(text), '\\s+')) FROM benchmark),
+n AS (SELECT side, id, video, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS c FROM words WHERE t <> '' GROUP BY ALL),
+u AS (SELECT side, id, video, b, c / (sqrt(sum(c * c) OVER (PARTITION BY side, id)) + 1e-12) AS x FROM n),
+s AS (SELECT q.id AS sample_key, d.id AS chunk_id, round(sum(q.x * d.x), 6) AS score FROM u q JOIN u d ON q.side = 'q' AND d.side = 'd' AND q.video = d.video AND q.b = d.b GROUP BY 1, 2)
+SELECT sample_key, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_key ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 8""")
+def coarse_rag(spark, d):
+    top = plans.coarse_rag(benchmark_samples(spark, d), documents_as_chunks(spark, d), providers.HashEmbedder())
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(None)
+def iterative_loop(spark, d):
+    answers, _ = plans.run_loop(benchmark_samples(spark, d), written(documents_as_chunks(spark, d), "chunks"), providers.HashEmbedder())
+    return answers
+
+
+@query(None)
+def iterative_loop_trace(spark, d):
+    _, trace = plans.run_loop(benchmark_samples(spark, d), written(documents_as_chunks(spark, d), "chunks"), providers.HashEmbedder())
+    return trace
+
+
+@query(None)
+def repeated_question_loop(spark, d):
+    answers, _ = plans.repeated_question(benchmark_samples(spark, d), written(documents_as_chunks(spark, d), "chunks"), providers.HashEmbedder())
+    return answers
