@@ -23,14 +23,17 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandex.llm.bpe import pieces
 from strandex.llm.common import Scratch, slices, small_batches, table
 
 MAGIC, BLOCK, END_ID = b"SPLN1", 1 << 16, 2
@@ -144,54 +147,69 @@ class ShardReader:
             rest = flat[n:]
 
 
-class WordEncoder:
-    """The tokenizers library, asked once for each word.
+class PieceEncoder:
+    """The tokenizers library, asked once for each piece.
 
-    The library's byte-level pre-tokeniser always cuts before a single blank that stands between two characters that aren't white space, so
-    a text's ids are those of its parts between such cuts. Parts are remembered up to a bound; a part not seen before goes to the
-    library, many at a time.
+    Texts are cut by the array scanner of bpe.py, whose pattern is that of the library's byte-level pre-tokeniser; a piece not seen before goes
+    to the library's model in its alphabet of bytes. Pieces are remembered up to a bound, then anew. Texts with code points that the library's
+    older Unicode tables may class otherwise go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        split = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The library's character for each byte, read off from enough texts of one character to see all bytes of UTF-8.
+        self.letters = {}
+        for c in map(chr, [*range(0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x110000, 4096)]):
+            self.letters |= dict(zip(c.encode(), split.pre_tokenize_str(c)[0][0], strict=True))
         self.cached = cached
-        self.cache: dict[str, np.ndarray | tuple[int, ...]] = {}
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        words = text.split(" ")
-        out = words[:1]
-        for w in words[1:]:
-            last = out[-1]
-            if w and last and not w[0].isspace() and not last[-1].isspace():
-                out.append(" " + w)
-            else:
-                out[-1] = last + " " + w
-        return [w for w in out if w]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        split = [self.parts(t) for t in texts]
-        if len(self.cache) > self.cached:
-            self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in split for w in ws}.difference(cache))
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            cache.update(zip(some, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        for ws in split:
-            yield [i for w in ws for i in cache[w]]
-
-
-_OPEN: dict[str, WordEncoder] = {}
-
-
-def word_encoder(path: str) -> WordEncoder:
+        self._forget()
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Pieces become rows of a table of ids, and the texts' ids are gathered from it at once."""
+        odd = [not t.isascii() and bool(_NEWER.search(t)) for t in texts]
+        raw, start, end, upto = pieces(["" if o else t for t, o in zip(texts, odd, strict=True)])
+        found = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        if len(self.row) > self.cached:
+            self._forget()
+        row, model, letters = self.row, self.tokenizer.model, self.letters
+        if new := set(found).difference(row):
+            got = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in new]
+            row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
+            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
+            self.start = np.cumsum(self.size) - self.size
+        at = np.fromiter(map(row.__getitem__, found), np.int64, len(found))
+        n = self.size[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.start[at] - before[:-1], n) + np.arange(before[-1])]
+        stop = before[upto]
+        for t, o, i, j in zip(texts, odd, np.concatenate([[0], stop[:-1]]).tolist(), stop.tolist(), strict=True):
+            yield np.array(self.whole(t), np.uint32) if o else ids[i:j]
+
+    def _forget(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+
+#: Code points outside the blocks of common scripts and symbols, where the tables agree.
+_NEWER = regex.compile(r"[^\x00-\u052f\u1e00-\u1eff\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
+
+
+_OPEN: dict[str, PieceEncoder] = {}
+
+
+def piece_encoder(path: str) -> PieceEncoder:
     if path not in _OPEN:
-        _OPEN[path] = WordEncoder(path)
+        _OPEN[path] = PieceEncoder(path)
     return _OPEN[path]
 
 
@@ -210,7 +228,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, key: str = "doc_id",
     def run(batches):
         name = f"part-{TaskContext.get().partitionId():07d}-{uuid.uuid4().hex}.spln"
         writer, sink, first = None, None, None
-        encode = word_encoder(tokenizer).encode
+        encode = piece_encoder(tokenizer).encode
         for batch in batches:
             for part in slices(batch, text):
                 docs = part.column(0).to_pylist()
@@ -220,7 +238,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, key: str = "doc_id",
                         where.create_dir(path, recursive=True)
                         sink, first = where.open_output_stream(f"{path}/{name}"), doc
                         writer = ShardWriter(sink, bits)
-                    writer.add(doc, np.array([*ids, end_id] if end_id is not None else ids, np.uint32))
+                    writer.add(doc, np.append(ids, np.uint32(end_id)) if end_id is not None else ids)
         if writer:
             writer.close()
             sink.close()
