@@ -25,7 +25,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from strandex.llm.common import slices, small_batches, table
@@ -88,13 +87,16 @@ _CLASSES: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
-    """The class of every code point, built once a process from Unicode's properties. (regex knows a newer Unicode than unicodedata.)"""
+    """The class of every code point, built once a process from the Unicode tables of the library whose ids ours must equal: an encoder of
+    single bytes that passes over whatever isn't in a class hands the class back."""
     if not _CLASSES:
+        import tiktoken
+
         out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
-        every = "".join(map(chr, range(sys.maxunicode + 1)))
-        for of, run in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
-            for m in regex.finditer(run, every):
-                out[m.start() : m.end()] = of
+        every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+        for of, one in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}")):
+            only = tiktoken.Encoding("class", pat_str=one, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+            out[np.frombuffer(bytes(only.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = of
         out[list(WHITE)] = GAP
         out[32] = BLANK
         _CLASSES.append(out)
