@@ -131,9 +131,9 @@ def _as_chunks(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.CHUNK])
 
 
-def bank_files(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of all layers of one-file banks."""
-    banks = spark.read.schema(schemas.BANK).option("multiLine", True).json(path)
+def bank_files(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """Chunks of all layers of banks: one document a file, or one a line as save_banks writes them."""
+    banks = spark.read.schema(schemas.BANK).option("multiLine", not one_a_line).json(path)
     rows = None
     for k, c in ((1, "chunks"), (2, "l2_chunks"), (3, "l3_chunks"), (4, "l4_chunks")):
         layer = banks.select("video_id", F.lit(k).alias("layer"), F.explode(c).alias("c")).select("video_id", "layer", "c.*")
@@ -203,8 +203,8 @@ def pyramid_banks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bank(spark: SparkSession, path: str, kind: str = "file") -> DataFrame:
-    """Chunks of a collection of banks of one kind: file, legacy or pyramid."""
-    return {"file": bank_files, "legacy": legacy_banks, "pyramid": pyramid_banks}[kind](spark, path)
+    """Chunks of a collection of banks of one kind: file, lines, legacy or pyramid."""
+    return {"file": bank_files, "lines": lambda s, p: bank_files(s, p, True), "legacy": legacy_banks, "pyramid": pyramid_banks}[kind](spark, path)
 
 
 def keyframes(chunks: DataFrame, frames: DataFrame, fallback: DataFrame | None = None) -> DataFrame:

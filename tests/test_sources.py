@@ -70,7 +70,7 @@ def test_banks_round_trip(spark, tmp_path):
     rows = [("v", 1, 1, 0.0, 4.0, "b"), ("v", 1, 0, 0.0, 2.0, "a"), ("v", 2, 100000, 0.0, 4.0, "up"), ("w", 1, 0, 0.0, 9.0, "c")]
     c = chunk_rows(spark, rows)
     writers.save_banks(c, str(tmp_path / "banks"))
-    got = readers.bank(spark, str(tmp_path / "banks")).collect()
+    got = readers.bank(spark, str(tmp_path / "banks"), "lines").collect()
     assert sorted((r.video_id, r.layer, r.chunk_id, r.memory_text) for r in got) == sorted((a, b, k, t) for a, b, k, _, _, t in rows)
     writers.save_layers(c, str(tmp_path / "layers"))
     assert writers.done_layers(spark, str(tmp_path / "layers")) == {1, 2} and writers.done_layers(spark, str(tmp_path / "none")) == set()
