@@ -14,7 +14,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalise(v: Column, epsilon: float = 1e-12) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / (F.sqrt(dot(v, v)) + epsilon))
+    """v over its length; the length is bound once, not evaluated for each element."""
+    return F.transform(F.array(F.sqrt(dot(v, v)) + epsilon), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
 def max_similarity(v: Column, others: Column) -> Column:

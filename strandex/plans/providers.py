@@ -25,7 +25,7 @@ class HashEmbedder:
     def __call__(self, text: Column) -> Column:
         words = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
         at = F.transform(words, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % self.dim)
-        counts = F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))[0]
+        counts = F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(self.dim - 1).cast("bigint")), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double")))[0]
         return F.transform(F.array(counts), lambda c: l2_normalise(c))[0]
 
 
