@@ -10,7 +10,8 @@ Inside: the numbers of shingles by group (DIMS groups) are a point; sum over gro
 bucket's members are held against its smallest id: bounded, then verified on the sets. The buckets that still hold more than one component
 are cut into blocks, and each block is an R-tree of count vectors, whose nodes keep the largest count of each group and the smallest size:
 a probe descends only where the summed minima reach the overlap it needs. Pairs of different components that survive are verified too.
-So thousands of copies cost a star, not all their pairs, and documents that share much but not enough die by the bound.
+A signature also keeps the parity of BITS finer groups: where two parities differ the sets differ, which bounds the overlap once more.
+So thousands of copies cost a star, not all their pairs, and documents that share much but not enough die by the bounds.
 
 Defined cases: a null or empty text, or one without words, is an empty set, linked with nothing; a text with fewer words than a shingle
 has its whole word sequence as the one shingle; repeated rows fold; a null id is never a component's name unless alone; further columns
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from strandex.llm.common import KeyFilter, Scratch, components, mix, slices, small_batches, table, word_hashes
 
 DIMS, FANOUT, BLOCK, RATIO = 32, 16, 256, 1.5
+#: Groups whose parity a signature keeps, and the largest count it holds: beyond, all counts are FULL and bound nothing.
+BITS, FULL = 1024, 65535
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -97,6 +100,31 @@ def points(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def packed(sets: list[np.ndarray]) -> pa.Array:
+    """Count vectors as 16-bit numbers, then parities as bits."""
+    p = points(sets)
+    p[(p >= FULL).any(axis=1)] = FULL
+    out = []
+    for s, counts in zip(sets, p.astype("<u2"), strict=True):
+        odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+        out.append(counts.tobytes() + np.packbits(odd.astype(np.uint8)).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked(column) -> tuple[np.ndarray, np.ndarray]:
+    """(count vectors, parities as 64-bit words)."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * DIMS + BITS // 8)
+    return np.ascontiguousarray(raw[:, : 2 * DIMS]).view("<u2").astype(np.int32), np.ascontiguousarray(raw[:, 2 * DIMS :]).view(np.uint64)
+
+
+def could_link(counts, odd, sizes, percent: int) -> np.ndarray:
+    """For pairs given side by side: whether summed minima and differing parities leave the overlap they need."""
+    bound = np.minimum(*counts).sum(axis=1, dtype=np.int64)
+    bound[bound >= DIMS * FULL] = 1 << 60
+    differ = np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1, dtype=np.int64)
+    return np.minimum(bound, (sizes[0] + sizes[1] - differ) // 2) >= needed(*sizes, percent)
+
+
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap of sets of sizes a and b that link: 100 * overlap >= percent * union."""
     return -(-(percent * (a + b)) // (100 + percent))
@@ -133,7 +161,8 @@ class CountTree:
             n = sizes[probe]
             fits = (100 * np.minimum(n, high[node]) >= percent * np.maximum(n, low[node]))
             probe, node = probe[fits], node[fits]
-            bound = np.minimum(vectors[probe], largest[node]).sum(axis=1)
+            bound = np.minimum(vectors[probe], largest[node]).sum(axis=1, dtype=np.int64)
+            bound[bound >= DIMS * FULL] = 1 << 60
             live = bound >= needed(sizes[probe], low[node], percent)
             probe, node = probe[live], node[live]
             if level < 0:
@@ -146,32 +175,76 @@ class CountTree:
         raise AssertionError
 
 
-def signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprint halves, the count vector and the bucket keys of every row."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, two fingerprint halves and the count vector of every row."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(part.column(1), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *fingerprints(sets), packed(sets)], names=["doc_id", "n_shingles", "f1", "f2", "point"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, point binary")
+
+
+def fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit sums over each set: equal sets, and for all practical purposes only they, agree in both."""
+    one = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    two = [int(mix(s * np.uint64(0xD1342543DE82EF95) + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    return [pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+
+
+def dealt_keys(docs: DataFrame, chosen: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, rep) of every bucket of the chosen documents (doc_id, g1, g2: their fingerprint), one of several equal rows."""
     classes = Classes(percent)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column(1), words)
-                first = [int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                second = [int(mix(s * np.uint64(0xD1342543DE82EF95) + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([p.tobytes() for p in points(sets).astype("<u4")], pa.binary()), pa.array([bucket_keys(s, classes) for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "f1", "f2", "point", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), *fingerprints(sets), pa.array([bucket_keys(s, classes) for s in sets], pa.list_(pa.int64()))], names=["rep", "f1", "f2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, point binary, keys array<bigint>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "rep bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    rows = rows.where(F.size("keys") > 0).join(chosen, F.col("rep") == F.col("doc_id")).where("f1 = g1 and f2 = g2").dropDuplicates(["rep", "f1", "f2"])
+    return rows.select(F.explode("keys").alias("key"), "rep")
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """key, rep, center (the key's smallest rep) of all rows whose key occurs twice or more.
+
+    One shuffle: rows are dealt and sorted by key, outside memory if need be, and each task walks its sorted rows holding no more than a
+    batch and the current key's first row, so a key with very many rows is streamed, not gathered."""
+
+    def run(batches):
+        last_key, first, shown = None, None, True
+        for batch in batches:
+            key, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            again = np.concatenate([[last_key is not None and key[0] == last_key], key[1:] == key[:-1]])
+            start = np.flatnonzero(~again)
+            of = np.searchsorted(start, np.arange(len(key)), "right") - 1  # -1: the run that came with the last batch
+            center = np.where(of >= 0, rep[start[of]] if len(start) else 0, first if first is not None else 0)
+            followed = np.concatenate([again[1:], [False]])
+            out = np.flatnonzero(again | (~again & followed))
+            k, r, c = key[out], rep[out], center[out]
+            if again[0] and not shown:
+                k, r, c = np.append(k, last_key), np.append(r, first), np.append(c, first)
+            last_key, first, shown = key[-1], center[-1], bool(again[-1])
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r), pa.array(c)], names=["key", "rep", "center"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "key bigint, rep bigint, center bigint")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose summed minima reach the overlap they need."""
+    """The pairs (a, b) that the bounds leave."""
 
     def run(batches):
         for batch in batches:
             n = [batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)]
-            p = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").astype(np.int64).reshape(-1, DIMS) for i in (3, 5)]
-            live = np.minimum(*p).sum(axis=1) >= needed(*n, percent)
+            counts, odd = zip(*(unpacked(batch.column(i)) for i in (3, 5)), strict=True)
+            live = could_link(counts, odd, n, percent)
             yield batch.select(["a", "b"]).filter(pa.array(live))
 
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
@@ -180,9 +253,21 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.where(fits).mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) that link, by their sets. Sets are made anew for the documents in question only, behind a filter of fixed size."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def parity(s: np.ndarray) -> bytes:
+    """The parity of about two groups a shingle, a power of two of them, as bits. A longer one folds to a shorter by exclusive or."""
+    bits = max(64, 1 << (2 * max(1, len(s)) - 1).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(30)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many groups two parities differ: at most as many as shingles in which the sets differ."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def of_documents(ids: DataFrame, docs: DataFrame, words: int, schema: str, make) -> DataFrame:
+    """id and what make gives for the sets of the documents in ids (and of a few others): one pass over the texts, which stay where they are,
+    behind a filter of fixed size."""
     wanted = KeyFilter.of(ids)
     box = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -191,16 +276,45 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratc
         for batch in batches:
             batch = batch.filter(pa.array(keep.test(batch.column(2).to_numpy(zero_copy_only=False))))
             for part in slices(batch, "text"):
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1), words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                yield make(part.column(0), shingle_sets(part.column(1), words))
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = rows.withColumn("h", KeyFilter.place("doc_id")).mapInArrow(run, "id bigint, set array<bigint>")
+    return rows.withColumn("h", KeyFilter.place("doc_id")).mapInArrow(run, schema)
+
+
+def narrowed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that parities as long as the sets leave: a few bits a shingle spare most of the sets' way to each other."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def make(id_, sets):
+        return pa.RecordBatch.from_arrays([id_, pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())], names=["id", "n", "p"])
+
+    def run(batches):
+        for batch in batches:
+            na, pa_, nb, pb = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            d = np.array([differing(x, y) for x, y in zip(pa_, pb, strict=True)], np.int64)
+            na, nb = np.array(na, np.int64), np.array(nb, np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((na + nb - d) // 2 >= needed(na, nb, percent), pa.bool_()))
+
+    found = of_documents(ids, docs, words, "id bigint, n bigint, p binary", make)
+    side = lambda x: found.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their sets, which are made anew for the documents in question only."""
+    pairs = scratch.save(narrowed(pairs, docs, words, percent), "narrowed")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def make(id_, sets):
+        return pa.RecordBatch.from_arrays([id_, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "set"])
+
+    sets = of_documents(ids, docs, words, "id bigint, set array<bigint>", make)
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "sb"}), "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
     out = scratch.save(both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct(), "linked")
-    scratch.drop(sets)
+    scratch.drop(sets, pairs)
     return out
 
 
@@ -226,7 +340,7 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for t, cut in groups(batches):
             side, rep, comp, size = (t.column(c).to_numpy() for c in ("side", "rep", "comp", "n_shingles"))
-            point = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").astype(np.int32).reshape(-1, DIMS)
+            point, odd = unpacked(t.column("point"))
             a, b = [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 own, meet = (lo + np.flatnonzero(side[lo:hi] == s) for s in (0, 1))
@@ -234,7 +348,9 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     continue
                 probe, row = CountTree(point[own], size[own]).search(point[meet], size[meet], percent)
                 x, y = meet[probe], own[row]
-                live = comp[x] != comp[y]
+                apart = comp[x] != comp[y]
+                x, y = x[apart], y[apart]
+                live = could_link((point[x], point[y]), (odd[x], odd[y]), (size[x], size[y]), percent)
                 a.append(np.minimum(rep[x], rep[y])[live])
                 b.append(np.maximum(rep[x], rep[y])[live])
             if a:
@@ -249,22 +365,20 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    sig = scratch.save(signatures(docs, words, percent), "signatures")
+    sig = scratch.save(signatures(docs, words), "signatures")
     classes = sig.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     classes = scratch.save(classes, "classes")
-    named = classes.select(F.col("rep").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    reps = sig.join(named, "doc_id").where("f1 = g1 and f2 = g2").dropDuplicates(["doc_id", "f1", "f2"])
-    reps = scratch.save(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "point", "keys"), "reps")
-    keys = reps.select("rep", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = scratch.save(keys.join(shared, "key"), "shared")
+    named = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), F.col("f1").alias("g1"), F.col("f2").alias("g2"))
+    reps = sig.join(named, "doc_id").where("f1 = g1 and f2 = g2").select(F.col("doc_id").alias("rep"), "n_shingles", "point")
+    shared = scratch.save(shared_keys(dealt_keys(docs, named, words, percent)), "shared")
+    reps = scratch.save(reps.join(shared.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep", "n_shingles", "point"]), "reps")
     star = shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     star = scratch.save(bounded(star, reps, percent), "star")
     links = verified(star, docs, words, percent, scratch)
     comp = components(links, scratch)
     # Buckets that hold more than one component, cut into blocks.
-    tagged = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("comp"))
-    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    tagged = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("key", "m")
     rows = tagged.join(mixed, "key").join(reps.select("rep", "n_shingles", "point"), "rep")
     rows = rows.withColumns({"nb": F.floor(F.col("m") / BLOCK) + 1}).withColumn("own", F.pmod(F.xxhash64("rep"), "nb"))
     cols = ["rep", "comp", "n_shingles", "point"]
