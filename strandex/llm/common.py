@@ -148,7 +148,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19):
     """Parts of a batch with at most so many bytes of text each, or a single row: the temporary arrays stay small whatever the rows hold."""
     col = batch.column(batch.schema.get_field_index(column))
     sizes = np.zeros(len(col), np.int64)
