@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles, as 64-bit hashes. Equal set
 
 Which sets can meet: two sets with Jaccard similarity t or more differ in at most r = n(1/t - 1) shingles, n being the smaller one's size.
 Shingles are hashed into more than r groups, so a linked pair has equal content in one group at least: documents are dealt by (size
-class, group, content) and no pair is compared outside such a bucket.
+class, group, content) and no pair is compared outside such a bucket. Empty groups, which unrelated sets have in common, count only for
+the few sets that fill no more than r groups.
 
 Inside: the numbers of shingles by group (DIMS groups) are a point; sum over groups of min(a, b) bounds the overlap from above. First every
 bucket's members are held against its smallest id: bounded, then verified on the sets. The buckets that still hold more than one component
@@ -20,6 +21,8 @@ are ignored by the join and carried by the stage; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,10 +67,21 @@ class Classes:
             s = max(s + 1, int(s * RATIO))
         self.bounds = np.array(self.start)
 
+    def differ(self, k: int) -> int:
+        """The shingles in which a pair of class k can differ."""
+        return (self.start[k + 1] - 1) * (100 - self.percent) // self.percent
+
+    @cache  # noqa: B019
     def groups(self, k: int) -> int:
-        """One more than the shingles in which a pair of class k can differ."""
-        largest = self.start[k + 1] - 1
-        return largest * (100 - self.percent) // self.percent + 1
+        """More than differ(k), and so many that nearly every set of the class fills more than differ(k) of them."""
+        n, r = self.start[k], self.differ(k)
+        g = r + 1
+        while g < 2 * r + 1:
+            empty = (1 - 1 / g) ** n
+            if g * (1 - empty) - 3 * (g * empty * (1 - empty)) ** 0.5 > r:
+                break
+            g += max(1, g // 64)
+        return g
 
     def of(self, n: int) -> list[int]:
         """The classes in which a set of size n is dealt: its own, and those of smaller sets that it may link with."""
@@ -81,14 +95,19 @@ class Classes:
 
 
 def bucket_keys(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """One key for each class and group: equal content, equal key."""
+    """One key for each class and group with content: equal content, equal key.
+
+    A set that fills more groups than a pair can differ in has one of these in common with any set that it links with. Only a set that
+    fills fewer gets keys for its empty groups too: of a pair that links, both are such sets or one common group has content."""
     out = []
     for k in classes.of(len(s)):
         g = classes.groups(k)
         group = ((s >> np.uint64(20)) % np.uint64(g)).astype(np.int64)
         total = np.zeros(g, np.uint64)
         np.add.at(total, group, mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-        out.append(mix(mix(total) + (np.arange(g, dtype=np.uint64) << np.uint64(8)) + np.uint64(k)))
+        keys = mix(mix(total) + (np.arange(g, dtype=np.uint64) << np.uint64(8)) + np.uint64(k))
+        filled = np.bincount(group, minlength=g) > 0
+        out.append(keys[filled] if filled.sum() > classes.differ(k) else keys)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
