@@ -1,14 +1,19 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model does.
 
-Words are hashed into one vocabulary of 2**WORD_BITS slots that both models share, pairs of neighbouring words into 2**PAIR_BITS. Every
-document counts for the background; the documents of the target (those labelled good) count for the target as well. Each task counts its
-partition in arrays and hands on one row a slot, sums meet by slot, and the two finished tables, of a size fixed by the bits, go to the
-scoring tasks. What is gathered grows with the corpus until every task fills every slot.
+Words and pairs of neighbouring words are counted exactly, under 64-bit hashes, in tables that grow with the corpus. Every document counts
+for the background; the documents of the target (those labelled good) count for the target as well. Each task counts its partition and
+hands on one row a word or pair; nothing but the totals comes to the driver.
 
-    p(w | v) = L * min(1, pairs(v, w) / words(v)) + (1 - L) * (words(w) + A) / (all words + A * slots)
+    p(w | v) = L * min(1, pairs(v, w) / words(v)) + (1 - L) * (words(w) + A) / (all words + A * vocabulary)
 
-The score is the mean over words of -log2 p(target) minus that of -log2 p(background): lower is closer to the target. A document's own
-counts are taken off both models before it is scored, so a document of the target has no advantage from having been counted.
+The vocabulary is the number of distinct words, and WORDS at least, so that a small corpus leaves room for words it hasn't shown. The score
+is the mean over words of -log2 p(target) minus that of -log2 p(background): lower is closer to the target. A document's own counts are
+taken off both models before it is scored, so a document of the target has no advantage from having been counted.
+
+A document's distinct words are joined to the table of words, which gives the bits that its words would cost without pairs; its distinct
+pairs are joined to the table of pairs, which gives what they save. Pairs that one document alone has save nothing after its own counts are
+taken off, so they leave the table before the counts of their two words are joined to it. All are sort-merge joins followed by sums by
+document, so adaptive execution splits a frequent word or pair.
 
 Defined cases: a null or empty text has no words, zero bits and score 0; with no target document the target is the uniform prior; labels
 other than 1 and null ids don't mark a target; repeated rows count again and score alike; further columns are ignored; an empty table
@@ -19,111 +24,185 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandex.llm.common import mix, slices, small_batches, table, word_hashes
+from strandex.llm.common import Scratch, mix, slices, small_batches, table, word_hashes
 
-WORD_BITS, PAIR_BITS, L, A = 16, 19, 0.5, 0.1
+WORD_BITS, L, A = 16, 0.5, 0.1
+#: Words of the vocabulary at least.
 WORDS = 1 << WORD_BITS
-#: Stands before a document's first word; pairs follow.
+#: Stands before a document's first word. Words are numbered below zero, pairs above START.
 START = WORDS
-SLOTS = WORDS + 1 + (1 << PAIR_BITS)
+#: Rows that a task counts before it hands them on.
+HELD = 1 << 20
 
 
 def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of a column: the slot before, the word's slot, the pair's slot; and the row offsets in them."""
+    """For all words of a column: the number of the word before, the word's and the pair's; and the row offsets in them."""
     w, off = word_hashes(column)
-    word = (w >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    word = -1 - (w >> np.uint64(1)).astype(np.int64)
     before = np.concatenate([[START], word])[: len(word)]
     before[off[:-1][off[:-1] < len(word)]] = START
-    pair = START + 1 + (mix(before.astype(np.uint64) * np.uint64(WORDS) + word.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    pair = START + 1 + (mix(mix(before.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) >> np.uint64(2)).astype(np.int64)
     return before, word, pair, off
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """docs: text and target (boolean) -> slot, background, target: one row a slot that occurs."""
+def summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, where each stands first, and the sums of the counts by key."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[cut], order[cut], *(np.add.reduceat(c[order], cut) if len(k) else c for c in counts)
+
+
+def held(rows, names: list[str], n_counts: int):
+    """rows: tuples of arrays, a key, what goes with it, and n_counts counts -> batches with one row a key for every HELD rows."""
+    kept, size = [], 0
+
+    def fold():
+        t = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        key, first, *counts = summed(t[0], *t[len(t) - n_counts :])
+        return (key, *(x[first] for x in t[1 : len(t) - n_counts]), *counts)
+
+    def out(t):
+        for i in range(0, len(t[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in t], names=names)
+
+    for r in rows:
+        kept.append(r)
+        size += len(r[0])
+        if size >= HELD:
+            kept = [fold()]
+            size = len(kept[0][0])
+            if size > HELD // 2:
+                yield from out(kept[0])
+                kept, size = [], 0
+    if kept:
+        yield from out(fold())
+
+
+def parts(batches):
+    """row, text, target -> row, the numbers that slots gives, words a document, and 1 for a document of the target or else 0."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            before, word, pair, off = slots(part.column(1))
+            yield part.column(0).to_numpy(), before, word, pair, np.diff(off), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """docs: row, text and target (boolean) -> word, background, target: one row a word that occurs, and one for START."""
 
     def run(batches):
-        background, target = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, word, pair, off = slots(part.column(0))
-                chosen = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(off))
-                filled = np.diff(off) > 0
-                for into, rows, n in ((background, slice(None), filled.sum()), (target, chosen, (filled & part.column(1).to_numpy(zero_copy_only=False)).sum())):
-                    into += np.bincount(word[rows], minlength=SLOTS) + np.bincount(pair[rows], minlength=SLOTS)
-                    into[START] += n
-        at = np.flatnonzero(background)
-        for i in range(0, len(at), 1 << 16):
-            some = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(background[some]), pa.array(target[some])], names=["slot", "background", "target"])
+        def rows():
+            for _, _, word, _, n, chosen in parts(batches):
+                key = np.concatenate([word, np.full((n > 0).sum(), START)])
+                target = np.concatenate([np.repeat(chosen, n), chosen[n > 0]])
+                key, _, background, target = summed(key, np.ones(len(key), np.int64), target)
+                yield key, background, target
 
-    return docs.mapInArrow(run, "slot int, background bigint, target bigint").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+        yield from held(rows(), ["word", "background", "target"], 2)
 
+    rows = docs.select("row", "text", "target").mapInArrow(run, "word bigint, background bigint, target bigint")
+    return rows.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
-def own_counts(slot: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """For each word how often its slot occurs in its document."""
-    key = np.repeat(np.arange(len(off) - 1), np.diff(off)) * SLOTS + slot
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    return n[back]
 
+def in_document(part_of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct (row, key) stands first, how often it occurs, and for every place which of them it is."""
+    order = np.lexsort((key, part_of))
+    k, r = key[order], part_of[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])[: len(k)]
+    cut = np.flatnonzero(new)
+    back = np.empty(len(k), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[cut], np.diff(np.append(cut, len(k))), back
 
-class Model:
-    """Counts of words and pairs by slot."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.total = counts, float(counts[:WORDS].sum())
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """docs: row, text and target -> pair, before, word, background, target: one row a pair that more than one document has."""
 
-    def bits(self, before, word, pair, less, own_before, own_word, own_pair, own_total) -> np.ndarray:
-        """-log2 p of each word; less: 1 where the own counts are part of this model, else 0."""
-        c = self.counts
-        seen = np.minimum(1.0, (c[pair] - less * own_pair) / np.maximum(c[before] - less * own_before, 1))
-        return -np.log2(L * seen + (1 - L) * (c[word] - less * own_word + A) / (self.total - less * own_total + A * WORDS))
+    def run(batches):
+        def rows():
+            for _, before, word, pair, n, chosen in parts(batches):
+                row = np.repeat(np.arange(len(n)), n)
+                at, own, _ = in_document(row, pair)
+                key, first, docs, background, target = summed(pair[at], np.ones(len(at), np.int64), own, own * chosen[row[at]])
+                yield key, before[at][first], word[at][first], docs, background, target
 
+        yield from held(rows(), ["pair", "before", "word", "docs", "background", "target"], 3)
 
-def models(counts: DataFrame) -> tuple[Model, Model]:
-    """(target, background); the table has at most SLOTS rows."""
-    got = counts.toArrow()
-    out = []
-    for name in ("target", "background"):
-        c = np.zeros(SLOTS, np.int64)
-        c[got.column("slot").to_numpy()] = got.column(name).to_numpy()
-        out.append(Model(c))
-    return tuple(out)
+    rows = docs.select("row", "text", "target").mapInArrow(run, "pair bigint, before bigint, word bigint, docs bigint, background bigint, target bigint")
+    sums = [F.sum(c).alias(c) for c in ("docs", "background", "target")]
+    return rows.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word"), *sums).where("docs > 1").drop("docs")
 
 
-def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    """docs: doc_id, text and target -> doc_id, n_tokens, target_bits and background_bits a word, score."""
-    box = docs.sparkSession.sparkContext.broadcast((target.counts, background.counts))
+def own_grams(docs: DataFrame, of: str) -> DataFrame:
+    """docs: row, text and target -> the distinct words ("word") or pairs ("pair") of each document with the counts it has itself."""
+    names = {"word": ["word", "row", "own", "size"], "pair": ["pair", "row", "own", "own_before", "own_word", "size"]}[of]
 
     def run(batches):
-        of_target, of_all = (Model(c) for c in box.value)
+        for row, before, word, pair, n, chosen in parts(batches):
+            at_row = np.repeat(np.arange(len(n)), n)
+            first, own_word, back = in_document(at_row, word)
+            size = (n * 2 + chosen)[at_row]
+            if of == "word":
+                out = word[first], row[at_row[first]], own_word, size[first]
+            else:
+                each = own_word[back]
+                each_before = np.where(before == START, 1, np.concatenate([[1], each])[: len(each)])
+                first, own, _ = in_document(at_row, pair)
+                out = pair[first], row[at_row[first]], own, each_before[first], each[first], size[first]
+            for i in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in out], names=names)
+
+    return docs.select("row", "text", "target").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
+
+
+def score(docs: DataFrame, words: DataFrame, pairs: DataFrame, vocabulary: int, totals: dict[str, int]) -> DataFrame:
+    """docs: row, doc_id, text and target; the two tables -> doc_id, n_tokens, target_bits and background_bits a word, score."""
+    less = {"target": F.col("size").bitwiseAND(1), "background": F.lit(1)}
+    n = F.shiftright("size", 1)
+
+    def alone(of: str, count: Column, own: Column) -> Column:
+        """(1 - L) times the probability that the word has whatever stands before it."""
+        return F.lit(1 - L) * (count - less[of] * own + A) / (totals[of] - less[of] * n + A * vocabulary)
+
+    def saved(of: str) -> Column:
+        seen = F.least(F.lit(1.0), (F.col(of) - less[of] * F.col("own")) / F.greatest(F.col(f"{of}_before") - less[of] * F.col("own_before"), F.lit(1)))
+        return -F.log2(1 + L * seen / alone(of, F.col(f"{of}_word"), F.col("own_word")))
+
+    models = ("target", "background")
+    base = own_grams(docs, "word").join(words, "word").select("row", *[(-F.col("own") * F.log2(alone(m, F.col(m), F.col("own")))).alias(m) for m in models])
+    less_bits = own_grams(docs, "pair").join(pairs, "pair").select("row", *[(F.col("own") * saved(m)).alias(m) for m in models])
+    bits = base.union(less_bits).groupBy("row").agg(*[F.sum(m).alias(m) for m in models])
+
+    def lengths(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                before, word, pair, off = slots(part.column(1))
-                n = np.diff(off)
-                own_word = own_counts(word, off)
-                own_before = np.concatenate([[1], own_word])[: len(own_word)]
-                own_before[off[:-1][n > 0]] = 1
-                args = before, word, pair
-                own = own_before, own_word, own_counts(pair, off), np.repeat(n, n)
-                mean = []
-                for m, less in ((of_target, np.repeat(part.column(2).to_numpy(zero_copy_only=False), n)), (of_all, 1)):
-                    total = np.concatenate([[0.0], np.cumsum(m.bits(*args, less, *own))])
-                    mean.append((total[off[1:]] - total[off[:-1]]) / np.maximum(n, 1))
-                t, b = (np.round(x, 6) for x in mean)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(t), pa.array(b), pa.array(np.round(mean[0] - mean[1], 6))], names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
-
-    return docs.select("doc_id", "text", "target").mapInArrow(run, "doc_id bigint, n_tokens bigint, target_bits double, background_bits double, score double")
+                _, off = word_hashes(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off).astype(np.int64))], names=["row", "doc_id", "n_tokens"])
+
+    heads = docs.select("row", "doc_id", "text").mapInArrow(lengths, "row bigint, doc_id bigint, n_tokens bigint")
+    mean = {m: F.coalesce(F.col(m), F.lit(0.0)) / F.greatest("n_tokens", F.lit(1)) for m in models}
+    return heads.join(bits, "row", "left").select("doc_id", "n_tokens", *[F.round(mean[m], 6).alias(f"{m}_bits") for m in models], F.round(mean["target"] - mean["background"], 6).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """docs: doc_id and text; target_ids: doc_id of the target's documents."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "language-model")
     chosen = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    return score(marked, *models(count(marked.select("text", "target"))))
+    marked = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = scratch.save(marked, "marked")
+    words = scratch.save(count_words(marked), "words")
+    sums = words.where(F.col("word") < WORDS).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in ("target", "background")]).first()
+    pairs = scratch.save(count_pairs(marked), "shared")
+    for side in ("before", "word"):
+        counts = words.withColumnsRenamed({"word": side, "target": f"target_{side}", "background": f"background_{side}"})
+        pairs = pairs.join(counts, side)
+    pairs = scratch.save(pairs.drop("before", "word"), "pairs")
+    return score(marked, words, pairs, max(WORDS, sums.n), {m: sums[m] for m in ("target", "background")})
 
 
 def op2_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:

@@ -142,6 +142,29 @@ def test_cross_entropy_tells_the_target(spark):
     assert max(s[i] for i in range(31, 60, 2)) < min(s[i] for i in range(30, 60, 2))
 
 
+def test_cross_entropy_counts_grow_with_the_corpus(spark):
+    """More distinct words and pairs than 2**16 and 2**19: each keeps its own count, and a pair that no other document has is unseen."""
+    n = 70_000
+    words = np.random.default_rng(3).permutation(n)
+    texts = [" ".join(f"w{x}" for x in words[i : i + 700]) for i in range(0, n, 700)] + [" ".join(f"w{(k * (7919 + 2 * i) + 13 * i) % n}" for k in range(6000)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    before, word, pair, _ = language_model.slots(pa.array(texts))
+    real = {(a, b) for t in texts for a, b in zip(["", *t.split()], t.split(), strict=False)}
+    assert len(set(word.tolist())) == n and len(set(pair.tolist())) == len(real) > 1 << 19
+    got = {r.doc_id: r for r in language_model.cross_entropy_difference(docs, docs.where("doc_id < 0").select("doc_id")).collect()}
+    counts, of = Counter(x for t in texts for x in t.split()), Counter((a, b) for t in texts for a, b in zip(["", *t.split()], t.split(), strict=False))
+    total, starts = sum(counts.values()), len(texts)
+    for i in (0, 50, 120):
+        w = texts[i].split()
+        own, pairs = Counter(w), list(zip(["", *w], w, strict=False))
+        own_pairs, bits = Counter(pairs), 0.0
+        for a, b in pairs:
+            c = starts - 1 if not a else counts[a] - own[a]
+            seen = min(1, (of[a, b] - own_pairs[a, b]) / max(1, c))
+            bits -= math.log2(0.5 * seen + 0.5 * (counts[b] - own[b] + 0.1) / (total - len(w) + 0.1 * n))
+        assert abs(got[i].background_bits - bits / len(w)) < 1e-5
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
