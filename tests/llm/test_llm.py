@@ -225,6 +225,24 @@ def test_line_dedup(spark):
     assert lines.removals(df.limit(0)).count() == 0
 
 
+def test_line_dedup_threshold_follows_the_length(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 11))) for _ in range(400)]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = [line(rng.choice([8, 9, 10, 14, 22, 23, 24, 25, 40, 90])) for _ in range(24)]
+    base += [x[:n] for x in (line(30) for _ in range(6)) for n in (59, 60, 61, 179, 180)] + ["ab" * 150]
+    near = [changed(rng, x, rng.choice([1, 2, len(x) // 20 - 1, len(x) // 20, len(x) // 20 + 1])) for x in base for _ in range(3)]
+    near += ["x" * (len(x) // 20) + x for x in base[:6]] + [base[30].replace(" ", "", 3), base[0] + " ".join(words[:40])]
+    texts = [x.strip() for x in base + near]
+    got = {r.doc_id: r.removed for r in lines.removals(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)).collect()}
+    want = {i: any(abs(len(x) - len(y)) <= min(len(x), len(y)) // 20 and distance(x, y) <= min(len(x), len(y)) // 20 for y in texts[:i]) for i, x in enumerate(texts)}
+    assert got == want and sum(want.values()) > 40
+    one, other = " ".join(words[:45]), " ".join([*words[:20], "entirely", *words[21:45]])
+    assert len(one) >= 300 and 2 < distance(one, other) <= len(one) // 20
+    two = spark.createDataFrame([(1, one), (2, other)], "doc_id bigint, text string")
+    assert {r.doc_id: (r.removed, r.near) for r in lines.removals(two).collect()} == {1: (False, False), 2: (True, True)}
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------
 
 
