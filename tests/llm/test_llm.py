@@ -267,6 +267,34 @@ def test_mixing(spark, odd_docs):
     assert abs((got.source == "s1").mean() - 0.5) < 0.05 and abs((got.lang == "en").mean() - 0.4) < 0.05 and len(got) > 1500
 
 
+@pytest.mark.parametrize("most", [mixing.MOST_CELLS, 0])
+def test_mixing_keeps_every_source(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    monkeypatch.setattr(mixing, "ROUNDS", 8)
+    rows = [(f"s{i}", lang, "short", 10 * (i + 1) * (1 + (i + k) % 3)) for i in range(80) for k, lang in enumerate(("en", "de")) if i % 7 or k]
+    counted = spark.createDataFrame([*rows, ("none", "en", "short", 0)], "source string, lang string, topic string, n_tokens bigint")
+    total = sum(x[3] for x in rows)
+    for targets in (None, {"source": {"s0": 0.5, "s79": 0.25, "s9": 0.25, "absent": 1.0}}):
+        cells, few = mixing.cell_weights(spark, counted, targets)
+        w = {(x.source, x.lang): x.weight for x in cells.collect()}
+        assert few == bool(most) and len(w) == len(rows) + 1 and "(other)" not in {a for a, _ in w}
+        have = Counter()
+        for a, b, _, n in rows:
+            have[a] += n * w[a, b]
+        plain = Counter()
+        for a, *_, n in rows:
+            plain[a] += n
+        want = {a: n**0.9 for a, n in plain.items()} if targets is None else {"s0": 0.5, "s79": 0.25, "s9": 0.25}
+        if targets is None:
+            assert all(abs(have[a] / total - x / sum(want.values())) < 1e-6 for a, x in want.items())
+        else:
+            codes = [np.array([int(a[1:]) for a, *_ in rows]), np.array([b == "en" for _, b, *_ in rows], np.int64), np.zeros(len(rows), np.int64)]
+            n = np.array([x[3] for x in rows], float)
+            lang = np.bincount(codes[1], n) ** 0.9
+            expect = mixing.rake_cells(codes, n, [np.array([want.get(f"s{i}", 0.0) for i in range(80)]), lang / lang.sum(), np.ones(1)], mixing.ROUNDS)
+            assert all(math.isclose(w[a, b], e, rel_tol=1e-6) for (a, b, *_), e in zip(rows, expect.tolist(), strict=True))
+
+
 # --- 5 ------------------------------------------------------------------------------------------------------------
 
 
