@@ -560,6 +560,12 @@ def numbered_evidence(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(t.alias("t")).select("conv_id", text.numbered(F.col("t")).alias("evidence"))
 
 
+@query("SELECT conv_id, '[E' || array_to_string(list_transform(t, lambda x, i: CAST(i AS VARCHAR) || '] ' || x), chr(10) || '[E') AS evidence FROM (SELECT conv_id, list(text ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)")
+def whole_numbered_evidence(spark, d):
+    t = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda s: s.text)
+    return table(spark, d, "conversations").groupBy("conv_id").agg(t.alias("t")).select("conv_id", text.numbered(F.col("t")).alias("evidence"))
+
+
 # --- plans --------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandex.plans import providers, retrieval
+from strandex.plans import catalog, providers, retrieval
 from strandex.plans.retrieval import Loop
 from strandex.streaming import streams
 
@@ -85,3 +85,9 @@ def test_streams(spark, tmp_path):
     q = streams.tumbling_counts(streams.parquet_stream(spark, str(tmp_path / "ev"), ev.schema, 9), "ts", "10 seconds", "1 minute", ["u"]).writeStream.outputMode("update").format("memory").queryName("tumbling").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("tumbling").collect()) == [1, 2]
+
+
+def test_whole_numbered_evidence(spark, tmp_path):
+    long = "word " * 100 + "end"
+    spark.createDataFrame([(1, 1, "assistant", "b" * 30), (1, 0, "user", long)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.evidence for r in catalog.QUERIES["whole_numbered_evidence"](spark, str(tmp_path)).collect()] == [f"[E1] {long}\n[E2] {'b' * 30}"]
