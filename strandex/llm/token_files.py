@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandex.llm.bpe import pieces
-from strandex.llm.common import Scratch, slices, small_batches, table
+from strandex.llm.common import Scratch, prefix_hash, slices, small_batches, substring_hash, table
 
 MAGIC, BLOCK, END_ID = b"SPLN1", 1 << 16, 2
 
@@ -151,8 +151,9 @@ class PieceEncoder:
     """The tokenizers library, asked once for each piece.
 
     Texts are cut by the array scanner of bpe.py, whose pattern is that of the library's byte-level pre-tokeniser; a piece not seen before goes
-    to the library's model in its alphabet of bytes. Pieces are remembered up to a bound, then anew. Texts with code points that the library's
-    older Unicode tables may class otherwise go to the library whole.
+    to the library's model in its alphabet of bytes. Pieces are remembered by 64-bit hashes up to a bound, then anew. Texts that hold an added token (which the
+    library takes for its id even where none is added), and those with code points that the library's older Unicode tables may class
+    otherwise, go to the library whole.
     """
 
     def __init__(self, path: str, cached: int = 1_000_000):
@@ -161,33 +162,38 @@ class PieceEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         split = ByteLevel(add_prefix_space=False, use_regex=False)
         #: The library's character for each byte, read off from enough texts of one character to see all bytes of UTF-8.
-        self.letters = {}
+        self.letters = np.full(256, 0x20, "<u4")
         for c in map(chr, [*range(0x800), *range(0x800, 0xD800, 64), *range(0xE000, 0x110000, 4096)]):
-            self.letters |= dict(zip(c.encode(), split.pre_tokenize_str(c)[0][0], strict=True))
+            self.letters[list(c.encode())] = [ord(x) for x in split.pre_tokenize_str(c)[0][0]]
         self.cached = cached
         self._forget()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def odd(self, text: str) -> bool:
+        return any(a in text for a in self.added) or (not text.isascii() and bool(_NEWER.search(text)))
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text. Pieces become rows of a table of ids, and the texts' ids are gathered from it at once."""
-        odd = [not t.isascii() and bool(_NEWER.search(t)) for t in texts]
+        odd = [self.odd(t) for t in texts]
         raw, start, end, upto = pieces(["" if o else t for t, o in zip(texts, odd, strict=True)])
-        found = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        hashes, first, which = np.unique(substring_hash(prefix_hash(np.frombuffer(raw, np.uint8)), start, end), return_index=True, return_inverse=True)
         if len(self.row) > self.cached:
             self._forget()
-        row, model, letters = self.row, self.tokenizer.model, self.letters
-        if new := set(found).difference(row):
-            got = [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in new]
-            row.update(zip(new, range(len(row), len(row) + len(new)), strict=True))
-            self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got))])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32)])
-            self.start = np.cumsum(self.size) - self.size
-        at = np.fromiter(map(row.__getitem__, found), np.int64, len(found))
+        hashes, row = hashes.tolist(), self.row
+        known = [row.get(h, -1) for h in hashes]
+        if new := [i for i, k in enumerate(known) if k < 0]:
+            tokenize, n, at = self.tokenizer.model.tokenize, self.rows, first[new]
+            written = self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-32-le")
+            got = [[t.id for t in tokenize(written[a:b])] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            for k, i in enumerate(new, n):
+                row[hashes[i]] = known[i] = k
+            self._remember(np.fromiter(map(len, got), np.int64, len(got)), np.fromiter(chain.from_iterable(got), np.uint32))
+        at = np.array(known, np.int64)[which]
         n = self.size[at]
         before = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.start[at] - before[:-1], n) + np.arange(before[-1])]
@@ -195,8 +201,26 @@ class PieceEncoder:
         for t, o, i, j in zip(texts, odd, np.concatenate([[0], stop[:-1]]).tolist(), stop.tolist(), strict=True):
             yield np.array(self.whole(t), np.uint32) if o else ids[i:j]
 
+    def _remember(self, size: np.ndarray, flat: np.ndarray) -> None:
+        """Appends to tables that double when they are full, so what a slice of text costs doesn't follow what is remembered."""
+
+        def room(table, used, more):
+            if used + more <= len(table):
+                return table
+            out = np.zeros(max(2 * len(table), used + more, 1 << 12), table.dtype)
+            out[:used] = table[:used]
+            return out
+
+        k, n = self.rows, len(size)
+        self.size, self.start, self.flat = room(self.size, k, n), room(self.start, k, n), room(self.flat, self.ids, len(flat))
+        self.size[k : k + n] = size
+        self.start[k : k + n] = self.ids + np.cumsum(size) - size
+        self.flat[self.ids : self.ids + len(flat)] = flat
+        self.rows, self.ids = k + n, self.ids + len(flat)
+
     def _forget(self) -> None:
-        self.row: dict[bytes, int] = {}
+        self.row: dict[int, int] = {}
+        self.rows = self.ids = 0
         self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
 
@@ -230,7 +254,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, key: str = "doc_id",
         writer, sink, first = None, None, None
         encode = piece_encoder(tokenizer).encode
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 2 << 20):
                 docs = part.column(0).to_pylist()
                 for doc, ids in zip(docs, encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     if writer is None:

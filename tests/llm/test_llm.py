@@ -397,7 +397,6 @@ def test_token_files(spark, odd_docs, tmp_path, bits):
     rows, df = odd_docs
     df.write.parquet(str(tmp_path / "documents.parquet"))
     t = Tokenizer.from_file(token_files.tokenizer_path())
-    t.encode_special_tokens = True
     start, want = 0, []
     for i, x in sorted(rows, key=lambda r: r[0]):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
@@ -412,7 +411,7 @@ def test_token_files(spark, odd_docs, tmp_path, bits):
 def test_piece_encoder_equals_the_library():
     rng, e = random.Random(6), token_files.piece_encoder(token_files.tokenizer_path())
     letters = "aZé1٣ '' stmdrev\n\t\u00a0!?中😀\U0001faf0_0"
-    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", "<|endoftext|>", "x" * 2000]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["", "<|endoftext|>", "x" * 2000, "a <|endoftext|> b", "<|endoftext", "a<|endoftext|><|endoftext|>"]
     assert [i.tolist() for i in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
