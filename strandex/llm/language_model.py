@@ -1,208 +1,391 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model does.
 
-Words and pairs of neighbouring words are counted exactly, under 64-bit hashes, in tables that grow with the corpus. Every document counts
-for the background; the documents of the target (those labelled good) count for the target as well. Each task counts its partition and
-hands on one row a word or pair; nothing but the totals comes to the driver.
-
-    p(w | v) = L * min(1, pairs(v, w) / words(v)) + (1 - L) * (words(w) + A) / (all words + A * vocabulary)
-
-The vocabulary is the number of distinct words, and WORDS at least, so that a small corpus leaves room for words it hasn't shown. The score
-is the mean over words of -log2 p(target) minus that of -log2 p(background): lower is closer to the target. A document's own counts are
-taken off both models before it is scored, so a document of the target has no advantage from having been counted.
-
-A document's distinct words are joined to the table of words, which gives the bits that its words would cost without pairs; its distinct
-pairs are joined to the table of pairs, which gives what they save. Pairs that one document alone has save nothing after its own counts are
-taken off, so they leave the table before the counts of their two words are joined to it. All are sort-merge joins followed by sums by
-document, so adaptive execution splits a frequent word or pair.
-
-Defined cases: a null or empty text has no words, zero bits and score 0; with no target document the target is the uniform prior; labels
-other than 1 and null ids don't mark a target; repeated rows count again and score alike; further columns are ignored; an empty table
-gives no rows.
+Both are bigram models over one vocabulary, with counts of all texts, exact under 64-bit hashes: every document counts for the background,
+those of the target (labelled good) count for the target as well. A text is its words and an end mark, the first word follows a start mark.
+
+    prior(w)  = (words(w) + A / s) / (all words + A / s * vocabulary)
+    p(w | v)  = (pairs(v, w) + MU / s * prior(w)) / (words(v) + MU / s)
+
+This is Dirichlet smoothing, so p sums to one over the vocabulary (the words of the corpus, the end mark and one for what is unknown). s
+matches the models by size: it is 1 for the target, and for the background the target's words over its own, so that A and MU weigh the same
+against both. A document's own counts are taken off every count above before it is scored, so it is judged by what all others say, and a
+document of the target has no advantage from having been counted. The score is the mean of -log2 p(target) minus that of -log2 p(background):
+lower is closer to the target.
+
+Flow. A first pass counts words: sizes of the vocabulary and the models, and the words that hold 1 / FREQUENT of all. In the second each task
+sends, for blocks of its documents, rows (word, word before, document, own counts) as packets to the bucket of the word. There all counts
+that a row needs meet; what it adds to its document goes back as a packet to the document's block and is summed. Words that are frequent are
+dealt by the pair instead, with their total known. No text moves, nothing is joined, and what is gathered grows with the corpus.
+
+Defined cases: a null or empty text has no words, zero bits and score 0; with no target document the target's prior is uniform; labels other
+than good and null ids don't mark a target; repeated rows count again and score alike; further columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.llm.common import Scratch, mix, slices, small_batches, table, word_hashes
 
-WORD_BITS, L, A = 16, 0.5, 0.1
-#: Words of the vocabulary at least.
-WORDS = 1 << WORD_BITS
-#: Stands before a document's first word. Words are numbered below zero, pairs above START.
-START = WORDS
-#: Rows that a task counts before it hands them on.
-HELD = 1 << 20
+MU, A = 64.0, 0.1
+START, END = (mix(np.array([k], np.uint64))[0] for k in (0xB5297A4D3F84D5B5, 0x68E31DA4C5A1B7E9))
+#: A word is frequent if it is so many-th of all words; there are no more of them than that.
+FREQUENT = 1024
+#: Ids of the target up to which they are broadcast; more are joined.
+MOST_IDS = 1 << 20
+#: Words after which a task hands its counts on or ends a block; documents of a block at most.
+HELD, DOCS = 1 << 20, 60_000
 
 
-def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words of a column: the number of the word before, the word's and the pair's; and the row offsets in them."""
+def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all texts end to end: each word or end mark, what stands before it, which text it is of; and the texts' numbers of words."""
     w, off = word_hashes(column)
-    word = -1 - (w >> np.uint64(1)).astype(np.int64)
-    before = np.concatenate([[START], word])[: len(word)]
-    before[off[:-1][off[:-1] < len(word)]] = START
-    pair = START + 1 + (mix(mix(before.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + word.view(np.uint64)) >> np.uint64(2)).astype(np.int64)
-    return before, word, pair, off
-
-
-def summed(key: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, where each stands first, and the sums of the counts by key."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[cut], order[cut], *(np.add.reduceat(c[order], cut) if len(k) else c for c in counts)
-
-
-def held(rows, names: list[str], n_counts: int):
-    """rows: tuples of arrays, a key, what goes with it, and n_counts counts -> batches with one row a key for every HELD rows."""
-    kept, size = [], 0
-
-    def fold():
-        t = [np.concatenate(x) for x in zip(*kept, strict=True)]
-        key, first, *counts = summed(t[0], *t[len(t) - n_counts :])
-        return (key, *(x[first] for x in t[1 : len(t) - n_counts]), *counts)
-
-    def out(t):
-        for i in range(0, len(t[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in t], names=names)
-
-    for r in rows:
-        kept.append(r)
-        size += len(r[0])
-        if size >= HELD:
-            kept = [fold()]
-            size = len(kept[0][0])
-            if size > HELD // 2:
-                yield from out(kept[0])
-                kept, size = [], 0
-    if kept:
-        yield from out(fold())
-
-
-def parts(batches):
-    """row, text, target -> row, the numbers that slots gives, words a document, and 1 for a document of the target or else 0."""
+    n = np.diff(off)
+    size = np.where(n > 0, n + 1, 0)
+    stop = np.cumsum(size)
+    of = np.repeat(np.arange(len(n)), size)
+    word = np.empty(len(of), np.uint64)
+    at_end = np.zeros(len(of), bool)
+    at_end[stop[n > 0] - 1] = True
+    word[at_end], word[~at_end] = END, w
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[(stop - size)[n > 0]] = START
+    return word, before, of, n
+
+
+def small(x: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes, and those of 255 or more once again."""
+    return [np.minimum(x, 255).astype(np.uint8), x[x >= 255].astype(np.int64)]
+
+
+def unsmall(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    out = x.astype(np.int64)
+    out[x == 255] = more
+    return out
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(arrays), *[len(a) for a in arrays]], np.uint32).tobytes() + b"".join(a.dtype.str.encode() for a in arrays)
+    return head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(packet: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(packet, np.uint32, 1)[0])
+    sizes = np.frombuffer(packet, np.uint32, n, 4).tolist()
+    at = 4 + 4 * n
+    kinds = [packet[at + 3 * i : at + 3 * i + 3].decode() for i in range(n)]
+    at, out = at + 3 * n, []
+    for kind, size in zip(kinds, sizes, strict=True):
+        out.append(np.frombuffer(packet, kind, size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys, the first counting most, and where in it a new combination begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
+
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def buckets_held(batches):
+    """(bucket, packets, blocks) of rows that are sorted by bucket: bucket, block, packet."""
+    of, packets, blocks = None, [], []
     for batch in batches:
-        for part in slices(batch, "text"):
-            before, word, pair, off = slots(part.column(1))
-            yield part.column(0).to_numpy(), before, word, pair, np.diff(off), part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        for k, b, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if k != of and packets:
+                yield of, packets, blocks
+                packets, blocks = [], []
+            of = k
+            packets.append(p)
+            blocks.append(b)
+    if packets:
+        yield of, packets, blocks
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """docs: row, text and target (boolean) -> word, background, target: one row a word that occurs, and one for START."""
+PACKETS = "bucket int, block bigint, packet binary"
 
-    def run(batches):
-        def rows():
-            for _, _, word, _, n, chosen in parts(batches):
-                key = np.concatenate([word, np.full((n > 0).sum(), START)])
-                target = np.concatenate([np.repeat(chosen, n), chosen[n > 0]])
-                key, _, background, target = summed(key, np.ones(len(key), np.int64), target)
-                yield key, background, target
 
-        yield from held(rows(), ["word", "background", "target"], 2)
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "packet"])
 
-    rows = docs.select("row", "text", "target").mapInArrow(run, "word bigint, background bigint, target bigint")
-    return rows.groupBy("word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
+def word_packets(bits: int):
+    """doc_id, text, target -> counts of words as packets by bucket; in bucket -1 the numbers of texts with words, all and of the target."""
 
-def in_document(part_of: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each distinct (row, key) stands first, how often it occurs, and for every place which of them it is."""
-    order = np.lexsort((key, part_of))
-    k, r = key[order], part_of[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])[: len(k)]
-    cut = np.flatnonzero(new)
-    back = np.empty(len(k), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return order[cut], np.diff(np.append(cut, len(k))), back
+    def run(batches):
+        kept, texts = [], np.zeros(2, np.int64)
 
+        def fold():
+            word, *counts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            order, cut = grouped(word)
+            return word[order][cut], *(np.add.reduceat(c[order], cut) for c in counts)
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """docs: row, text and target -> pair, before, word, background, target: one row a pair that more than one document has."""
+        def out(word, background, target):
+            bucket = bucket_of(word, bits)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            rows = [(int(bucket[i]), 0, pack(word[i:j], background[i:j].astype(np.uint32), target[i:j].astype(np.uint32))) for i, j in zip(cut, [*cut[1:], len(word)], strict=True)]
+            for i in range(0, len(rows), 256):
+                yield rows_of(rows[i : i + 256])
+
+        size = 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                word, _, of, n = sentences(part.column(1))
+                flag = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+                texts += (n > 0).sum(), ((n > 0) & (flag == 1)).sum()
+                if len(word):
+                    kept.append((word, np.ones(len(word), np.int64), flag[of]))
+                    size += len(word)
+                if size >= HELD:
+                    kept = [fold()]
+                    size = len(kept[0][0])
+                    if size > HELD // 2:
+                        yield from out(*kept[0])
+                        kept, size = [], 0
+        if size:
+            yield from out(*fold())
+        yield rows_of([(-1, 0, pack(texts))])
+
+    return run
+
+
+SIZES = "word bigint, background bigint, target bigint, words bigint"
+
+
+def count_words(batches):
+    """Packets of word_packets, sorted by bucket -> for each bucket a row with its sums and its number of words, and rows of words that hold much of it;
+    for bucket -1 numbers of texts, with words null."""
+    for bucket, packets, _ in buckets_held(batches):
+        if bucket < 0:
+            a, b = sum(unpack(p)[0] for p in packets).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([None], [a], [b], [None])], names=["word", "background", "target", "words"])
+            continue
+        word, *counts = (np.concatenate(x) for x in zip(*map(unpack, packets), strict=True))
+        order, cut = grouped(word)
+        word = word[order][cut]
+        background, target = (np.add.reduceat(c.astype(np.int64)[order], cut) for c in counts)
+        much = np.flatnonzero(background * 64 >= background.sum())
+        columns = ([None, *word[much].view(np.int64).tolist()], [int(background.sum()), *background[much].tolist()], [int(target.sum()), *target[much].tolist()], [len(word), *[None] * len(much)])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["word", "background", "target", "words"])
+
+
+class Models:
+    """The sizes of both models (background, target) and the counts of the frequent words."""
+
+    def __init__(self, tokens: tuple[int, int], texts: tuple[int, int], vocabulary: int, frequent: list[tuple[int, int, int]]):
+        self.tokens, self.texts, self.vocabulary = tokens, texts, vocabulary
+        self.scale = (min(1.0, tokens[1] / tokens[0]) if tokens[0] and tokens[1] else 1.0, 1.0)
+        order = np.argsort(np.array([w for w, _, _ in frequent], np.int64).view(np.uint64))
+        self.word = np.array([w for w, _, _ in frequent], np.int64).view(np.uint64)[order]
+        self.counts = np.array([x[1:] for x in frequent], np.int64).reshape(-1, 2)[order]
+
+    def frequent(self, word: np.ndarray) -> np.ndarray:
+        """Each word's place among the frequent ones, or -1."""
+        if not len(self.word):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return np.where(self.word[at] == word, at, -1)
+
+    def log2_probability(self, m: int, pair, word, before, tokens):
+        """log2 p(word | before) by counts that lack the document's own; arrays or numbers."""
+        a, mu = A / self.scale[m], MU / self.scale[m]
+        return np.log2(pair + mu * (word + a) / (tokens + a * self.vocabulary)) - np.log2(before + mu)
+
+
+def gram_packets(bits: int, models: Models):
+    """doc_id, text, target -> for blocks of documents the packets of their pairs, by bucket, and under a bucket below zero of their heads."""
 
     def run(batches):
-        def rows():
-            for _, before, word, pair, n, chosen in parts(batches):
-                row = np.repeat(np.arange(len(n)), n)
-                at, own, _ = in_document(row, pair)
-                key, first, docs, background, target = summed(pair[at], np.ones(len(at), np.int64), own, own * chosen[row[at]])
-                yield key, before[at][first], word[at][first], docs, background, target
+        k, held, docs = 0, [], 0
+
+        def out():
+            nonlocal k
+            name, k = TaskContext.get().partitionId() << 32 | k, k + 1
+            word, before, of, n, ids, null, flag = (np.concatenate(x) for x in zip(*held, strict=True))
+            rows = [(-1 - name % (1 << bits), name, pack(ids, null, n.astype(np.uint32), flag))]
+            if len(word):
+                _, which, own_word = np.unique(mix(word + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+                own_word = own_word[which]
+                short = before >> np.uint64(24)
+                bucket = bucket_of(np.where(models.frequent(word) >= 0, mix(word ^ before), word), bits)
+                tail = (short << np.uint64(16)) | of.astype(np.uint64)
+                order, cut = grouped(bucket, word, tail)
+                own = np.diff(np.append(cut, len(order)))
+                at = order[cut]
+                bucket, word, short, of, own_word = bucket[at], word[at], short[at], of[at], own_word[at]
+                ends = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                for i, j in zip(ends.tolist(), [*ends[1:].tolist(), len(at)], strict=True):
+                    run_at = np.flatnonzero(np.concatenate([[True], word[i + 1 : j] != word[i : j - 1]]))
+                    there, local = np.unique(of[i:j], return_inverse=True)
+                    rows.append((int(bucket[i]), name, pack(
+                        word[i:j][run_at], np.diff(np.append(run_at, j - i)).astype(np.uint32), short[i:j].astype(np.uint32), (short[i:j] >> np.uint64(32)).astype(np.uint8),
+                        local.astype(np.uint16), *small(own[i:j]), *small(own_word[i:j]), there.astype(np.uint16), n[there].astype(np.uint32), flag[there])))
+            for i in range(0, len(rows), 64):
+                yield rows_of(rows[i : i + 64])
+
+        size = 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                word, before, of, n = sentences(part.column(1))
+                ids = part.column(0)
+                if docs + len(n) > DOCS or size >= HELD:
+                    if held:
+                        yield from out()
+                    held, docs, size = [], 0, 0
+                null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+                held.append((word, before, of + docs, n, ids.fill_null(0).to_numpy(), null, part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)))
+                docs += len(n)
+                size += len(word)
+        if held:
+            yield from out()
+
+    return run
+
+
+def part_bits(models: Models, packets: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the packets of a bucket what they add to their documents: places in the block, bits by background and target."""
+    got = [unpack(p) for p in packets]
+    word = np.concatenate([np.repeat(g[0], g[1]) for g in got])
+    before = np.concatenate([g[2].astype(np.uint64) | g[3].astype(np.uint64) << np.uint64(32) for g in got])
+    n_docs = np.array([len(g[9]) for g in got])
+    base = np.cumsum(n_docs) - n_docs
+    doc = np.concatenate([g[4].astype(np.int64) + b for g, b in zip(got, base.tolist(), strict=True)])
+    own = np.concatenate([unsmall(g[5], g[6]) for g in got])
+    own_word = np.concatenate([unsmall(g[7], g[8]) for g in got])
+    n, flag = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (10, 11))
+    order, pair_at = grouped(word, before)
+    word, before, doc, own, own_word = (x[order] for x in (word, before, doc, own, own_word))
+    word_at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    place = models.frequent(word[word_at])
+    spread = lambda cut, x: np.repeat(x, np.diff(np.append(cut, len(word))))
+    out = []
+    for m in (0, 1):
+        counted = np.ones(len(doc), np.int64) if m == 0 else flag[doc]
+        pairs = spread(pair_at, np.add.reduceat(own * counted, pair_at)) - own * counted
+        total = np.add.reduceat(own * counted, word_at)
+        if len(models.counts):
+            total = np.where(place >= 0, models.counts[place, m], total)
+        words = spread(word_at, total) - own_word * counted
+        tokens = models.tokens[m] - counted * (n[doc] + 1)
+        said = models.log2_probability(m, pairs, words, 0, tokens) + np.log2(MU / models.scale[m])  # the share of what stands before follows
+        said -= np.where(word == END, 0, np.log2(words + MU / models.scale[m]))  # and here this word itself is what stands before
+        out.append(np.bincount(doc, -own * said, len(n)))
+    return [(g[9], out[0][b : b + k], out[1][b : b + k]) for g, b, k in zip(got, base.tolist(), n_docs.tolist(), strict=True)]
+
+
+def add_up(models: Models):
+    """Packets of gram_packets, sorted by bucket -> packets by block: heads as they are, and bits of documents."""
+
+    def run(batches):
+        for bucket, packets, blocks in buckets_held(batches):
+            got = packets if bucket < 0 else [pack(*x) for x in part_bits(models, packets)]
+            for i in range(0, len(got), 64):
+                yield rows_of([(int(bucket >= 0), b, p) for b, p in zip(blocks[i : i + 64], got[i : i + 64], strict=True)])
+
+    return run
+
 
-        yield from held(rows(), ["pair", "before", "word", "docs", "background", "target"], 3)
+SCORES = "doc_id bigint, n_tokens bigint, target_bits double, background_bits double, score double"
 
-    rows = docs.select("row", "text", "target").mapInArrow(run, "pair bigint, before bigint, word bigint, docs bigint, background bigint, target bigint")
-    sums = [F.sum(c).alias(c) for c in ("docs", "background", "target")]
-    return rows.groupBy("pair").agg(F.min("before").alias("before"), F.min("word").alias("word"), *sums).where("docs > 1").drop("docs")
 
+def scores(models: Models):
+    """Packets of add_up, sorted by block -> the documents of each block with their scores."""
 
-def own_grams(docs: DataFrame, of: str) -> DataFrame:
-    """docs: row, text and target -> the distinct words ("word") or pairs ("pair") of each document with the counts it has itself."""
-    names = {"word": ["word", "row", "own", "size"], "pair": ["pair", "row", "own", "own_before", "own_word", "size"]}[of]
+    def total(packets, heads):
+        ids, null, n, flag = next(unpack(p) for p, h in zip(packets, heads, strict=True) if h == 0)
+        bits = np.zeros((2, len(ids)))
+        for p, h in zip(packets, heads, strict=True):
+            if h:
+                there, *more = unpack(p)
+                for m in (0, 1):
+                    bits[m][there] += more[m]
+        n = n.astype(np.int64)
+        some = n > 0
+        for m in (0, 1):
+            counted = np.where(m == 0, 1, flag.astype(np.int64))
+            bits[m][some] += np.log2(models.texts[m] - counted + MU / models.scale[m])[some]
+        mean = np.where(some, bits / (n + 1), 0.0)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(n), *(pa.array(np.round(x, 6)) for x in (mean[1], mean[0], mean[1] - mean[0]))], names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
 
     def run(batches):
-        for row, before, word, pair, n, chosen in parts(batches):
-            at_row = np.repeat(np.arange(len(n)), n)
-            first, own_word, back = in_document(at_row, word)
-            size = (n * 2 + chosen)[at_row]
-            if of == "word":
-                out = word[first], row[at_row[first]], own_word, size[first]
-            else:
-                each = own_word[back]
-                each_before = np.where(before == START, 1, np.concatenate([[1], each])[: len(each)])
-                first, own, _ = in_document(at_row, pair)
-                out = pair[first], row[at_row[first]], own, each_before[first], each[first], size[first]
-            for i in range(0, len(first), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in out], names=names)
-
-    return docs.select("row", "text", "target").mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
-
-
-def score(docs: DataFrame, words: DataFrame, pairs: DataFrame, vocabulary: int, totals: dict[str, int]) -> DataFrame:
-    """docs: row, doc_id, text and target; the two tables -> doc_id, n_tokens, target_bits and background_bits a word, score."""
-    less = {"target": F.col("size").bitwiseAND(1), "background": F.lit(1)}
-    n = F.shiftright("size", 1)
-
-    def alone(of: str, count: Column, own: Column) -> Column:
-        """(1 - L) times the probability that the word has whatever stands before it."""
-        return F.lit(1 - L) * (count - less[of] * own + A) / (totals[of] - less[of] * n + A * vocabulary)
-
-    def saved(of: str) -> Column:
-        seen = F.least(F.lit(1.0), (F.col(of) - less[of] * F.col("own")) / F.greatest(F.col(f"{of}_before") - less[of] * F.col("own_before"), F.lit(1)))
-        return -F.log2(1 + L * seen / alone(of, F.col(f"{of}_word"), F.col("own_word")))
-
-    models = ("target", "background")
-    base = own_grams(docs, "word").join(words, "word").select("row", *[(-F.col("own") * F.log2(alone(m, F.col(m), F.col("own")))).alias(m) for m in models])
-    less_bits = own_grams(docs, "pair").join(pairs, "pair").select("row", *[(F.col("own") * saved(m)).alias(m) for m in models])
-    bits = base.union(less_bits).groupBy("row").agg(*[F.sum(m).alias(m) for m in models])
-
-    def lengths(batches):
+        of, packets, heads = None, [], []
         for batch in batches:
-            for part in slices(batch, "text"):
-                _, off = word_hashes(part.column(2))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off).astype(np.int64))], names=["row", "doc_id", "n_tokens"])
+            for h, b, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if b != of and packets:
+                    yield total(packets, heads)
+                    packets, heads = [], []
+                of = b
+                packets.append(p)
+                heads.append(h)
+        if packets:
+            yield total(packets, heads)
+
+    return run
+
+
+def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text and target. Up to MOST_IDS ids of the target are broadcast; more are joined."""
+    spark = docs.sparkSession
+    chosen = target_ids.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if chosen.count() > MOST_IDS:
+        return docs.join(chosen.withColumn("target", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    box = spark.sparkContext.broadcast(np.sort(chosen.toArrow().column(0).to_numpy().astype(np.int64)))
+
+    def run(batches):
+        ids = box.value
+        for batch in batches:
+            own = batch.column(0).fill_null(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, own), max(0, len(ids) - 1))
+            hit = (ids[at] == own) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(own), bool)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=["doc_id", "text", "target"])
+
+    return docs.mapInArrow(run, "doc_id bigint, text string, target boolean")
 
-    heads = docs.select("row", "doc_id", "text").mapInArrow(lengths, "row bigint, doc_id bigint, n_tokens bigint")
-    mean = {m: F.coalesce(F.col(m), F.lit(0.0)) / F.greatest("n_tokens", F.lit(1)) for m in models}
-    return heads.join(bits, "row", "left").select("doc_id", "n_tokens", *[F.round(mean[m], 6).alias(f"{m}_bits") for m in models], F.round(mean["target"] - mean["background"], 6).alias("score"))
+
+def dealt(packets: DataFrame, by: str) -> DataFrame:
+    return packets.repartition(by).sortWithinPartitions(by)
+
+
+def fit(spark: SparkSession, docs: DataFrame, bits: int) -> Models:
+    """docs: doc_id, text and target. What comes to the driver is sums and FREQUENT rows at most."""
+    scratch = Scratch(spark, "language-model")
+    found = scratch.save(dealt(docs.mapInArrow(word_packets(bits), PACKETS), "bucket").mapInArrow(count_words, SIZES), "words")
+    part = found.where("word is null").groupBy(F.col("words").isNull().alias("texts")).agg(*[F.sum(c).alias(c) for c in ("background", "target", "words")]).collect()
+    texts = next((r for r in part if r.texts), None)
+    words = next((r for r in part if not r.texts), None)
+    tokens = (words.background, words.target) if words else (0, 0)
+    much = found.where(F.col("word").isNotNull() & (F.col("background") * FREQUENT >= tokens[0])).collect()
+    scratch.drop(found)
+    return Models(tokens, (texts.background, texts.target) if texts else (0, 0), (words.words if words else 0) + 1, [(r.word, r.background, r.target) for r in much])
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """docs: doc_id and text; target_ids: doc_id of the target's documents."""
+    """docs: doc_id and text; target_ids: doc_id of the target's documents -> doc_id, n_tokens, target_bits and background_bits a word, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark, "language-model")
-    chosen = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id", "left").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    marked = scratch.save(marked, "marked")
-    words = scratch.save(count_words(marked), "words")
-    sums = words.where(F.col("word") < WORDS).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in ("target", "background")]).first()
-    pairs = scratch.save(count_pairs(marked), "shared")
-    for side in ("before", "word"):
-        counts = words.withColumnsRenamed({"word": side, "target": f"target_{side}", "background": f"background_{side}"})
-        pairs = pairs.join(counts, side)
-    pairs = scratch.save(pairs.drop("before", "word"), "pairs")
-    return score(marked, words, pairs, max(WORDS, sums.n), {m: sums[m] for m in ("target", "background")})
+    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    docs = marked(docs, target_ids)
+    models = fit(spark, docs, bits)
+    grams = docs.mapInArrow(gram_packets(bits, models), PACKETS)
+    sums = dealt(grams, "bucket").mapInArrow(add_up(models), PACKETS)
+    return dealt(sums, "block").mapInArrow(scores(models), SCORES)
 
 
 def op2_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:

@@ -108,31 +108,84 @@ def test_preference_cases(spark):
 # --- 2 ------------------------------------------------------------------------------------------------------------
 
 
-def test_cross_entropy(spark, odd_docs):
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+PREVIOUS, LAST = "<before>", "<after>"
+
+
+class PlainModel:
+    """Counts of words, of pairs and of what stands before, as dictionaries."""
+
+    def __init__(self, texts, scale, vocabulary):
+        self.words, self.pairs, self.before = Counter(), Counter(), Counter()
+        self.mu, self.a, self.vocabulary = language_model.MU / scale, language_model.A / scale, vocabulary
+        for w in texts:
+            self.add(w, 1)
+
+    def add(self, w, by):
+        for v, x in zip([PREVIOUS, *w], [*w, LAST], strict=True) if w else ():
+            self.words[x] += by
+            self.pairs[v, x] += by
+            self.before[v] += by
+
+    def probability(self, v, x):
+        prior = (self.words[x] + self.a) / (self.words.total() + self.a * self.vocabulary)
+        return (self.pairs[v, x] + self.mu * prior) / (self.before[v] + self.mu)
+
+
+def plain_scores(rows, target):
+    """(n, target bits, background bits) of every row, each scored without itself, by the definition."""
+    texts = [WORDS.findall((t or "").translate(LOWER)) for _, t in rows]
+    chosen = [w for (i, _), w in zip(rows, texts, strict=True) if i in target]
+    size = [sum(len(w) + 1 for w in x if w) for x in (texts, chosen)]
+    vocabulary = len({x for w in texts for x in w}) + 2
+    models = PlainModel(chosen, 1, vocabulary), PlainModel(texts, min(1, size[1] / size[0]) if size[1] else 1, vocabulary)
+    out = []
+    for (i, _), w in zip(rows, texts, strict=True):
+        bits = []
+        for m, own in zip(models, (i in target, True), strict=True):
+            m.add(w, -int(own))
+            bits.append(-sum(math.log2(m.probability(v, x)) for v, x in zip([PREVIOUS, *w], [*w, LAST], strict=True)) / (len(w) + 1) if w else 0.0)
+            m.add(w, int(own))
+        out.append((len(w), *bits))
+    return out, models
+
+
+def same_scores(df, ids, rows):
+    want, _ = plain_scores(rows, ids)
+    chosen = df.sparkSession.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id bigint")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.target_bits, r.background_bits, r.score) for r in language_model.cross_entropy_difference(df, chosen).collect())
+    want = sorted((i is not None, i or 0, n, t, b, t - b) for (i, _), (n, t, b) in zip(rows, want, strict=True))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(x - y) < 2e-6 for a, b in zip(got, want, strict=True) for x, y in zip(a[3:], b[3:], strict=True))
+
+
+@pytest.mark.parametrize("frequent", [language_model.FREQUENT, 40, 1 << 40])
+def test_cross_entropy(spark, odd_docs, monkeypatch, frequent):
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
     rows, df = odd_docs
-    target = {i for i, _ in rows if i % 3 == 0}
-    got = defaultdict(list)
-    for r in language_model.cross_entropy_difference(df, spark.createDataFrame([(i,) for i in target] + [(None,)], "doc_id bigint")).collect():
-        got[r.doc_id].append(r)
-    docs = [(i, *language_model.slots(pa.array([t], pa.string()))[:3]) for i, t in rows]
-    counts = {True: Counter(), False: Counter()}
-    for i, _, w, p in docs:
-        for of in (False, True):
-            if not of or i in target:
-                counts[of].update(w.tolist() + p.tolist() + [language_model.START] * bool(len(w)))
-    total = {k: sum(n for s, n in c.items() if s < language_model.WORDS) for k, c in counts.items()}
-    for i, before, w, p in docs:
-        own = Counter(w.tolist() + p.tolist() + [language_model.START])
-        mean = {}
-        for of in (False, True):
-            c, less, bits = counts[of], int(not of or i in target), []
-            for v, x, y in zip(before.tolist(), w.tolist(), p.tolist(), strict=True):
-                seen = min(1, (c[y] - less * own[y]) / max(1, c[v] - less * own[v]))
-                bits.append(-math.log2(0.5 * seen + 0.5 * (c[x] - less * own[x] + 0.1) / (total[of] - less * len(w) + 0.1 * language_model.WORDS)))
-            mean[of] = sum(bits) / max(1, len(bits))
-        for r in got[i]:
-            assert r.n_tokens == len(w) and abs(r.target_bits - mean[True]) < 1e-5 and abs(r.score - (mean[True] - mean[False])) < 1e-5
-    assert len(got[rows[20][0]]) == 2
+    some = [(300, "the the the " * 400), (301, "of the"), (None, "of the w1")]
+    df = df.select("doc_id", "text", F.lit(1).alias("target"), F.lit("x").alias("packet")).union(spark.createDataFrame([(i, t, 1, "x") for i, t in some], "doc_id bigint, text string, target int, packet string"))
+    same_scores(df.repartition(5), {i for i, _ in rows if i % 3 == 0}, rows + some)
+    if frequent == 40:
+        same_scores(df, set(), rows + some)
+        monkeypatch.setattr(language_model, "MOST_IDS", 3)
+        monkeypatch.setattr(language_model, "HELD", 700)
+        same_scores(df, {i for i, _ in rows if i % 3 == 0}, rows + some)
+        assert language_model.cross_entropy_difference(df.limit(0), df.select("doc_id")).count() == 0
+
+
+def test_probabilities_sum_to_one(odd_docs):
+    rows, _ = odd_docs
+    _, models = plain_scores(rows, {i for i, _ in rows if i % 3 == 0})
+    words = {x for _, t in rows for x in WORDS.findall((t or "").translate(LOWER))}
+    for m in models:
+        for v in [PREVIOUS, *sorted(words)[:40], "never"]:
+            assert abs(sum(m.probability(v, x) for x in [*words, LAST, "never"]) - 1) < 1e-9
+    real = language_model.Models((900, 300), (9, 3), 50, [])
+    plain = PlainModel([], 1 / 3, 50)
+    plain.words.update({"x": 7, "rest": 893})
+    plain.pairs["v", "x"], plain.before["v"] = 2, 5
+    assert abs(real.log2_probability(0, 2, 7, 5, 900) - math.log2(plain.probability("v", "x"))) < 1e-9
 
 
 def test_cross_entropy_tells_the_target(spark):
@@ -142,29 +195,6 @@ def test_cross_entropy_tells_the_target(spark):
     assert max(s[i] for i in range(31, 60, 2)) < min(s[i] for i in range(30, 60, 2))
 
 
-def test_cross_entropy_counts_grow_with_the_corpus(spark):
-    """More distinct words and pairs than 2**16 and 2**19: each keeps its own count, and a pair that no other document has is unseen."""
-    n = 70_000
-    words = np.random.default_rng(3).permutation(n)
-    texts = [" ".join(f"w{x}" for x in words[i : i + 700]) for i in range(0, n, 700)] + [" ".join(f"w{(k * (7919 + 2 * i) + 13 * i) % n}" for k in range(6000)) for i in range(100)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    before, word, pair, _ = language_model.slots(pa.array(texts))
-    real = {(a, b) for t in texts for a, b in zip(["", *t.split()], t.split(), strict=False)}
-    assert len(set(word.tolist())) == n and len(set(pair.tolist())) == len(real) > 1 << 19
-    got = {r.doc_id: r for r in language_model.cross_entropy_difference(docs, docs.where("doc_id < 0").select("doc_id")).collect()}
-    counts, of = Counter(x for t in texts for x in t.split()), Counter((a, b) for t in texts for a, b in zip(["", *t.split()], t.split(), strict=False))
-    total, starts = sum(counts.values()), len(texts)
-    for i in (0, 50, 120):
-        w = texts[i].split()
-        own, pairs = Counter(w), list(zip(["", *w], w, strict=False))
-        own_pairs, bits = Counter(pairs), 0.0
-        for a, b in pairs:
-            c = starts - 1 if not a else counts[a] - own[a]
-            seen = min(1, (of[a, b] - own_pairs[a, b]) / max(1, c))
-            bits -= math.log2(0.5 * seen + 0.5 * (counts[b] - own[b] + 0.1) / (total - len(w) + 0.1 * n))
-        assert abs(got[i].background_bits - bits / len(w)) < 1e-5
-
-
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
