@@ -1,7 +1,7 @@
 """Order-dependent dedup of short sequences (a question's evidence, a chunk's frames) as folds over sorted arrays.
 
-A fold keeps one group in one row: groups are as long as one video's evidence. dedup_large runs the same greedy rule on groups of any
-length in NumPy blocks.
+A fold keeps one group in one row: groups are as long as one video's evidence. dedup_large runs the same greedy rule on longer groups, in
+NumPy blocks within one task.
 """
 
 from __future__ import annotations
@@ -27,38 +27,55 @@ def greedy_similarity(rows: DataFrame, by: str, order: str, vector: str, thresho
     return rows.groupBy(by).agg(kept.alias("_k")).select(by, F.explode("_k").alias("_k")).select(by, F.col("_k.o").alias(order))
 
 
+def first_of_kind(vectors: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
+    """Which rows are below the threshold to all kept before: a block at a time against the kept ones, then row by row within the block."""
+    kept, n, keep = np.empty_like(vectors), 0, np.zeros(len(vectors), bool)
+    for i in range(0, len(vectors), block):
+        part = vectors[i : i + block]
+        free = np.ones(len(part), bool)
+        for j in range(0, n, 4096):
+            free &= ~(np.round(part @ kept[j : min(j + 4096, n)].T, 6) >= threshold).any(axis=1)
+        own = np.round(part @ part.T, 6) >= threshold
+        for k in np.flatnonzero(free):
+            if free[k]:
+                free[k + 1 :] &= ~own[k, k + 1 :]
+        kept[n : n + free.sum()] = part[free]
+        n += int(free.sum())
+        keep[i : i + block] = free
+    return keep
+
+
 def dedup_large(rows: DataFrame, by: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """greedy_similarity for long groups: one matrix product a row block instead of a fold."""
+    """greedy_similarity for long groups: matrix products of blocks instead of a fold. A group's ids and vectors are one task's, as the rule
+    looks back on all that was kept. Vectors of a group have one length; a row without a vector always stays."""
 
     def run(pdf):
-        pdf = pdf.sort_values(order)
-        kept, ids = [], []
-        for o, v in zip(pdf[order], pdf[vector], strict=True):
-            if v is not None and len(v):
-                x = np.asarray(v, float)
-                if kept and (np.round(np.stack(kept) @ x, 6) >= threshold).any():
-                    continue
-                kept.append(x)
-            ids.append(o)
-        return pdf[[by, order]][pdf[order].isin(ids)]
+        pdf = pdf.sort_values(order, kind="stable")
+        has = pdf[vector].map(lambda v: v is not None and len(v) > 0).to_numpy(bool)
+        keep = np.ones(len(pdf), bool)
+        if has.any():
+            keep[has] = first_of_kind(np.stack([np.asarray(v, float) for v in pdf[vector][has]]), threshold)
+        return pdf[[by, order]][keep]
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}")
+    return rows.select(by, order, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}")
 
 
 def recent_hashes(rows: DataFrame, by: str, order: str, hash_: str, most: int = 4, window: int = 10) -> DataFrame:
-    """Rows whose hash differs in more than most bits from each of the last kept. A row without a hash stays and isn't remembered."""
+    """Rows whose hash differs in more than most bits from each of the last kept. A row without a hash stays and isn't remembered. The fold carries
+    the last hashes by themselves, so a step costs the window, not the sequence."""
     item = F.struct(F.col(order).alias("o"), F.col(hash_).alias("h"))
-    kind = rows.select(F.array(item).alias("x")).schema["x"].dataType.simpleString()
+    kind = rows.select(F.array(hash_).alias("x")).schema["x"].dataType.simpleString()
+    start = F.struct(F.expr(f"cast(array() as {kind})").alias("last"), F.expr("cast(array() as array<boolean>)").alias("keep"))
 
     def step(acc, x):
-        known = F.filter(acc, lambda k: k.h.isNotNull())
-        last = F.slice(known, F.greatest(F.size(known) - window + 1, F.lit(1)), window)
-        near = x.h.isNotNull() & F.exists(last, lambda k: hamming(k.h, x.h) <= most)
-        return F.when(near, acc).otherwise(F.concat(acc, F.array(x)))
+        near = x.h.isNotNull() & F.exists(acc.last, lambda h: hamming(h, x.h) <= most)
+        last = F.concat(F.slice(acc.last, F.greatest(F.size(acc.last) - window + 2, F.lit(1)), window), F.array(x.h))
+        return F.struct(F.when(near | x.h.isNull(), acc.last).otherwise(last).alias("last"), F.concat(acc.keep, F.array(~near)).alias("keep"))
 
-    kept = F.aggregate(F.sort_array(F.collect_list(item)), F.expr(f"cast(array() as {kind})"), step)
-    return rows.groupBy(by).agg(kept.alias("_k")).select(by, F.explode("_k").alias("_k")).select(by, F.col("_k.o").alias(order))
+    items = F.sort_array(F.collect_list(item))
+    flagged = rows.groupBy(by).agg(items.alias("_i")).withColumn("_k", F.aggregate("_i", start, step, lambda acc: acc.keep))
+    return flagged.select(by, F.explode(F.arrays_zip("_i", "_k")).alias("_z")).where("_z._k").select(by, F.col("_z._i.o").alias(order))
 
 
 def two_gates(rows: DataFrame, by: str, order: str, hash_: str, vector: str, most: int, threshold: float) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.functions.vector import dot
+from strandex.scratch import written
 
 
 def sessions(frames: DataFrame, by: str, order: list[str], vector: str, theta: float, longest: int) -> DataFrame:
@@ -100,14 +101,16 @@ def first_keys(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
 
 
 def position(rows: DataFrame, order: list[str], name: str = "sample_idx") -> DataFrame:
-    """Numbers rows from 0 in a global order without gathering them in one task: range partitions are numbered by themselves and shifted by
-    the counts of those before, which are one row a partition."""
+    """Numbers rows from 0 in a global order without gathering them in one task: range partitions, written once, are numbered by themselves and
+    shifted by the counts of those before, which are one row a partition. Counts and numbers come from the same written rows, since bounds that are
+    sampled anew could differ. Of rows that are equal in order, any may come first."""
     spark = rows.sparkSession
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    counts = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    part = F.spark_partition_id()
+    numbered = written(ordered.withColumns({"_part": part, "_at": F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)}), "numbered")
     shift, total = [], 0
-    for part, n in counts:
-        shift.append((part, total))
-        total += n
-    return numbered.join(F.broadcast(spark.createDataFrame(shift, "_part int, _shift bigint")), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+    for r in sorted(numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        shift.append((r["_part"], total))
+        total += r["n"]
+    before = F.broadcast(spark.createDataFrame(shift, "_part int, _shift bigint"))
+    return numbered.join(before, "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

@@ -315,13 +315,24 @@ def greedy_dedup_blocks(spark, d):
     return dedup.dedup_large(chunks(spark, d), "video_id", "chunk_id", "v_dynamic", 0.2)
 
 
-@query(None)
+HASHED = "list_sum(list_transform(range(60), lambda i: CASE WHEN v[i + 1] > 0 THEN 1::BIGINT << i ELSE 0::BIGINT END))::BIGINT AS h"
+
+
+@query(f"""WITH RECURSIVE {CHUNKS}, o AS (SELECT video_id, chunk_id, {HASHED}, row_number() OVER (PARTITION BY video_id ORDER BY chunk_id) AS rn FROM c),
+f AS (SELECT video_id, rn, [chunk_id] AS ids, [h] AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT f.video_id, o.rn, CASE WHEN near THEN f.ids ELSE list_append(f.ids, o.chunk_id) END, CASE WHEN near THEN f.kept ELSE list_append(f.kept, o.h) END
+  FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1, LATERAL (SELECT len(list_filter(f.kept[greatest(len(f.kept) - 9, 1):], lambda k: bit_count(xor(k, o.h)) <= 24)) > 0 AS near))
+SELECT video_id, unnest(ids) AS chunk_id FROM f WHERE rn = (SELECT max(rn) FROM o WHERE o.video_id = f.video_id)""")
 def windowed_hash_dedup(spark, d):
     rows = chunks(spark, d).withColumn("h", vector.sign_hash(F.col("v_dynamic")))
     return dedup.recent_hashes(rows, "video_id", "chunk_id", "h", 24, 10)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {CHUNKS}, o AS (SELECT video_id, chunk_id, v, {HASHED}, row_number() OVER (PARTITION BY video_id ORDER BY chunk_id) AS rn FROM c),
+f AS (SELECT video_id, rn, [chunk_id] AS ids, [{{'h': h, 'v': v}}] AS kept FROM o WHERE rn = 1
+  UNION ALL SELECT f.video_id, o.rn, CASE WHEN near THEN f.ids ELSE list_append(f.ids, o.chunk_id) END, CASE WHEN near THEN f.kept ELSE list_append(f.kept, {{'h': o.h, 'v': o.v}}) END
+  FROM f JOIN o ON o.video_id = f.video_id AND o.rn = f.rn + 1, LATERAL (SELECT len(list_filter(f.kept, lambda k: bit_count(xor(k.h, o.h)) <= 18 OR round(list_dot_product(k.v, o.v), 6) >= 0.3)) > 0 AS near))
+SELECT video_id, unnest(ids) AS chunk_id FROM f WHERE rn = (SELECT max(rn) FROM o WHERE o.video_id = f.video_id)""")
 def two_gate_dedup(spark, d):
     rows = chunks(spark, d).withColumn("h", vector.sign_hash(F.col("v_dynamic")))
     return dedup.two_gates(rows, "video_id", "chunk_id", "h", "v_dynamic", 18, 0.3)
@@ -502,7 +513,7 @@ def parse_letter(spark, d):
     return table(spark, d, "documents").select("doc_id", parsing.answer_letter(F.col("text"), F.lit(4)).alias("letter"))
 
 
-@query(None)
+@query("SELECT event_id, 'b' AS answer, CAST(json(props) AS VARCHAR) AS props FROM events")
 def lenient_json(spark, d):
     e = table(spark, d, "events")
     said = F.concat(F.lit("<think>"), F.col("event_type"), F.lit("</think>```json\n{\"answer\": \"b\", \"props\": "), F.col("props"), F.lit("}\n```"))
@@ -608,3 +619,6 @@ def iterative_loop_trace(spark, d):
 def repeated_question_loop(spark, d):
     answers, _ = plans.repeated_question(benchmark_samples(spark, d), written(documents_as_chunks(spark, d), "chunks"), providers.HashEmbedder())
     return answers
+
+
+from strandex.plans import answering  # noqa: E402, F401  it registers its queries here

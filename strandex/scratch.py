@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir (or /tmp where that is unset, as in tests) and read back."""
+    """df, written below spark.checkpoint.dir and read back. Where that is unset, /tmp serves if all runs on this machine, as in tests."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/strandex"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = "file:///tmp/checkpoints/strandex"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

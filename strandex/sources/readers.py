@@ -23,12 +23,19 @@ VIDEO_SUFFIXES = "{mp4,mkv,webm,avi,mov}"
 # --- benchmarks ---------------------------------------------------------------------------------------------------
 
 
+def entries(spark: SparkSession, path: str | list[str], schema) -> DataFrame:
+    """The entries of JSON files that hold one array each, with _source (the file) and _place (from 0, in the file). A file is read by one task."""
+    files = spark.read.text(path, wholetext=True).withColumn("_source", F.input_file_name())
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    return files.select("_source", F.posexplode(F.from_json("value", f"array<{kind}>")).alias("_place", "e")).select("_source", F.col("_place").cast("bigint").alias("_place"), "e.*")
+
+
 def videomme(spark: SparkSession, path: str, durations: list[str] | None = None, most: int | None = None) -> DataFrame:
-    """Samples of the requested duration groups, numbered from 0 after that filter, options without their letters."""
-    raw = spark.read.parquet(path)
+    """Samples of the requested duration groups, numbered from 0 after that filter in the order of the file, options without their letters."""
+    raw = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_source"), F.col("_metadata.row_index").alias("_place"))
     raw = raw.where(F.col("duration").isin(durations)) if durations else raw
     options = F.transform("options", text.without_option_prefix)
-    out = sequence.position(raw, ["question_id"]).select(
+    out = sequence.position(raw, ["_source", "_place"]).select(
         F.lit("videomme").alias("benchmark"), "sample_idx", F.col("videoID").alias("video_id"), "question_id", F.col("task_type").alias("question_type"), "question",
         options.alias("candidates"), text.option_text(F.upper(F.trim("answer")), options).alias("gold_answer"), F.col("duration").alias("duration_group"), F.lit(None).cast("double").alias("duration"), F.lit(None).cast("string").alias("video_path"),
     )
@@ -36,25 +43,27 @@ def videomme(spark: SparkSession, path: str, durations: list[str] | None = None,
 
 
 def mlvu(spark: SparkSession, folder: str, tasks: list[str] | None = None, videos: int | None = None, per_video: int | None = None) -> DataFrame:
-    """Samples of one JSON array a task; entries without candidates are left out, then at most so many videos and questions a video."""
-    raw = spark.read.schema(schemas.MLVU).option("multiLine", True).json(folder).withColumn("_file", F.input_file_name())
-    raw = raw.withColumn("task", text.stem(F.col("_file"))).where(F.col("candidates").isNotNull())
+    """Samples of one JSON array a task, numbered by their place in it; entries without candidates are left out. At most so many videos, those
+    that come first (by task, as listed or else by name, then place), and so many questions a video."""
+    raw = entries(spark, folder, schemas.MLVU).withColumn("task", text.stem(F.col("_source"))).where(F.col("candidates").isNotNull())
     raw = raw.where(F.col("task").isin(tasks)) if tasks else raw
-    rows = sequence.position(raw, ["task", "video", "question"])
-    rows = sequence.first_keys(rows, "video", "sample_idx", videos) if videos else rows
-    rows = sequence.first_per_key(rows, ["video"], ["sample_idx"], per_video) if per_video else rows
+    order = F.array_position(F.array(*map(F.lit, tasks)), F.col("task")) if tasks else F.col("task")
+    rows = raw.withColumns({"video_id": text.stem(F.col("video")), "_seen": F.struct(order.alias("t"), F.col("_place").alias("p"))})
+    rows = sequence.first_keys(rows, "video_id", "_seen", videos) if videos else rows
+    rows = sequence.first_per_key(rows, ["video_id"], ["_seen"], per_video) if per_video else rows
     return rows.select(
-        F.lit("mlvu").alias("benchmark"), "sample_idx", text.stem(F.col("video")).alias("video_id"), F.lit(None).cast("string").alias("question_id"), F.col("task").alias("question_type"), "question", "candidates",
-        F.coalesce("answer", F.lit("")).alias("gold_answer"), F.lit(None).cast("string").alias("duration_group"), "duration", F.concat_ws("/", "task", "video").alias("video_path"),
+        F.lit("mlvu").alias("benchmark"), F.col("_place").alias("sample_idx"), "video_id", F.lit(None).cast("string").alias("question_id"), F.col("task").alias("question_type"), "question", "candidates",
+        F.coalesce("answer", F.lit("")).alias("gold_answer"), F.lit(None).cast("string").alias("duration_group"), F.coalesce("duration", F.lit(0.0)).alias("duration"), F.concat_ws("/", "task", "video").alias("video_path"),
     )
 
 
 def long_video(spark: SparkSession, path: str, durations: list[int] | None = None, most: int | None = None) -> DataFrame:
-    raw = spark.read.schema(schemas.LONG_VIDEO).option("multiLine", True).json(path)
+    """Samples of the requested duration groups, numbered from 0 after that filter in the order of the file."""
+    raw = entries(spark, path, schemas.LONG_VIDEO)
     raw = raw.where(F.col("duration_group").isin(durations)) if durations else raw
-    out = sequence.position(raw, ["video_path", "question"]).select(
-        F.lit("longvideobench").alias("benchmark"), "sample_idx", text.stem(F.col("video_path")).alias("video_id"), F.lit(None).cast("string").alias("question_id"), F.col("question_category").alias("question_type"), "question", "candidates",
-        F.coalesce(F.get("candidates", F.col("correct_choice")), F.lit("")).alias("gold_answer"), F.col("duration_group").cast("string").alias("duration_group"), "duration", "video_path",
+    out = sequence.position(raw, ["_source", "_place"]).select(
+        F.lit("longvideobench").alias("benchmark"), "sample_idx", text.stem(F.col("video_path")).alias("video_id"), F.lit(None).cast("string").alias("question_id"), F.coalesce("question_category", F.lit("")).alias("question_type"), "question", "candidates",
+        F.coalesce(F.get("candidates", F.col("correct_choice")), F.lit("")).alias("gold_answer"), F.coalesce("duration_group", F.lit(0)).cast("string").alias("duration_group"), F.coalesce("duration", F.lit(0.0)).alias("duration"), "video_path",
     )
     return out.where(F.col("sample_idx") < most) if most else out
 
@@ -74,6 +83,17 @@ def video_files(spark: SparkSession, folder: str) -> DataFrame:
     return sequence.first_per_key(found.withColumn("video_id", text.stem(F.col("path"))), ["video_id"], ["path"])
 
 
+def videos(spark: SparkSession, path: str) -> DataFrame:
+    """video_id and path of one video, of those that a list names (a .txt file, a path a line, blank lines skipped), or of all below a folder."""
+    if path.endswith(".txt"):
+        named = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
+    elif path.rsplit(".", 1)[-1] in VIDEO_SUFFIXES.strip("{}").split(","):
+        named = spark.createDataFrame([(path,)], "path string")
+    else:
+        return video_files(spark, path).select("path", "video_id")
+    return named.withColumn("video_id", text.stem(F.col("path")))
+
+
 # --- subtitles ----------------------------------------------------------------------------------------------------
 
 _TIMES = re.compile(r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})")
@@ -179,7 +199,7 @@ def pyramid_text(layer: int, start: Column, end: Column, said: Column, timeline:
 
 def pyramid_banks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of L1.jsonl to L4.jsonl with vectors inline. Rows and vectors meet by the row's place in the file, which the writer keeps in
-    step (idx counts windows, and windows without frames have no row)."""
+    step (idx counts windows, and windows without frames have no row). A window that names no frame has a visual vector of zeros."""
     file = lambda k: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"L{k}.jsonl")
     place = lambda df: df.withColumn("folder", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
     number = lambda df: df.withColumn("row", F.row_number().over(sequence.Window.partitionBy("folder").orderBy("idx")).cast("bigint") - 1)
@@ -193,7 +213,9 @@ def pyramid_banks(spark: SparkSession, folder: str) -> DataFrame:
         vec = z.where(F.col("name") == f"L{k}_text").select("folder", "row", F.col("v").alias("v_dynamic"))
         rows = rows.join(vec, ["folder", "row"], "left")
         if k == 1:
-            rows = rows.join(pooled, ["folder", "row"], "left")
+            width = z.where("name = 'L1_visual'").groupBy("folder").agg(F.max(F.size("v")).alias("_width"))
+            none = F.when(F.col("_width").isNotNull(), F.array_repeat(F.lit(0.0), F.col("_width")))
+            rows = rows.join(pooled, ["folder", "row"], "left").join(width, "folder", "left").withColumn("v_visual", F.coalesce("v_visual", none))
             own = {"keyframe_path": F.get("frame_paths", F.lit(0)), "keyframe_ts": F.get("frame_ts", F.lit(0)), "sampled_frames": F.col("frame_ts"), "memory_text": F.col("text")}
         else:
             own = {"memory_text": pyramid_text(k, F.col("t_start"), F.col("t_end"), F.col("text"), F.col("timeline"))}
@@ -202,8 +224,28 @@ def pyramid_banks(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def bank(spark: SparkSession, path: str, kind: str = "file") -> DataFrame:
-    """Chunks of a collection of banks of one kind: file, lines, legacy or pyramid."""
+def kind_of(spark: SparkSession, path: str) -> tuple[str, str]:
+    """(kind, path) of the bank at a path: a file; a folder with L1.jsonl is a pyramid, any other with narrative.json a legacy one; else the JSON file
+    beside it that has its name."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda p: fs.exists(jvm.org.apache.hadoop.fs.Path(p))
+    if fs.exists(root) and fs.getFileStatus(root).isFile():
+        return "file", path
+    folder = path.rstrip("/")
+    for name, kind in (("L1.jsonl", "pyramid"), ("narrative.json", "legacy")):
+        if there(f"{folder}/{name}"):
+            return kind, folder
+    if there(f"{folder}.json"):
+        return "file", f"{folder}.json"
+    raise ValueError(f"no bank at {path}")
+
+
+def bank(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Chunks of a bank, or of a collection of banks of one kind: file, lines, legacy or pyramid. Without a kind, what is at the path tells it."""
+    if kind is None:
+        kind, path = kind_of(spark, path)
     return {"file": bank_files, "lines": lambda s, p: bank_files(s, p, True), "legacy": legacy_banks, "pyramid": pyramid_banks}[kind](spark, path)
 
 

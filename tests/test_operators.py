@@ -1,12 +1,15 @@
 """Hand-made rows that pin edge semantics, and loop models beside the window plans."""
 
+import json
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandex.functions import parsing, text, vector
-from strandex.operators import dedup, joins, retrieval, sequence, verdict
+from strandex.operators import answers, dedup, joins, retrieval, sequence, verdict
 
 
 def one(spark, column, **values):
@@ -217,3 +220,64 @@ def test_greedy_is_maximal(spark, points):
     near = lambda a, b: round(sum(x * y for x, y in zip(v[a], v[b], strict=True)), 6) >= 0.5
     assert not any(near(a, b) for a in kept for b in kept if a < b)
     assert all(i in kept or any(near(k, i) for k in kept if k < i) for i in range(len(v)))
+
+
+def test_position_at_size(spark):
+    """More and wider rows than the range partitioner samples, in no order."""
+    n = 600_000
+    rows = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), (F.col("id") % 7).cast("int")).alias("wide")).repartition(5)
+    got = sequence.position(rows, ["k"])
+    assert got.where("sample_idx <> k").count() == 0 and got.count() == n
+    assert sequence.position(rows.limit(0), ["k"]).count() == 0
+
+
+def test_dedup_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(900, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    kept = []
+    for x in v:
+        if not kept or (np.round(np.stack(kept) @ x, 6) < 0.8).all():
+            kept.append(x)
+    for block in (1, 64, 2000):
+        keep = dedup.first_of_kind(v, 0.8, block)
+        assert (v[keep] == np.stack(kept)).all()
+    rows = [(0, i, x.tolist()) for i, x in enumerate(v)] + [(1, 5, None), (1, 6, []), (1, 7, v[0].tolist()), (1, 8, v[0].tolist()), (2, 0, None)]
+    df = spark.createDataFrame(rows, "k int, i int, v array<double>")
+    got = sorted(map(tuple, dedup.dedup_large(df, "k", "i", "v", 0.8).collect()))
+    assert got == sorted([(0, int(i)) for i in np.flatnonzero(dedup.first_of_kind(v, 0.8))] + [(1, 5), (1, 6), (1, 7), (2, 0)])
+
+
+def test_recent_hashes_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 3)), i, int(rng.integers(0, 64)) if i % 9 else None) for i in range(300)]
+    got = sorted(map(tuple, dedup.recent_hashes(spark.createDataFrame(rows, "k int, i int, h bigint"), "k", "i", "h", 1, 4).collect()))
+    want, last = [], {}
+    for k, i, h in rows:
+        if h is None:
+            want.append((k, i))
+        elif all(bin(h ^ x).count("1") > 1 for x in last.get(k, [])[-4:]):
+            want.append((k, i))
+            last.setdefault(k, []).append(h)
+    assert got == sorted(want)
+
+
+def test_rubric(tmp_path):
+    from strandex.plans.rubric import Rubric
+
+    data = {"general": {"rubric_criteria": [{"name": "g"}], "sufficient_threshold": 0.7}, "templates": {"t": {"rubric_criteria": [{"name": "x"}], "scoring_rule": "minimum"}, "u": {}}, "type_aliases": {"Kind": "t"}, "keyword_rules": [{"keywords": "why", "qtype": "u"}]}
+    (tmp_path / "r.json").write_text(json.dumps(data))
+    r = Rubric.read(str(tmp_path / "r.json"))
+    assert (r.combined("t"), r.combined("u"), r.combined("")) == ((["g", "x"], "minimum", 0.7), (["g"], "average", 0.7), (["g"], "average", 0.7))
+    with pytest.raises(ValueError, match="general"):
+        Rubric.of({"templates": {}})
+
+
+def test_answers_without_evidence(spark):
+    key = spark.createDataFrame([(1, [], "[3]"), (2, [3, 4], "none"), (3, [3, 4], "take [4, 9]"), (4, [3], "[]")], "k int, ids array<bigint>, said string")
+    frames = spark.createDataFrame([(k, c) for k in (1, 2, 3, 4) for c in (3, 4)], "k int, chunk_id bigint")
+    got = sorted((r.k, r.chunk_id, r.status) for r in answers.gated(frames, key, "k").collect())
+    assert got == [(2, 3, "fail"), (2, 4, "fail"), (3, 4, "ok")]
+    said = spark.createDataFrame([("{\"selected\": [5, 1, 0, 1]}", 3), ("{\"selected\": []}", 2), ("{broken", 5), (None, 0)], "s string, n int")
+    got = [[(p.idx, p.score) for p in r.p] for r in said.select(answers.selected(F.col("s"), F.col("n"), 2).alias("p")).collect()]
+    assert got == [[(1, 1.0), (0, 0.99)], [(0, 1.0), (1, 1.0)], [(0, 1.0), (1, 1.0)], []]

@@ -43,22 +43,39 @@ def test_benchmarks(spark, tmp_path):
     rows = [("v1", "long", "q2", "t", "Q?", ["A. cat", "B. dog"], "B"), ("v2", "short", "q1", "t", "Q?", ["A. x"], "A"), ("v3", "long", "q0", "t", "Q?", ["A. p", "B. q"], "A")]
     spark.createDataFrame(rows, "videoID string, duration string, question_id string, task_type string, question string, options array<string>, answer string").write.parquet(str(tmp_path / "mme"))
     got = readers.videomme(spark, str(tmp_path / "mme"), ["long"]).orderBy("sample_idx").collect()
-    assert [(r.sample_idx, r.question_id, r.candidates[1], r.gold_answer) for r in got] == [(0, "q0", "q", "p"), (1, "q2", "dog", "dog")]
+    assert [(r.sample_idx, r.question_id, r.candidates[1], r.gold_answer) for r in got] == [(0, "q2", "dog", "dog"), (1, "q0", "q", "p")]
     (tmp_path / "mlvu").mkdir()
-    (tmp_path / "mlvu/count.json").write_text(json.dumps([{"video": "a.mp4", "duration": 9, "question": f"q{i}", "candidates": ["1", "2"], "answer": "2"} for i in range(3)] + [{"video": "b.mp4", "question": "open"}]))
+    item = lambda video, q: {"video": video, "duration": 9, "question": q, "candidates": ["1", "2"], "answer": "2"}
+    (tmp_path / "mlvu/count.json").write_text(json.dumps([{"video": "b.mp4", "question": "open"}] + [item("c.mp4", f"z{i}") for i in range(3)] + [item("a.mp4", "y")]))
+    (tmp_path / "mlvu/order.json").write_text(json.dumps([item("b.mp4", "x"), item("a.mp4", "w")]))
     got = readers.mlvu(spark, str(tmp_path / "mlvu"), per_video=2).collect()
-    assert sorted((r.video_id, r.question, r.question_type) for r in got) == [("a", "q0", "count"), ("a", "q1", "count")]
+    assert sorted((r.question_type, r.sample_idx, r.video_id, r.question) for r in got) == [("count", 1, "c", "z0"), ("count", 2, "c", "z1"), ("count", 4, "a", "y"), ("order", 0, "b", "x"), ("order", 1, "a", "w")]
+    got = readers.mlvu(spark, str(tmp_path / "mlvu"), ["order", "count"], videos=2, per_video=1).collect()
+    assert sorted((r.question_type, r.sample_idx, r.video_id) for r in got) == [("order", 0, "b"), ("order", 1, "a")]
     (tmp_path / "lvb.json").write_text(json.dumps([{"video_path": "z/c.mp4", "question": "q", "candidates": ["x", "y"], "correct_choice": 1, "duration": 5, "duration_group": 15, "question_category": "k"}]))
     r = readers.long_video(spark, str(tmp_path / "lvb.json"), [15]).first()
     assert (r.video_id, r.gold_answer) == ("c", "y")
 
 
+def test_benchmark_numbers_at_size(spark, tmp_path):
+    """Numbers follow the file's order whatever the question ids, over more rows than a range partitioner samples."""
+    n = 500_000
+    rows = spark.range(n, numPartitions=1).select(F.lit("long").alias("duration"), F.concat(F.lit("v"), F.col("id") % 97).alias("videoID"), F.md5(F.col("id").cast("string")).alias("question_id"), F.lit("t").alias("task_type"), F.col("id").cast("string").alias("question"), F.array(F.lit("A. x"), F.lit("B. y")).alias("options"), F.lit("A").alias("answer"))
+    rows.write.parquet(str(tmp_path / "mme"))
+    got = readers.videomme(spark, str(tmp_path / "mme"), ["long"])
+    assert got.where("sample_idx <> cast(question as bigint)").count() == 0 and got.select("sample_idx").distinct().count() == n
+
+
 def test_video_files(spark, tmp_path):
     for p in ("a/x.mp4", "b/x.mkv", "b/y.avi", "b/z.txt"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_bytes(b"0")
     got = {r.video_id: r.path for r in readers.video_files(spark, str(tmp_path)).collect()}
     assert sorted(got) == ["x", "y"] and got["x"].endswith("a/x.mp4")
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/b/y.avi\n\n  {tmp_path}/a/x.mp4 \n")
+    assert sorted(r.video_id for r in readers.videos(spark, str(tmp_path / "list.txt")).collect()) == ["x", "y"]
+    assert [r.video_id for r in readers.videos(spark, str(tmp_path / "b/x.mkv")).collect()] == ["x"]
+    assert sorted(r.video_id for r in readers.videos(spark, str(tmp_path)).collect()) == ["x", "y"]
 
 
 def chunk_rows(spark, rows):
@@ -98,8 +115,14 @@ def test_pyramid_bank(spark, tmp_path):
         (d / f"L{k}.jsonl").write_text(json.dumps({"idx": 0, "t_start": 0.0, "t_end": 30.0, "text": "up", "timeline": ["p", "q"], "causality": ["r"]}))
     np.savez(d / "v.npz", L1_text=np.array([[1.0, 0.0], [0.0, 1.0]]), L2_text=np.ones((1, 2)), L3_text=np.ones((1, 2)), L4_text=np.ones((1, 2)), L1_visual=np.array([[1.0, 0.0], [0.0, 1.0]]))
     got = {r.chunk_id: r for r in readers.bank(spark, str(tmp_path), "pyramid").collect()}
-    assert (got[0].v_visual, got[0].keyframe_path, got[2].v_dynamic, got[2].v_visual) == ([0.5, 0.5], "f0", [0.0, 1.0], None)
+    assert (got[0].v_visual, got[0].keyframe_path, got[2].v_dynamic, got[2].v_visual) == ([0.5, 0.5], "f0", [0.0, 1.0], [0.0, 0.0])
     assert got[100000].memory_text == "[L2][0s-30s] up\nTimeline: p → q"
+    assert readers.bank(spark, str(d)).count() == 5
+    (tmp_path / "one.json").write_text(json.dumps({"video_id": "one", "chunks": [{"chunk_id": 1, "memory_text": "x"}]}))
+    assert [r.memory_text for r in readers.bank(spark, str(tmp_path / "one.json")).collect()] == ["x"]
+    assert [r.memory_text for r in readers.bank(spark, str(tmp_path / "one")).collect()] == ["x"]
+    with pytest.raises(ValueError, match="bank"):
+        readers.bank(spark, str(tmp_path / "nothing"))
 
 
 def test_frames(spark, tmp_path):
