@@ -63,23 +63,39 @@ def turn_struct() -> Column:
     return F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: Where the rejected side of a pair leaves the chosen one: at once, before the first answer, half way, before the last answer, never.
+PLACES = 5
+
+
+def leaves_after(turns: Column, place: Column) -> Column:
+    """How many turns the rejected side keeps; without an answer to leave before, all."""
+    n = F.size(turns)
+    answers = F.transform(turns, lambda t: t.role == "assistant")
+    first = F.array_position(answers, True)
+    last = F.array_position(F.reverse(answers), True)
+    before = lambda at: F.when(at > 0, at - 1).otherwise(n)
+    return F.when(place == 0, 0).when(place == 1, before(first)).when(place == 2, F.floor(n / 2)).when(place == 3, before(F.when(last > 0, n - last + 1).otherwise(0))).otherwise(n).cast("int")
+
+
 def regenerated_pairs(conversations: DataFrame) -> DataFrame:
-    """Preference pairs out of single conversations: chosen is the conversation up to its last assistant turn, rejected has in place of
-    that turn the last assistant turn of the neighbour (ids 2k and 2k+1 are neighbours). A conversation pairs only if both have one."""
-    conv = conversations.where("conv_id is not null").select(F.col("conv_id"), turn_struct().alias("t"))
+    """A preference pair for every conversation: chosen is the conversation, rejected begins like it and then goes on as its neighbour does from
+    the same place on (ids 2k and 2k + 1 are neighbours; where one is absent, rejected just ends there). Where it leaves depends on the id."""
+    conv = conversations.where("conv_id is not null").select(F.col("conv_id").cast("bigint").alias("conv_id"), turn_struct().alias("t"))
     blocks = conv.groupBy(F.shiftright("conv_id", 1).alias("block")).agg(F.sort_array(F.collect_list(F.struct("conv_id", "t"))).alias("rows"))
 
     def side(parity: int) -> Column:
         own = F.filter(F.col("rows"), lambda r: F.pmod(r.conv_id, F.lit(2)) == parity)
-        turns = F.transform(own, lambda r: F.struct(r.t.role.alias("role"), r.t.text.alias("text")))
-        last = lambda x: F.size(x) - F.array_position(F.reverse(F.transform(x, lambda t: t.role)), "assistant") + 1
-        return let(turns, lambda x: F.when(F.exists(x, lambda t: t.role == "assistant"), F.slice(x, 1, last(x).cast("int"))))
+        return F.transform(own, lambda r: F.struct(r.t.role.alias("role"), r.t.text.alias("text")))
+
+    both = blocks.select("block", side(0).alias("a"), side(1).alias("b"))
+    place = F.pmod("block", F.lit(PLACES))
+
+    def pair(k: int, x: Column, y: Column) -> Column:
+        rejected = let(leaves_after(x, place), lambda n: F.concat(F.slice(x, 1, n), F.slice(y, n + 1, F.greatest(F.size(y) - n, F.lit(0)))))
+        return F.struct((F.shiftleft("block", 1) + k).alias("pair_id"), x.alias("chosen"), rejected.alias("rejected"))
 
-    both = blocks.select("block", side(0).alias("a"), side(1).alias("b")).where("a is not null and b is not null")
-    swap = lambda x, y: F.concat(F.slice(x, 1, F.size(x) - 1), F.slice(y, -1, 1))
-    a, b = F.col("a"), F.col("b")
-    pair = lambda k, x, y: F.struct((F.shiftleft("block", 1) + k).alias("pair_id"), x.alias("chosen"), swap(x, y).alias("rejected"))
-    return both.select(F.explode(F.array(pair(0, a, b), pair(1, b, a))).alias("p")).select("p.*")
+    pairs = both.select(F.explode(F.array(pair(0, F.col("a"), F.col("b")), pair(1, F.col("b"), F.col("a")))).alias("p")).select("p.*")
+    return pairs.where(F.size("chosen") > 0)
 
 
 def op1_preference_format(spark, sf_dir: str) -> DataFrame:
@@ -90,22 +106,31 @@ def op1_preference_format(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS n
   FROM conversations WHERE conv_id IS NOT NULL),
-last AS (SELECT conv_id, max(n) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id),
-reply AS (SELECT t.conv_id, t.n, t.text FROM t JOIN last USING (conv_id, n)),
-context AS (
-  SELECT l.conv_id, count(t.n) AS k, coalesce(string_agg('<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10), '' ORDER BY t.n), '') AS prompt
-  FROM last l LEFT JOIN t ON t.conv_id = l.conv_id AND t.n < l.n GROUP BY l.conv_id),
-both_sides AS (
-  SELECT c.conv_id, c.k, c.prompt, a.text AS x, b.text AS y,
-         '<|assistant|>' || chr(10) || a.text || '<|end|>' || chr(10) AS rx, '<|assistant|>' || chr(10) || b.text || '<|end|>' || chr(10) AS ry
-  FROM context c JOIN reply a ON a.conv_id = c.conv_id JOIN reply b ON b.conv_id = xor(c.conv_id, 1))
-SELECT conv_id AS pair_id, CAST(k + (x = y)::INT AS BIGINT) AS n_common,
-       CASE WHEN x = y THEN prompt || rx ELSE prompt END AS prompt,
-       CASE WHEN x = y THEN '' ELSE rx END AS chosen, CASE WHEN x = y THEN '' ELSE ry END AS rejected,
-       CASE WHEN x = y THEN '' ELSE '14-' || (14 + length(x))::VARCHAR END AS chosen_spans,
-       CASE WHEN x = y THEN '' ELSE '14-' || (14 + length(y))::VARCHAR END AS rejected_spans
-FROM both_sides
+size AS (
+  SELECT conv_id, count(*) AS n, coalesce(min(n) FILTER (role = 'assistant') - 1, count(*)) AS first, coalesce(max(n) FILTER (role = 'assistant') - 1, count(*)) AS last
+  FROM t GROUP BY conv_id),
+leave AS (SELECT conv_id, CASE (conv_id >> 1) % 5 WHEN 0 THEN 0 WHEN 1 THEN first WHEN 2 THEN n // 2 WHEN 3 THEN last ELSE n END AS after FROM size),
+rejected AS (
+  SELECT l.conv_id, t.n, t.role, t.text FROM leave l JOIN t ON t.conv_id = l.conv_id AND t.n <= l.after
+  UNION ALL SELECT l.conv_id, t.n, t.role, t.text FROM leave l JOIN t ON t.conv_id = xor(l.conv_id, 1) AND t.n > l.after),
+met AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.n, r.n) AS n, coalesce(c.role = r.role AND c.text = r.text, FALSE) AS same
+  FROM t c FULL JOIN rejected r ON c.conv_id = r.conv_id AND c.n = r.n),
+common AS (SELECT conv_id, coalesce(min(n) FILTER (NOT same) - 1, max(n)) AS k FROM met GROUP BY conv_id),
+sides AS (SELECT 'c' AS side, conv_id, n, role, text FROM t UNION ALL SELECT 'r', conv_id, n, role, text FROM rejected),
+drawn AS (
+  SELECT s.conv_id, s.side, s.n, s.role, length(s.role) AS w, length(s.text) AS x, s.n > k AS own, '<|' || s.role || '|>' || chr(10) || s.text || '<|end|>' || chr(10) AS d
+  FROM sides s JOIN common USING (conv_id)),
+placed AS (SELECT *, coalesce(sum(length(d)) FILTER (own) OVER (PARTITION BY conv_id, side ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2 + w + 3 AS spot FROM drawn),
+texts AS (
+  SELECT conv_id, string_agg(d, '' ORDER BY n) FILTER (side = 'c' AND NOT own) AS prompt, string_agg(d, '' ORDER BY n) FILTER (side = 'c' AND own) AS chosen, string_agg(d, '' ORDER BY n) FILTER (side = 'r' AND own) AS rejected,
+         string_agg(spot::BIGINT || '-' || (spot + x)::BIGINT, ',' ORDER BY n) FILTER (side = 'c' AND own AND role = 'assistant') AS chosen_spans,
+         string_agg(spot::BIGINT || '-' || (spot + x)::BIGINT, ',' ORDER BY n) FILTER (side = 'r' AND own AND role = 'assistant') AS rejected_spans
+  FROM placed GROUP BY conv_id)
+SELECT conv_id AS pair_id, CAST(k AS BIGINT) AS n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected,
+       coalesce(chosen_spans, '') AS chosen_spans, coalesce(rejected_spans, '') AS rejected_spans
+FROM common JOIN texts USING (conv_id)
 """
