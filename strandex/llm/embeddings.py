@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandex.llm.common import Scratch, components, roots, table
+from strandex.llm.common import Scratch, components, roots, table, tidy
 
 SAMPLE, CELL, BLOCK, ROUNDS = 20_000, 512, 1024, 8
+#: Cells whose sizes are broadcast at most; those of more are joined.
+MOST_BLOCKS = 100_000
 
 
 def usable(v):
@@ -54,18 +56,22 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5)
 
 
 def fit_cells(vectors: DataFrame, seed: int = 5) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids by label and length, from a bounded sample; a cell for every CELL directions of the label."""
-    sizes = vectors.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r.n for r in sizes)
+    """Centroids by label and length, from a bounded sample; a cell for every CELL directions of the label. What comes to the driver is the sample and
+    a count for each label in it; labels outside it are one cell each."""
+    spark, total = vectors.sparkSession, vectors.count()
     if not total:
         return {}
     share = min(1.0, 1.2 * SAMPLE / total)
     sample = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "dim", "v").limit(2 * SAMPLE).toPandas()
+    if not len(sample):
+        return {}
+    groups = dict(list(sample.groupby(["label", "dim"])))
+    known = F.broadcast(spark.createDataFrame([(int(a), int(b)) for a, b in groups], "label bigint, dim int"))
+    sizes = {(r.label, r.dim): r.n for r in vectors.join(known, ["label", "dim"], "left_semi").groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = {}
-    for (label, dim), rows in sample.groupby(["label", "dim"]):
+    for key, rows in groups.items():
         x = unit(np.stack([np.frombuffer(v, np.float64) for v in rows.v]))
-        n = next(r.n for r in sizes if r.label == label and r.dim == dim)
-        out[label, dim] = spherical_kmeans(x, max(1, min(-(-n // CELL), len(x) // 8, 1024)), seed=seed)
+        out[key] = spherical_kmeans(x, max(1, min(-(-sizes[key] // CELL), len(x) // 8, 1024)), seed=seed)
     return out
 
 
@@ -142,14 +148,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
             raw = [flat[off[i] : off[i + 1]].tobytes() for i in range(len(dim))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dim, pa.int32()), pa.array(raw, pa.binary())], names=["id", "label", "dim", "v"])
 
-    flat = scratch.save(good.mapInArrow(packed, "id bigint, label bigint, dim int, v binary"), "flat")
+    flat = scratch.save(good.mapInArrow(tidy(packed), "id bigint, label bigint, dim int, v binary"), "flat")
     folded = scratch.save(flat.groupBy("label", "dim", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).select("rep", "label", "dim", "v", "n"), "folded")
     cells = fit_cells(folded)
-    placed = scratch.save(folded.mapInArrow(visits(cells, threshold), "rep bigint, label bigint, dim int, v binary, n bigint, cell bigint, owner boolean"), "placed")
+    placed = scratch.save(folded.mapInArrow(tidy(visits(cells, threshold)), "rep bigint, label bigint, dim int, v binary, n bigint, cell bigint, owner boolean"), "placed")
     # Blocks by a hash of the id: as many as the cell's owners and visitors need.
     place = ["label", "dim", "cell"]
-    blocks = placed.groupBy(*place).agg((F.floor(F.count_if("owner") / BLOCK) + 1).alias("own_blocks"), (F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("all_blocks"))
-    dealt = placed.join(F.broadcast(blocks) if sum(map(len, cells.values())) < 100_000 else blocks, place).withColumn("h", F.xxhash64("rep"))
+    blocks = scratch.save(placed.groupBy(*place).agg((F.floor(F.count_if("owner") / BLOCK) + 1).alias("own_blocks"), (F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("all_blocks")), "blocks")
+    dealt = placed.join(F.broadcast(blocks) if blocks.count() <= MOST_BLOCKS else blocks, place).withColumn("h", F.xxhash64("rep"))
     own = dealt.where("owner").select(*place, F.pmod("h", "own_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"), F.lit(0).alias("side"), "rep", "v", "n")
     meet = dealt.select(*place, F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.pmod("h", "all_blocks").alias("j"), F.lit(1).alias("side"), "rep", "v", "n")
     found = scratch.save(own.union(meet).groupBy(*place, "i", "j").applyInArrow(block_product(threshold), PARTNERS), "found")
