@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.functions import text
-from strandex.functions.vector import dot, fuse
+from strandex.functions.vector import dot, fuse, tokens
+from strandex.operators import answers as overrides
 from strandex.operators import dedup, retrieval, sequence, verdict
 from strandex.plans.providers import lexical_judge
 from strandex.scratch import written
@@ -72,7 +73,12 @@ class Loop:
     single_query: bool = False  # the first round asks the question only
     judge_by_rubric: bool = True  # else the judge's word counts without a threshold
     ignore_verifier: bool = False  # later rounds ask the question again
-    oracle: bool = False  # stop where the judged answer is the gold one
+    oracle: bool = False  # the gold answer overrides the verdict: met, the sample is done; missed, its option is unknown and the others false
+    query_similarity: float = 0.9  # later queries that are so like one asked before go
+    query_drift: float | None = 0.9  # and those that are so near to what was found
+    repeat_queries: bool = False  # neither filter
+    visual_similarity: float = 0.9
+    most_keyframes: int = 16
 
 
 def options_of(samples: DataFrame) -> DataFrame:
@@ -94,40 +100,83 @@ def next_queries(samples: DataFrame, options: DataFrame, how: Loop) -> DataFrame
     return samples.join(open_, KEY, "left").select(KEY, "video_id", F.posexplode(q).alias("q_pos", "query"))
 
 
-def run_loop(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], how: Loop | None = None, judge=lexical_judge) -> tuple[DataFrame, DataFrame]:
-    """samples: sample_key, video_id, question, candidates, gold; chunks: video_id, chunk_id, memory_text, v_dynamic.
+def found_by(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k nearest chunks of each query: ids and vectors are scored, and only the winners get their texts."""
+    narrow = chunks.select("video_id", "chunk_id", "v_dynamic")
+    top = retrieval.top_k(retrieval.scored(asked.select(KEY, "video_id", "q_pos", "q_vec"), narrow, "video_id").drop("q_vec"), [KEY, "q_pos"], k)
+    return top.join(chunks.select("video_id", "chunk_id", "memory_text"), ["video_id", "chunk_id"])
 
-    Returns (answers: sample_key, answer, label, rounds, n_evidence; trace: a row a question and round)."""
+
+def broadcast_found(samples: DataFrame, chunks: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """Chunks spread over the videos of samples whose queries were all dropped, in the form of found_by."""
+    rows = timeline(samples, chunks.withColumn("start_time", F.col("start_time") if "start_time" in chunks.columns else F.col("chunk_id").cast("double")), seen, k)
+    rank = F.row_number().over(sequence.Window.partitionBy(KEY).orderBy("start_time", "chunk_id"))
+    return rows.select("video_id", "chunk_id", KEY, F.lit(0).alias("q_pos"), "v_dynamic", F.lit(0.0).alias("score"), rank.alias("rank"), "memory_text")
+
+
+def keyframe_counts(evidence: DataFrame, chunks: DataFrame, how: Loop) -> DataFrame:
+    """How many keyframes the evidence of each question has: in its order, without those near to one before, capped. Of chunks without a visual vector
+    each has its own."""
+    if "v_visual" not in chunks.columns:
+        return evidence.groupBy(KEY).agg(F.lit(0).cast("bigint").alias("n_keyframes"))
+    rows = evidence.select(KEY, "video_id", "chunk_id", "ord").join(chunks.select("video_id", "chunk_id", "v_visual"), ["video_id", "chunk_id"])
+    kept = dedup.greedy_similarity(rows, KEY, "ord", "v_visual", how.visual_similarity)
+    return kept.groupBy(KEY).agg(F.least(F.count(F.lit(1)), F.lit(how.most_keyframes)).alias("n_keyframes"))
+
+
+def run_loop(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], how: Loop | None = None, judge=lexical_judge, plan: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """samples: sample_key, video_id, question, candidates, gold; chunks: video_id, chunk_id, memory_text, v_dynamic and, if there, v_visual, start_time.
+
+    Each round asks its queries (from the second on, those that are neither like an earlier one nor near to what was found; where none is left, chunks
+    spread over the video are taken), adds what is new and not near to the evidence, and judges. plan(live samples, judged options) gives the queries of
+    later rounds (sample_key, video_id, q_pos, query); without it they follow from the options that are unknown.
+
+    Returns (answers: sample_key, answer, label, rounds, n_evidence, n_keyframes; trace: a row a question and round)."""
     how = how or Loop()
     options = options_of(samples)
     queries, live = first_queries(samples, how), samples
-    evidence = seen = trace = None
+    evidence = seen = trace = history = None
     answers = []
     for i in range(how.max_rounds):
-        asked = queries.withColumn("q_vec", embed(F.col("query")))
-        found = retrieval.top_k(retrieval.scored(asked, chunks, "video_id"), [KEY, "q_pos"], how.top_k)
+        asked = queries.withColumn("q_vec", embed(F.col("query"))).withColumn("tokens", tokens(F.col("query")))
+        strategy = live.select(KEY, F.lit("targeted").alias("strategy"))
+        if i and not how.repeat_queries:
+            judged_queries = written(overrides.targeted_or_broadcast(asked, history, evidence.select(KEY, F.col("v_dynamic").alias("v")), KEY, how.query_similarity, how.query_drift), "plan")
+            asked = asked.join(judged_queries.where("kept").select(KEY, "q_pos"), [KEY, "q_pos"], "left_semi")
+            strategy = judged_queries.select(KEY, "strategy").distinct()
+        asked = written(asked, "asked")
+        found = found_by(asked, chunks, how.top_k)
         if seen is not None:
             found = retrieval.unseen(found, seen, [KEY, "chunk_id"])
-        new = retrieval.first_seen(found, [KEY]).select(KEY, F.struct(F.lit(i).alias("round"), "q_pos", "rank").alias("ord"), "chunk_id", F.col("memory_text").alias("text"), "v_dynamic")
+            if not how.repeat_queries:
+                idle = live.join(strategy.where("strategy = 'broadcast'"), KEY, "left_semi")
+                found = found.unionByName(broadcast_found(idle, chunks, seen, how.top_k).select(*found.columns))
+        was = asked.select(KEY, "tokens") if history is not None else asked.select(KEY, "tokens").unionByName(samples.select(KEY, tokens(F.col("question")).alias("tokens")))
+        history = was if history is None else history.unionByName(was)
+        new = retrieval.first_seen(found, [KEY]).select(KEY, F.struct(F.lit(i).alias("round"), "q_pos", "rank").alias("ord"), "video_id", "chunk_id", F.col("memory_text").alias("text"), "v_dynamic")
         pool = new if evidence is None else evidence.join(live.select(KEY), KEY, "left_semi").unionByName(new)
         pool = written(pool, "pool")
         kept = dedup.greedy_similarity(pool, KEY, "ord", "v_dynamic", how.evidence_similarity)
-        evidence = sequence.first_per_key(pool.join(kept, [KEY, "ord"], "left_semi"), [KEY], ["ord"], how.most_evidence)
+        evidence = written(sequence.first_per_key(pool.join(kept, [KEY, "ord"], "left_semi"), [KEY], ["ord"], how.most_evidence), "evidence")
         seen = pool.select(KEY, "chunk_id") if seen is None else seen.unionByName(pool.select(KEY, "chunk_id"))
         judged = judge(options.join(live.select(KEY), KEY, "left_semi"), evidence, KEY).join(options, [KEY, "opt"])
         score = F.col("rubric_score") if how.judge_by_rubric else F.lit(1.0)
         judged = written(judged.withColumn("judgment", verdict.enforced(score, F.col("said"), how.threshold)), "judged")
         said = judged.groupBy(KEY).agg(F.max_by("opt", F.struct((F.col("said") == "true").cast("int"), F.col("rubric_score"))).alias("answer"))
         state = verdict.verdicts(judged, KEY, how.margin).join(said, KEY).join(live.select(KEY, "gold"), KEY).withColumn("round", F.lit(i))
-        state = state.join(evidence.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_evidence")), KEY, "left")
-        state = written(state, "state")
+        if how.oracle:
+            over = overrides.against_gold(judged.select(KEY, "opt", "judgment"), state.select(KEY, "answer", "gold", "label"), KEY, "opt")
+            judged = written(judged.drop("judgment").join(over.select(KEY, "opt", "judgment"), [KEY, "opt"]), "overridden")
+            state = state.drop("label").join(over.groupBy(KEY).agg(F.first("label").alias("label")), KEY)
+        state = state.join(evidence.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_evidence")), KEY, "left").join(keyframe_counts(evidence, chunks, how), KEY, "left")
+        state = written(state.join(strategy, KEY, "left").withColumn("strategy", F.coalesce("strategy", F.lit("broadcast"))), "state")
         trace = state if trace is None else trace.unionByName(state)
-        enough = (F.col("answer") == F.col("gold")) if how.oracle else F.col("label") != "INSUFFICIENT"
-        over = state if i == how.max_rounds - 1 else state.where(enough)
-        answers.append(over.select(KEY, "answer", "label", (F.col("round") + 1).alias("rounds"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence")))
+        over = state if i == how.max_rounds - 1 else state.where("label <> 'INSUFFICIENT'")
+        counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_evidence", "n_keyframes")]
+        answers.append(over.select(KEY, "answer", "label", (F.col("round") + 1).alias("rounds"), *counted))
         live = live.join(over.select(KEY), KEY, "left_anti")
         if i < how.max_rounds - 1:
-            queries = next_queries(live, judged, how)
+            queries = plan(live, judged) if plan else next_queries(live, judged, how)
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
@@ -137,4 +186,4 @@ def run_loop(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Co
 def repeated_question(samples: DataFrame, chunks: DataFrame, embed, how: Loop | None = None) -> tuple[DataFrame, DataFrame]:
     """The loop that asks the same question every round."""
     how = how or Loop()
-    return run_loop(samples, chunks, embed, Loop(**{**vars(how), "single_query": True, "ignore_verifier": True}))
+    return run_loop(samples, chunks, embed, Loop(**{**vars(how), "single_query": True, "ignore_verifier": True, "repeat_queries": True}))

@@ -45,6 +45,21 @@ def test_loop(spark):
     assert retrieval.repeated_question(samples, chunks, e, Loop(max_rounds=2))[0].count() == 2
 
 
+def test_loop_filters_and_broadcast(spark):
+    """Queries that were asked before are dropped, and a question that is left without any gets chunks spread over its video."""
+    samples, chunks = tables(spark)
+    samples = samples.where("sample_key = 1").withColumn("candidates", F.array(F.lit("zebra"), F.lit("yak"))).withColumn("gold", F.lit("B"))
+    seen = chunks.withColumn("v_visual", F.col("v_dynamic"))
+    again = lambda live, _: live.select("sample_key", "video_id", F.lit(0).alias("q_pos"), F.col("question").alias("query"))
+    answers, trace = retrieval.run_loop(samples, seen, providers.HashEmbedder(), Loop(top_k=1, max_rounds=3, single_query=True, oracle=True), plan=again)
+    rows = {r["round"]: r for r in trace.collect()}
+    assert [rows[i].strategy for i in range(3)] == ["targeted", "broadcast", "broadcast"]
+    assert rows[0].n_evidence == 1 and rows[2].n_evidence > rows[0].n_evidence and rows[2].n_keyframes == rows[2].n_evidence
+    assert rows[0].label == "INSUFFICIENT" and answers.first().rounds == 3
+    met = retrieval.run_loop(samples.withColumn("gold", F.lit("A")), seen, providers.HashEmbedder(), Loop(top_k=1, oracle=True))[0].first()
+    assert (met.label, met.rounds) == ("FULLY_SUFFICIENT", 1)
+
+
 def test_providers(spark):
     texts = spark.createDataFrame([("a b",), ("c",)], "t string")
     v = texts.select(providers.ModelEmbedder(lambda: lambda xs: np.array([[len(x), 1.0] for x in xs]))(F.col("t")).alias("v")).collect()
