@@ -34,7 +34,7 @@ def verdicts(options: DataFrame, key: str, margin: float = 0.2) -> DataFrame:
 def weak_criteria(cells: DataFrame, options: DataFrame, labels: DataFrame, key: str, option: str, below: float = 0.5) -> DataFrame:
     """For insufficient samples the criteria whose mean over unknown options is low: key, criterion, mean_score."""
     open_ = options.where("judgment = 'unknown'").select(key, option).join(labels.where("label = 'INSUFFICIENT'").select(key), key, "left_semi")
-    mean = cells.join(open_, [key, option], "left_semi").groupBy(key, "criterion").agg(F.avg("score").alias("mean_score"))
+    mean = cells.join(open_, [key, option], "left_semi").groupBy(key, "criterion").agg(F.round(F.avg("score"), 9).alias("mean_score"))
     return mean.where(F.col("mean_score") < below)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandex.functions import vector
+from strandex.functions import parsing, text, vector
 from strandex.operators import answers, dedup, sequence, verdict
 from strandex.operators.sequence import Window
 from strandex.plans.catalog import CELLS, CHUNKS, GREEDY, chunks, judged, query, seconds
@@ -179,3 +179,59 @@ def union_of_ids(spark, d):
     one = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "id")
     return one("click").union(one("purchase")).distinct()
 
+
+# --- texts, sizes and replies -------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name || chr(10) || chr(10) || p_brand ELSE p_name END AS embedded, '--- Segment 1 ---' || chr(10) || p_name || chr(10) || chr(10) || '--- Segment 2 ---' || chr(10) || p_type AS segments,
+'[Frame at ' || CAST(round_even(p_retailprice, 0) AS BIGINT) || 's' || CASE WHEN p_size % 3 > 0 THEN ' — Segment ' || p_size % 3 ELSE '' END || ']' AS image, printf('c%05d_f%02d.jpg', p_partkey, p_size) AS frame, p_name || ' ' || p_brand || ' or ' || p_type AS asked,
+CASE WHEN p_size % 5 > 0 THEN 'Transcript lines:' || chr(10) || CASE WHEN p_size % 5 > 1 THEN '- [00:00:' || printf('%02d', p_size) || ' --> 00:01:00] ' || p_name ELSE '- No transcript lines overlap this segment.' END || chr(10) ELSE '' END AS said,
+CASE WHEN p_size % 5 > 1 THEN 'Subtitles in this window [t=1.5s, 9.0s):' || chr(10) || '[t=' || p_size || '.0s] ' || p_name ELSE 'No subtitles in this window.' END AS subtitles, p_partkey % 4 AS endpoint FROM part""")
+def text_layouts(spark, d):
+    """How chunks, frames and subtitles are written for embedders and models."""
+    size = F.col("p_size")
+    line = F.struct(size.cast("double").alias("start_s"), F.lit(60.0).alias("end_s"), F.col("p_name").alias("text"))
+    lines = F.when(size % 5 > 1, F.array(line)).otherwise(F.slice(F.array(line), 1, 0))
+    return table(spark, d, "part").select(
+        "p_partkey", text.embed_text(F.col("p_name"), F.when(size % 2 == 0, F.col("p_brand"))).alias("embedded"), text.segmented(F.array("p_name", "p_type")).alias("segments"),
+        text.image_label(F.col("p_retailprice"), F.when(size % 3 > 0, size % 3)).alias("image"), text.frame_name(F.col("p_partkey"), size).alias("frame"), text.visual_query(F.col("p_name"), F.array("p_brand", "p_type")).alias("asked"),
+        text.transcript(lines, size % 5 > 0).alias("said"), text.window_subtitles(lines, F.lit(1.5), F.lit(9.0)).alias("subtitles"), text.endpoint(F.col("p_partkey"), 4).alias("endpoint"),
+    )
+
+
+@query("""SELECT p_partkey, CAST(round_even(w * least(1.0, 9.0 / least(w, h)), 0) AS INT) AS short_w, CAST(round_even(h * least(1.0, 9.0 / least(w, h)), 0) AS INT) AS short_h,
+CAST(greatest(1, floor(w * least(1.0, sqrt(50.0 / (w * h))))) AS INT) AS few_w, CAST(greatest(1, floor(h * least(1.0, sqrt(50.0 / (w * h))))) AS INT) AS few_h, round_even(p_retailprice / 7, 1) AS even, p_name[1:7] || '|' || p_type[1:7] AS budget
+FROM (SELECT *, CAST(p_size AS DOUBLE) AS w, CAST(p_size % 7 + 1 AS DOUBLE) AS h FROM part)""")
+def image_sizes(spark, d):
+    w, h = F.col("p_size").cast("double"), (F.col("p_size") % 7 + 1).cast("double")
+    short, few = vector.fit_short_side(w, h, 9), vector.fit_pixels(w, h, 50)
+    return table(spark, d, "part").select(
+        "p_partkey", short[0].alias("short_w"), short[1].alias("short_h"), few[0].alias("few_w"), few[1].alias("few_h"), vector.half_even(F.col("p_retailprice") / 7, 1).alias("even"), F.array_join(vector.char_budget(F.array("p_name", "p_type"), 15), "|").alias("budget")
+    )
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'D' END AS answer, CASE doc_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS sufficient,
+CASE doc_id % 5 WHEN 2 THEN 'D' WHEN 4 THEN 'A' WHEN 0 THEN 'B' END AS first, CASE doc_id % 5 WHEN 3 THEN 'x; y' ELSE 'ask' END AS queries FROM documents""")
+def rescued_reply(spark, d):
+    """Answers and flags of replies that are JSON, nearly JSON, or prose; string lists with a fallback."""
+    replies = ['{"answer": "B", "sufficient": true}', 'so "answer": "(c) it", sufficient: no', "The answer is D here", '[" x", "", "y "]', "(A)"]
+    said = F.lit(replies[0])
+    for k, r in enumerate(replies):
+        said = F.when(F.col("doc_id") % 5 == k, r).otherwise(said)
+    out = table(spark, d, "documents").select("doc_id", said.alias("said"))
+    r = parsing.rescued(F.col("said"))
+    return out.select("doc_id", r.answer.alias("answer"), r.sufficient.alias("sufficient"), parsing.first_letter(F.col("said")).alias("first"), parsing.joined(parsing.strings(F.col("said"), F.lit("ask"))).alias("queries"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'broadcast' ELSE 'targeted' END AS strategy, CASE doc_id % 3 WHEN 0 THEN 'p,q' WHEN 1 THEN '' ELSE lang END AS queries, CASE doc_id % 3 WHEN 0 THEN 'r' WHEN 1 THEN '' ELSE 'parse_failed' END AS reasoning,
+CASE doc_id % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 END AS score, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN NULL END AS judgment FROM documents""")
+def parsed_plan(spark, d):
+    """A planner's and a verifier's replies: an unknown strategy is targeted, a plan without queries asks the question, cells that are no number are 0,
+    judgments that aren't allowed go."""
+    kind = F.col("doc_id") % 3
+    plan = F.when(kind == 0, '{"strategy": "odd", "queries": [" p ", "", "q"], "reasoning": "r"}').when(kind == 1, 'go {"strategy": "Broadcast"}').otherwise("no plan")
+    cells = F.when(kind == 0, '{" b) x": {"g": 0.5}}').when(kind == 1, '{"B": {"g": "high"}}')
+    judged = F.when(kind == 0, '{"b": " TRUE"}').when(kind == 1, '{"B": "maybe"}')
+    p = parsing.plan(plan, F.col("lang"))
+    score = F.try_element_at(F.try_element_at(parsing.criterion_scores(cells), F.lit("B")), F.lit("g"))
+    return table(spark, d, "documents").select("doc_id", p.strategy.alias("strategy"), F.array_join(p.queries, ",").alias("queries"), p.reasoning.alias("reasoning"), score.alias("score"), F.try_element_at(parsing.judgments(judged), F.lit("B")).alias("judgment"))

@@ -447,10 +447,10 @@ def verdict_label(spark, d):
 
 
 @query(f"""WITH {CELLS} SELECT l_orderkey, criterion, round(avg(score), 6) AS mean_score FROM cells JOIN opts USING (l_orderkey, opt) JOIN lab USING (l_orderkey)
-WHERE judgment = 'unknown' AND label = 'INSUFFICIENT' GROUP BY 1, 2 HAVING avg(score) < 0.4999999""")
+WHERE judgment = 'unknown' AND label = 'INSUFFICIENT' GROUP BY 1, 2 HAVING round(avg(score), 9) < 0.5""")
 def weak_criteria(spark, d):
-    options = judged(spark, d)
-    weak = verdict.weak_criteria(cells(spark, d), options, verdict.verdicts(options, "l_orderkey"), "l_orderkey", "opt", 0.4999999)
+    options = written(judged(spark, d), "judged")
+    weak = verdict.weak_criteria(cells(spark, d), options, verdict.verdicts(options, "l_orderkey"), "l_orderkey", "opt", 0.5)
     return weak.withColumn("mean_score", F.round("mean_score", 6))
 
 
@@ -565,12 +565,6 @@ def resize_and_backoff(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", vector.backoff(F.col("l_linenumber")).alias("wait_s"), w.alias("width"), h.alias("height"))
 
 
-@query("SELECT conv_id, '[E' || array_to_string(list_transform(t, lambda x, i: CAST(i AS VARCHAR) || '] ' || x[1:20]), chr(10) || '[E') AS evidence FROM (SELECT conv_id, list(text ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)")
-def numbered_evidence(spark, d):
-    t = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.substring(s.text, 1, 20))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(t.alias("t")).select("conv_id", text.numbered(F.col("t")).alias("evidence"))
-
-
 @query("SELECT conv_id, '[E' || array_to_string(list_transform(t, lambda x, i: CAST(i AS VARCHAR) || '] ' || x), chr(10) || '[E') AS evidence FROM (SELECT conv_id, list(text ORDER BY turn, role, text) AS t FROM conversations GROUP BY 1)")
 def whole_numbered_evidence(spark, d):
     t = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda s: s.text)
