@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandex.llm.common import slices, small_batches, table
+from strandex.llm.common import slices, small_batches, table, tidy
 
 # Classes of code points. TICK2 and TICK3 are apostrophes that would start a contraction of 2 or 3 code points.
 LETTER, NUMBER, OTHER, TICK2, TICK3, GAP, BLANK, EDGE = range(8)
@@ -277,7 +277,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>, offsets array<int>")
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, ids array<int>, offsets array<int>")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -297,7 +297,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def ranks_path() -> str:

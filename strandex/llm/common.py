@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import uuid
 
 import numpy as np
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one under /tmp where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or one under /tmp where that is unset and all run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/strandex"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -62,9 +67,28 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches short enough that rows with very long texts fit in a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Arrow batches short enough, in rows and bytes, that rows with very long texts and packets fit in a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def tidy(run):
+    """run, a function for mapInArrow, that gives the memory it freed back to the system when its task ends: workers wait for other tasks with
+    little more than their caches."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return tidied
 
 
 def let(value: Column, body) -> Column:
@@ -215,7 +239,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     shared folder. Null nodes and loops are ignored. An empty table gives an empty table.
     """
     a, b = edges.columns
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(_contract, "u bigint, v bigint")
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").mapInArrow(tidy(_contract), "u bigint, v bigint")
     e, seen = scratch.save(e.distinct(), "links"), None
     for _ in range(60):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

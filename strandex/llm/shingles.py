@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandex.llm.common import KeyFilter, Scratch, components, mix, slices, small_batches, table, word_hashes
+from strandex.llm.common import KeyFilter, Scratch, components, mix, slices, small_batches, table, tidy, word_hashes
 
 DIMS, FANOUT, BLOCK, RATIO = 32, 16, 256, 1.5
 #: Groups whose parity a signature keeps, and the largest count it holds: beyond, all counts are FULL and bound nothing.
@@ -203,7 +203,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(part.column(1), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *fingerprints(sets), packed(sets)], names=["doc_id", "n_shingles", "f1", "f2", "point"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, point binary")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, point binary")
 
 
 def fingerprints(sets: list[np.ndarray]) -> list[pa.Array]:
@@ -223,7 +223,7 @@ def dealt_keys(docs: DataFrame, chosen: DataFrame, words: int, percent: int) ->
                 sets = shingle_sets(part.column(1), words)
                 yield pa.RecordBatch.from_arrays([part.column(0), *fingerprints(sets), pa.array([bucket_keys(s, classes) for s in sets], pa.list_(pa.int64()))], names=["rep", "f1", "f2", "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "rep bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "rep bigint, f1 bigint, f2 bigint, keys array<bigint>")
     rows = rows.where(F.size("keys") > 0).join(chosen, F.col("rep") == F.col("doc_id")).where("f1 = g1 and f2 = g2").dropDuplicates(["rep", "f1", "f2"])
     return rows.select(F.explode("keys").alias("key"), "rep")
 
@@ -253,7 +253,7 @@ def shared_keys(rows: DataFrame) -> DataFrame:
             if len(k):
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r), pa.array(c)], names=["key", "rep", "center"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "key bigint, rep bigint, center bigint")
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(run), "key bigint, rep bigint, center bigint")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -269,7 +269,7 @@ def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb")
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return joined.where(fits).mapInArrow(run, "a bigint, b bigint")
+    return joined.where(fits).mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -298,7 +298,7 @@ def of_documents(ids: DataFrame, docs: DataFrame, words: int, schema: str, make)
                 yield make(part.column(0), shingle_sets(part.column(1), words))
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.withColumn("h", KeyFilter.place("doc_id")).mapInArrow(run, schema)
+    return rows.withColumn("h", KeyFilter.place("doc_id")).mapInArrow(tidy(run), schema)
 
 
 def narrowed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -317,7 +317,7 @@ def narrowed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
     found = of_documents(ids, docs, words, "id bigint, n bigint, p binary", make)
     side = lambda x: found.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("p").alias(f"p{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pa", "nb", "pb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -376,7 +376,7 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandex.llm.bpe import pieces
-from strandex.llm.common import Scratch, prefix_hash, slices, small_batches, substring_hash, table
+from strandex.llm.common import Scratch, prefix_hash, slices, small_batches, substring_hash, table, tidy
 
 MAGIC, BLOCK, END_ID = b"SPLN1", 1 << 16, 2
 
@@ -270,7 +270,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, to: str, key: str = "doc_id",
 
     small_batches(docs.sparkSession)
     dealt = docs.select(F.col(key).cast("bigint").alias(key), text).repartitionByRange(F.col(key).asc_nulls_first(), F.xxhash64(text))
-    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text)).mapInArrow(run, MANIFEST)
+    return dealt.sortWithinPartitions(F.col(key).asc_nulls_first(), F.xxhash64(text)).mapInArrow(tidy(run), MANIFEST)
 
 
 def read_tokens(manifest: DataFrame, each, schema: str) -> DataFrame:
@@ -300,7 +300,7 @@ def read_tokens(manifest: DataFrame, each, schema: str) -> DataFrame:
                         yield pa.RecordBatch.from_pylist(out, schema=(kind := kind or _arrow(schema)))
 
     shards = spark.createDataFrame(starts, "path string, start bigint").repartition(max(1, len(starts)))
-    return shards.mapInArrow(run, schema)
+    return shards.mapInArrow(tidy(run), schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
