@@ -8,8 +8,8 @@ those of the target (labelled good) count for the target as well. A text is its
 
 This is Dirichlet smoothing, so p sums to one over the vocabulary (the words of the corpus, the end mark and one for what is unknown). s
 matches the models by size: it is 1 for the target, and for the background the target's words over its own, so that A and MU weigh the same
-against both. A document's own counts are taken off every count above before it is scored, so it is judged by what all others say, and a
-document of the target has no advantage from having been counted. The score is the mean of -log2 p(target) minus that of -log2 p(background):
+against both. A document's own counts are taken off words and pairs before it is scored (what that frees goes to the unknown word, so the
+sum stays one): it is judged by what all others say, and a document of the target has no advantage from having been counted. The score is the mean of -log2 p(target) minus that of -log2 p(background):
 lower is closer to the target.
 
 Flow. A first pass counts words: sizes of the vocabulary and the models, and the words that hold 1 / FREQUENT of all. In the second each task
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm.common import Scratch, mix, slices, small_batches, table, word_hashes
+from strandex.llm.common import Scratch, mix, slices, small_batches, table, tidy, word_hashes
 
 MU, A = 64.0, 0.1
 START, END = (mix(np.array([k], np.uint64))[0] for k in (0xB5297A4D3F84D5B5, 0x68E31DA4C5A1B7E9))
@@ -38,8 +38,10 @@ START, END = (mix(np.array([k], np.uint64))[0] for k in (0xB5297A4D3F84D5B5, 0x6
 FREQUENT = 1024
 #: Ids of the target up to which they are broadcast; more are joined.
 MOST_IDS = 1 << 20
-#: Words after which a task hands its counts on or ends a block; documents of a block at most.
-HELD, DOCS = 1 << 20, 60_000
+#: Parts of a document's bits travel as multiples of one UNIT-th.
+UNIT = 1 << 20
+#: Words after which a task hands its counts on, and ends a block; documents of a block at most.
+HELD, BLOCK, DOCS = 1 << 20, 1 << 19, 60_000
 
 
 def sentences(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,10 +204,10 @@ class Models:
         at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
         return np.where(self.word[at] == word, at, -1)
 
-    def log2_probability(self, m: int, pair, word, before, tokens):
+    def log2_probability(self, m: int, pair, word, before):
         """log2 p(word | before) by counts that lack the document's own; arrays or numbers."""
         a, mu = A / self.scale[m], MU / self.scale[m]
-        return np.log2(pair + mu * (word + a) / (tokens + a * self.vocabulary)) - np.log2(before + mu)
+        return np.log2(pair + mu * (word + a) / (self.tokens[m] + a * self.vocabulary)) - np.log2(before + mu)
 
 
 def gram_packets(bits: int, models: Models):
@@ -235,7 +237,7 @@ def gram_packets(bits: int, models: Models):
                     there, local = np.unique(of[i:j], return_inverse=True)
                     rows.append((int(bucket[i]), name, pack(
                         word[i:j][run_at], np.diff(np.append(run_at, j - i)).astype(np.uint32), short[i:j].astype(np.uint32), (short[i:j] >> np.uint64(32)).astype(np.uint8),
-                        local.astype(np.uint16), *small(own[i:j]), *small(own_word[i:j]), there.astype(np.uint16), n[there].astype(np.uint32), flag[there])))
+                        local.astype(np.uint16), *small(own[i:j]), *small(own_word[i:j]), there.astype(np.uint16), np.packbits(flag[there]))))
             for i in range(0, len(rows), 64):
                 yield rows_of(rows[i : i + 64])
 
@@ -244,7 +246,7 @@ def gram_packets(bits: int, models: Models):
             for part in slices(batch, "text"):
                 word, before, of, n = sentences(part.column(1))
                 ids = part.column(0)
-                if docs + len(n) > DOCS or size >= HELD:
+                if docs + len(n) > DOCS or size >= BLOCK:
                     if held:
                         yield from out()
                     held, docs, size = [], 0, 0
@@ -258,6 +260,11 @@ def gram_packets(bits: int, models: Models):
     return run
 
 
+def rounded(bits: np.ndarray) -> np.ndarray:
+    """Bits as whole numbers of 1 / UNIT, where they fit in four bytes."""
+    return np.rint(bits * UNIT).astype(np.int32) if len(bits) and np.abs(bits).max() < (1 << 31) / UNIT else bits
+
+
 def part_bits(models: Models, packets: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For the packets of a bucket what they add to their documents: places in the block, bits by background and target."""
     got = [unpack(p) for p in packets]
@@ -268,7 +275,7 @@ def part_bits(models: Models, packets: list[bytes]) -> list[tuple[np.ndarray, np
     doc = np.concatenate([g[4].astype(np.int64) + b for g, b in zip(got, base.tolist(), strict=True)])
     own = np.concatenate([unsmall(g[5], g[6]) for g in got])
     own_word = np.concatenate([unsmall(g[7], g[8]) for g in got])
-    n, flag = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in (10, 11))
+    flag = np.concatenate([np.unpackbits(g[10], count=k) for g, k in zip(got, n_docs.tolist(), strict=True)]).astype(np.int64)
     order, pair_at = grouped(word, before)
     word, before, doc, own, own_word = (x[order] for x in (word, before, doc, own, own_word))
     word_at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -282,11 +289,10 @@ def part_bits(models: Models, packets: list[bytes]) -> list[tuple[np.ndarray, np
         if len(models.counts):
             total = np.where(place >= 0, models.counts[place, m], total)
         words = spread(word_at, total) - own_word * counted
-        tokens = models.tokens[m] - counted * (n[doc] + 1)
-        said = models.log2_probability(m, pairs, words, 0, tokens) + np.log2(MU / models.scale[m])  # the share of what stands before follows
+        said = models.log2_probability(m, pairs, words, 0) + np.log2(MU / models.scale[m])  # the share of what stands before follows
         said -= np.where(word == END, 0, np.log2(words + MU / models.scale[m]))  # and here this word itself is what stands before
-        out.append(np.bincount(doc, -own * said, len(n)))
-    return [(g[9], out[0][b : b + k], out[1][b : b + k]) for g, b, k in zip(got, base.tolist(), n_docs.tolist(), strict=True)]
+        out.append(np.bincount(doc, -own * said, len(flag)))
+    return [(g[9], rounded(out[0][b : b + k]), rounded(out[1][b : b + k])) for g, b, k in zip(got, base.tolist(), n_docs.tolist(), strict=True)]
 
 
 def add_up(models: Models):
@@ -314,7 +320,7 @@ def scores(models: Models):
             if h:
                 there, *more = unpack(p)
                 for m in (0, 1):
-                    bits[m][there] += more[m]
+                    bits[m][there] += more[m] if more[m].dtype == np.float64 else more[m] / UNIT
         n = n.astype(np.int64)
         some = n > 0
         for m in (0, 1):
@@ -356,7 +362,7 @@ def marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
             hit = (ids[at] == own) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(own), bool)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=["doc_id", "text", "target"])
 
-    return docs.mapInArrow(run, "doc_id bigint, text string, target boolean")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, text string, target boolean")
 
 
 def dealt(packets: DataFrame, by: str) -> DataFrame:
@@ -366,7 +372,7 @@ def dealt(packets: DataFrame, by: str) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, bits: int) -> Models:
     """docs: doc_id, text and target. What comes to the driver is sums and FREQUENT rows at most."""
     scratch = Scratch(spark, "language-model")
-    found = scratch.save(dealt(docs.mapInArrow(word_packets(bits), PACKETS), "bucket").mapInArrow(count_words, SIZES), "words")
+    found = scratch.save(dealt(docs.mapInArrow(tidy(word_packets(bits)), PACKETS), "bucket").mapInArrow(tidy(count_words), SIZES), "words")
     part = found.where("word is null").groupBy(F.col("words").isNull().alias("texts")).agg(*[F.sum(c).alias(c) for c in ("background", "target", "words")]).collect()
     texts = next((r for r in part if r.texts), None)
     words = next((r for r in part if not r.texts), None)
@@ -380,12 +386,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """docs: doc_id and text; target_ids: doc_id of the target's documents -> doc_id, n_tokens, target_bits and background_bits a word, score."""
     spark = docs.sparkSession
     small_batches(spark)
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    bits = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1)
     docs = marked(docs, target_ids)
     models = fit(spark, docs, bits)
-    grams = docs.mapInArrow(gram_packets(bits, models), PACKETS)
-    sums = dealt(grams, "bucket").mapInArrow(add_up(models), PACKETS)
-    return dealt(sums, "block").mapInArrow(scores(models), SCORES)
+    grams = docs.mapInArrow(tidy(gram_packets(bits, models)), PACKETS)
+    sums = dealt(grams, "bucket").mapInArrow(tidy(add_up(models)), PACKETS)
+    return dealt(sums, "block").mapInArrow(tidy(scores(models)), SCORES)
 
 
 def op2_cross_entropy_difference(spark, sf_dir: str) -> DataFrame:
