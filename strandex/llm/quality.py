@@ -3,8 +3,9 @@
 Text statistics are computed once for every document. From the labelled ones, sequential covering grows conjunctions of thresholds: each
 step asks Spark for the labels' counts by statistic and bin among the rows not yet covered (at most statistics x bins rows come back,
 whatever the corpus holds), takes the threshold with the best information gain, and goes on while the conjunction still covers good
-documents. A rule is then pruned to the prefix that does best on held-out rows. The list becomes one ordered conditional expression:
-the first rule that holds rejects, otherwise the document stays.
+documents. A rule is then pruned to the prefix that does best on held-out rows; if even that is too weak, the statistic it began with is set
+aside and the next best is tried. The list becomes one ordered conditional expression: the first rule that holds rejects, otherwise the
+document stays. Of more than MAX_LABELLED labelled documents a sample of about so many, by a hash of the id, teaches the rules.
 
 Defined cases: a null text has no words; labels are 0 (reject) or 1 (keep), others and nulls are ignored, of several labels for a document
 the highest counts; without labels of both kinds there are no rules and only the base limits reject; repeated rows are judged alike;
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from strandex.llm.common import NOT_SPACE, SPACE, Scratch, let, table
 
+#: Labelled documents from which rules are learned at most, about: a third of them only to prune. Their ids are broadcast.
+MAX_LABELLED = 50_000
 #: Base limits.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
@@ -146,8 +149,8 @@ def learn(train: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_rej
             out = out & ((F.col(c.statistic) > k) if c.above else (F.col(c.statistic) <= k))
         return out
 
-    rules, uncovered = [], F.lit(True)
-    for _ in range(max_rules):
+    rules, uncovered, weak = [], F.lit(True), set()
+    while len(rules) < max_rules and len(weak) < 3:
         rule, track = [], []
         while len(rule) < max_conditions:
             found = counts(uncovered & in_bins(rule))
@@ -156,6 +159,8 @@ def learn(train: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_rej
                 break
             before, best = math.log2(total[0] / (total[0] + total[1])), None
             for s in STATISTICS:
+                if not rule and s in weak:
+                    continue
                 below = [0] * 4
                 for k, t in enumerate(edges[s]):
                     below = [x + y for x, y in zip(below, found[s][k], strict=True)]
@@ -174,17 +179,24 @@ def learn(train: DataFrame, max_rules: int = 6, max_conditions: int = 3, min_rej
         cut = max(range(len(rule)), key=lambda i: (round(worth[i], 3), -i)) + 1
         rule, held = rule[:cut], track[cut - 1]
         if held[0] < min_precision * (held[0] + held[1]) or held[2] < min_precision * (held[2] + held[3]):
-            break
+            weak.add(rule[0].statistic)
+            continue
         rules.append(tuple(rule))
         uncovered = uncovered & ~in_bins(rule)
     return DecisionList(rules)
 
 
-def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of stats that pass the base limits and have a label; a third, by a hash of the id, is held out for pruning."""
+def chosen_labels(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """doc_id and label of all labelled documents, or of a sample by a hash of the id, of about most documents, if there are more."""
     y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("label"))
+    n = y.count()
+    return y if n <= most else y.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
+
+
+def labelled(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
+    """Rows of stats that pass the base limits and have a label; a third, by a hash of the id, is held out for pruning."""
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
-    return stats.where("not base_failed").join(y, "doc_id").select(*STATISTICS, "label", held.alias("held"))
+    return stats.where("not base_failed").join(F.broadcast(chosen_labels(labels, most)), "doc_id").select(*STATISTICS, "label", held.alias("held"))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -195,9 +207,12 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that base limits and rules keep, unchanged."""
-    keys = Scratch(spark, "quality")
-    stats = keys.save(described(docs, ["doc_id"]), "statistics")
-    rules = learn(labelled(stats, table(spark, sf_dir, "labels")))
-    full = described(docs.withColumn("_row", F.struct(*docs.columns)), ["_row", "text"])
-    return full.where(~F.col("base_failed") & rules.kept()).select("_row.*")
+    """The documents that base limits and rules keep, unchanged. Rules are learned from the labelled documents' statistics alone; then one pass
+    over all texts decides."""
+    scratch, labels = Scratch(spark, "quality"), table(spark, sf_dir, "labels")
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen_labels(labels).select("doc_id")), "doc_id", "left_semi")
+    stats = scratch.save(described(known, ["doc_id"]), "statistics")
+    rules = learn(labelled(stats, labels))
+    scratch.drop(stats)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return described(whole, ["_row"]).where(~F.col("base_failed") & rules.kept()).select("_row.*")
