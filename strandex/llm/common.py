@@ -60,6 +60,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def forget(self) -> None:
+        """Lets Spark delete the shuffle files of plans that nothing refers to any more, as after save(); else they stay until the driver collects its
+        garbage by itself, and a later step finds the disk full of them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := getattr(df, "_scratch_path", None):
