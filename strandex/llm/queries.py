@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandex.llm import bpe, embeddings, language_model, lines, mixing, preference, quality, shingles, token_files, urls
+from strandex.llm import bpe, collocations, embeddings, filter_audit, fingerprints, language_model, lines, mixing, preference, quality, shingles, token_files, urls
 
 QUERIES = {
     "op1_preference_format": preference.op1_preference_format,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_embedding_near_dedup": embeddings.op8_embedding_near_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_document_fingerprints": fingerprints.op12_document_fingerprints,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
     "op1_preference_format": preference.SQL,
     "op8_embedding_near_dedup": embeddings.SQL,
+    "op11_collocations": collocations.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
