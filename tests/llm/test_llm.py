@@ -274,7 +274,8 @@ def test_line_dedup(spark):
     for at, x in placed:
         first.setdefault(x, at)
     order = sorted(first, key=first.get)
-    near = {x for i, x in enumerate(order) if any(abs(len(x) - len(y)) <= 2 and (distance(x, y) if len(x) < 200 else 0 if lines.within(x, y, 2) else 9) <= lines.threshold(min(len(x), len(y))) for y in order[:i])}
+    close = lambda x, y, t: abs(len(x) - len(y)) <= t and (distance(x, y) if len(x) < 200 else 0 if lines.within(x, y, t) else t + 1) <= t
+    near = {x for i, x in enumerate(order) if any(close(x, y, lines.threshold(min(len(x), len(y)))) for y in order[:i])}
     assert got == {at: (first[x] != at or x in near, first[x] == at and x in near) for at, x in placed}
     assert near
     left = {r.doc_id: r.text for r in lines.line_stage(spark, df, "").collect()}
