@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandex.functions.vector import half_even
+
 
 def whole(x: Column) -> Column:
     """Rounded half to even, as an integer."""
-    return F.bround(x, 0).cast("bigint")
+    return half_even(x).cast("bigint")
 
 
 def hms(seconds: Column) -> Column:
@@ -143,7 +145,7 @@ def transcript(lines: Column, video_has_speech: Column) -> Column:
 
 
 def window_subtitles(lines: Column, start: Column, end: Column) -> Column:
-    tenth = lambda x: F.format_string("%.1f", F.bround(x, 1))
+    tenth = lambda x: F.format_string("%.1f", half_even(x, 1))
     head = F.concat(F.lit("Subtitles in this window [t="), tenth(start), F.lit("s, "), tenth(end), F.lit("s):"))
     rows = F.transform(lines, lambda x: F.concat(F.lit("[t="), tenth(x.start_s), F.lit("s] "), x.text))
     return F.when(F.size(lines) > 0, F.array_join(F.concat(F.array(head), rows), "\n")).otherwise("No subtitles in this window.")
@@ -157,7 +159,7 @@ def criteria_text(criteria: Column) -> Column:
 
 def verdict_hint(judgment: Column, scores: Column) -> Column:
     """judgment: map option -> true/false/unknown; scores: map option -> double."""
-    line = lambda e: F.concat(F.lit("  ("), e.key, F.lit(") "), e.value, F.coalesce(F.concat(F.lit(" ["), F.format_string("%.2f", F.bround(F.try_element_at(scores, e.key), 2)), F.lit("]")), F.lit("")))
+    line = lambda e: F.concat(F.lit("  ("), e.key, F.lit(") "), e.value, F.coalesce(F.concat(F.lit(" ["), F.format_string("%.2f", half_even(F.try_element_at(scores, e.key), 2)), F.lit("]")), F.lit("")))
     return F.array_join(F.transform(F.array_sort(F.map_entries(judgment)), line), "\n")
 
 

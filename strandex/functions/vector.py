@@ -57,7 +57,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
+    """Rounded half to even in binary arithmetic: what a double's decimal spelling says at half-way values isn't what it holds."""
+    x = x.cast("double")
+    return F.rint(x * float(10**digits)) / float(10**digits) if digits else F.rint(x)
 
 
 def fit_long_side(width: Column, height: Column, longest: int) -> tuple[Column, Column]:
@@ -68,7 +70,7 @@ def fit_long_side(width: Column, height: Column, longest: int) -> tuple[Column,
 
 def fit_short_side(width: Column, height: Column, shortest: int) -> tuple[Column, Column]:
     scale = F.least(F.lit(1.0), F.lit(float(shortest)) / F.least(width, height))
-    return F.bround(width * scale).cast("int"), F.bround(height * scale).cast("int")
+    return half_even(width * scale).cast("int"), half_even(height * scale).cast("int")
 
 
 def fit_pixels(width: Column, height: Column, most: int) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.functions import parsing
-from strandex.functions.vector import dot, jaccard
+from strandex.functions.vector import dot, half_even, jaccard
 from strandex.operators.sequence import Window, first_per_key
 
 
@@ -29,7 +29,7 @@ def records(rows: DataFrame, pipeline: str) -> DataFrame:
     return rows.select(
         result_key(F.col("benchmark"), F.col("video_id"), F.col("sample_idx"), pipeline).alias("key"), "benchmark", "question_type", "video_id", "sample_idx", F.lit(pipeline).alias("pipeline"), "question", "candidates", "gold_answer",
         letter.alias("pred_letter"), chosen.alias("pred_text"), (ran & (chosen == F.col("gold_answer"))).alias("correct"), F.coalesce("evidence_chunk_ids", F.expr("array()").cast("array<string>")).alias("evidence_chunk_ids"),
-        "n_keyframes_to_answer", "n_evidence_to_answer", "trace_iters", F.bround("elapsed", 2).alias("elapsed"), "error",
+        "n_keyframes_to_answer", "n_evidence_to_answer", "trace_iters", half_even(F.col("elapsed"), 2).alias("elapsed"), "error",
     )
 
 

@@ -169,7 +169,7 @@ def clipped_windows(spark, d):
 
 @query(f"WITH {CELLS} SELECT l_orderkey, round_even(max(rubric_score), 4) AS best_score FROM opts GROUP BY 1")
 def best_option_score(spark, d):
-    return judged(spark, d).groupBy("l_orderkey").agg(F.bround(F.max("rubric_score"), 4).alias("best_score"))
+    return judged(spark, d).groupBy("l_orderkey").agg(vector.half_even(F.max("rubric_score"), 4).alias("best_score"))
 
 
 @query("SELECT DISTINCT user_id, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS id FROM events WHERE event_type IN ('click', 'purchase')")

@@ -152,6 +152,16 @@ def test_vectors(spark):
     assert one(spark, vector.max_similarity(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.array(F.lit(0.5), F.lit(9.0)), F.array(F.lit(-1.0), F.lit(0.0))))) == 0.5
 
 
+def test_half_way_values(spark):
+    """Doubles whose spelling is half way: what they hold decides, as in DuckDB and in Python's rounding of the scaled value."""
+    import duckdb
+
+    for x, digits in [(0.58925, 4), (0.66475, 4), (0.12345, 4), (2.5, 0), (3.5, 0), (-0.5, 0), (1.005, 2), (2.675, 2), (0.25, 1), (0.35, 1)]:
+        want = duckdb.connect().execute(f"SELECT round_even({x}::DOUBLE, {digits})").fetchone()[0]
+        assert one(spark, vector.half_even(F.col("v"), digits), v=x) == want, (x, digits)
+    assert one(spark, text.image_label(F.lit(2.5), F.lit(None).cast("int"))) == "[Frame at 2s]"
+
+
 def test_times(spark):
     assert one(spark, text.hms(F.lit(2.5))) == "00:00:02"
     assert one(spark, text.hms(F.lit(3.5))) == "00:00:04"
