@@ -42,10 +42,12 @@ def masks(docs: DataFrame, scratch: Scratch, part: str = "source") -> DataFrame:
     """doc_id, part and mask of every document. One pass over the texts; from there on only ids, digests and parts travel."""
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = scratch.save(docs.select("doc_id", F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), failures(F.col("text")).alias("own"), F.unhex(F.sha2(text, 256)).alias("digest")), "digests")
-    first = seen.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # written, so that the join reads both sides from their own shuffles and adaptive execution can split a text with very many copies
+    ids = seen.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = scratch.save(ids.select("digest", "first"), "first")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
-    out = scratch.save(seen.join(first, "digest").select("doc_id", "part", (F.col("own") + F.when(copy, 16).otherwise(0)).alias("mask")), "masks")
-    scratch.drop(seen)
+    out = scratch.save(seen.join(first, "digest", "left").select("doc_id", "part", (F.col("own") + F.when(copy, 16).otherwise(0)).alias("mask")), "masks")
+    scratch.drop(seen, first)
     return out
 
 
