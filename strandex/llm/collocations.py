@@ -31,6 +31,8 @@ from strandex.llm.common import Scratch, mix, prefix_hash, small_batches, substr
 WORD_BITS, PHRASE_BITS, PIECES = 23, 25, 256
 #: A phrase goes if a longer one has at least this share of its occurrences, in percent.
 COVERED = 50
+#: Parts of a language that are ranked by themselves before the whole.
+DEALT = 64
 #: Bytes of text that are worked on at once, and of which counts are combined before they leave a task.
 AT_ONCE = 4 << 20
 
@@ -259,8 +261,11 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
         pairs = pairs.join(count_of(one, name), ["lang", name])
     of_two = pairs.select("lang", "phrase", "a", F.col("f_w0").alias("l"), F.col("f_w1").alias("r"), cut_score(F.col("a"), F.col("f_w0"), F.col("f_w1")).alias("score"))
 
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = of_three.unionByName(of_two).select("*", F.row_number().over(order).cast("bigint").alias("rank")).where(F.col("rank") <= top)
+    # first within DEALT parts of each language, so what meets in a language's one task is at most DEALT * top rows
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    every = of_three.unionByName(of_two).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(DEALT)))
+    few = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = few.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
