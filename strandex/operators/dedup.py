@@ -1,13 +1,15 @@
-"""Order-dependent dedup of short sequences (a question's evidence, a chunk's frames) as folds over sorted arrays.
+"""Order-dependent dedup of sequences (a question's evidence, a chunk's frames).
 
-A fold keeps one group in one row: groups are as long as one video's evidence. dedup_large runs the same greedy rule on longer groups, in
-NumPy blocks within one task.
+By vectors: blocks of a group against what was kept, in one task a group, with a form that carries what was kept from round to round. By hashes: folds
+over sorted arrays, which are as short as a chunk's frames.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandex.functions.vector import dot, hamming
@@ -18,47 +20,88 @@ def greedy(items: Column, kept: Column, same) -> Column:
     return F.aggregate(items, kept, lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
-def greedy_similarity(rows: DataFrame, by: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """Rows of each group, in order, that are below the threshold to all kept before. A row without a vector always stays."""
-    item = F.struct(F.col(order).alias("o"), F.col(vector).alias("v"))
-    kind = rows.select(F.array(item).alias("x")).schema["x"].dataType.simpleString()
-    near = lambda k, x: F.coalesce((F.size(x.v) > 0) & (F.size(k.v) > 0) & (F.round(dot(k.v, x.v), 6) >= threshold), F.lit(False))
-    kept = greedy(F.sort_array(F.collect_list(item)), F.expr(f"cast(array() as {kind})"), near)
-    return rows.groupBy(by).agg(kept.alias("_k")).select(by, F.explode("_k").alias("_k")).select(by, F.col("_k.o").alias(order))
-
-
-def first_of_kind(vectors: np.ndarray, threshold: float, block: int = 512) -> np.ndarray:
-    """Which rows are below the threshold to all kept before: a block at a time against the kept ones, then row by row within the block."""
-    kept, n, keep = np.empty_like(vectors), 0, np.zeros(len(vectors), bool)
+def first_of_kind(vectors: np.ndarray, threshold: float, block: int = 512, before: np.ndarray | None = None, joins: np.ndarray | None = None) -> np.ndarray:
+    """Which rows are below the threshold to all kept before (and to those of `before`): a block at a time against the kept ones, then row by row within
+    the block. Rows that don't join are judged, but nothing is held against them."""
+    joins = np.ones(len(vectors), bool) if joins is None else joins
+    n = 0 if before is None else len(before)
+    kept, keep = np.empty((n + len(vectors), vectors.shape[1])), np.zeros(len(vectors), bool)
+    if n:
+        kept[:n] = before
     for i in range(0, len(vectors), block):
-        part = vectors[i : i + block]
+        part, own_joins = vectors[i : i + block], joins[i : i + block]
         free = np.ones(len(part), bool)
         for j in range(0, n, 4096):
             free &= ~(np.round(part @ kept[j : min(j + 4096, n)].T, 6) >= threshold).any(axis=1)
         own = np.round(part @ part.T, 6) >= threshold
         for k in np.flatnonzero(free):
-            if free[k]:
+            if free[k] and own_joins[k]:
                 free[k + 1 :] &= ~own[k, k + 1 :]
-        kept[n : n + free.sum()] = part[free]
-        n += int(free.sum())
+        new = part[free & own_joins]
+        kept[n : n + len(new)] = new
+        n += len(new)
         keep[i : i + block] = free
     return keep
 
 
-def dedup_large(rows: DataFrame, by: str, order: str, vector: str, threshold: float) -> DataFrame:
-    """greedy_similarity for long groups: matrix products of blocks instead of a fold. A group's ids and vectors are one task's, as the rule
-    looks back on all that was kept. Vectors of a group have one length; a row without a vector always stays."""
+def stacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows have a vector, those vectors as a matrix). Vectors have one length."""
+    column = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    has = size > 0
+    return has, flat.reshape(int(has.sum()), -1) if has.any() else np.zeros((0, 0))
 
-    def run(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        has = pdf[vector].map(lambda v: v is not None and len(v) > 0).to_numpy(bool)
-        keep = np.ones(len(pdf), bool)
+
+def placed(rows: DataFrame, by: str, order: str, *columns: str) -> DataFrame:
+    """The columns with _at, each row's place in its group."""
+    return rows.select(by, order, *columns, F.row_number().over(Window.partitionBy(by).orderBy(order)).alias("_at"))
+
+
+def greedy_similarity(rows: DataFrame, by: str, order: str, vector: str, threshold: float) -> DataFrame:
+    """Rows of each group, in order, that are below the threshold to all kept before. A row without a vector always stays.
+
+    Matrix products of blocks: a group's ids and vectors are one task's, as the rule looks back on all that was kept. Vectors of a group have one length."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table["_at"]))
+        has, vectors = stacked(table[vector])
+        keep = ~has
         if has.any():
-            keep[has] = first_of_kind(np.stack([np.asarray(v, float) for v in pdf[vector][has]]), threshold)
-        return pdf[[by, order]][keep]
+            keep[has] = first_of_kind(vectors, threshold)
+        return table.filter(pa.array(keep)).select([by, order])
+
+    kept = placed(rows, by, order, vector)
+    return kept.groupBy(by).applyInArrow(run, kept.select(by, order).schema)
+
 
+dedup_large = greedy_similarity
+
+
+def carried(rows: DataFrame, state: DataFrame | None, by: str, order: str, vector: str, threshold: float, joins: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Greedy dedup that goes on from round to round: (all rows' by, order, vector and _kept, whether they are below the threshold to the state and to
+    all that joined before them in order; the new state).
+
+    state: by, vector, what earlier rounds left. Only rows that are kept, have a vector and whose column joins is true enter it; others are judged
+    against it, and a row without a vector is kept. A group's state is as long as what was kept for it."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.select(by, order, vector).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}")
+    joined = F.coalesce(F.col(joins), F.lit(False)) if joins else F.lit(True)
+    new = placed(rows.withColumn("_joins", joined), by, order, vector, "_joins")
+    old = state if state is not None else rows.select(by, vector).limit(0)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left["_at"]))
+        has, vectors = stacked(left[vector])
+        keep = ~has
+        if has.any():
+            _, before = stacked(right[vector])
+            keep[has] = first_of_kind(vectors, threshold, before=before if len(before) else None, joins=left["_joins"].to_numpy()[has])
+        enters = keep & has & left["_joins"].to_numpy()
+        return left.select([by, order, vector]).append_column("_kept", pa.array(keep)).append_column("_enters", pa.array(enters))
+
+    schema = f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, `{vector}` {kinds[vector]}, _kept boolean, _enters boolean"
+    judged = new.groupBy(by).cogroup(old.groupBy(by)).applyInArrow(run, schema)
+    return judged, old.select(by, vector).unionByName(judged.where("_enters").select(by, vector))
 
 
 def recent_hashes(rows: DataFrame, by: str, order: str, hash_: str, most: int = 4, window: int = 10) -> DataFrame:

@@ -65,7 +65,23 @@ WINDOWS = "w AS (SELECT DISTINCT user_id, CAST(epoch_us(ts) // 3600000000 AS BIG
 # --- retrieval ----------------------------------------------------------------------------------------------------
 
 
+HALVES = (("q_vec", "v_dynamic"), ("q_half", "v_half"))
+
+
+def halved(queries, chunks_):
+    """Both sides with the first 32 elements of their vectors as a second channel."""
+    half = lambda c: F.slice(c, 1, 32)
+    return queries.withColumn("q_half", half(F.col("q_vec"))), chunks_.withColumn("v_half", half(F.col("v_dynamic")))
+
+
+def nearest(spark, d, k, where="true", **more):
+    """The k best chunks of each query, among those for which where holds."""
+    top = retrieval.nearest(asked(spark, d), chunks(spark, d).where(where), "video_id", ["query_id"], k, **more)
+    return top.select("video_id", "query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 def scores(spark, d):
+    """A row a pair: for what looks at all pairs of a video."""
     s = retrieval.scored(asked(spark, d), chunks(spark, d), "video_id")
     half = lambda c: F.slice(c, 1, 32)
     return s.withColumn("half", F.round(vector.dot(half(F.col("q_vec")), half(F.col("v_dynamic"))), 6)).select("query_id", "chunk_id", "score", "half")
@@ -73,34 +89,35 @@ def scores(spark, d):
 
 @query(f"WITH {SCORED} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM s) WHERE rank <= 8")
 def topk_cosine(spark, d):
-    return retrieval.top_k(scores(spark, d), ["query_id"], 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return nearest(spark, d, 8).drop("video_id")
 
 
 @query(f"WITH {SCORED}, f AS (SELECT query_id, chunk_id, round(0.6 * score + 0.4 * half, 5) AS score FROM s) SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM f) WHERE rank <= 8")
 def topk_fused_score(spark, d):
-    f = scores(spark, d).withColumn("score", F.round(vector.fuse(F.col("score"), F.col("half"), 0.6), 5))
-    return retrieval.top_k(f, ["query_id"], 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    top = retrieval.nearest(*halved(asked(spark, d), chunks(spark, d)), "video_id", ["query_id"], 8, HALVES, lambda s, half: retrieval.half_up(0.6 * s + 0.4 * half, 5))
+    return top.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {SCORED}, f AS (SELECT query_id, chunk_id, round(score, 1) + 0.0 AS score FROM s) SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM f) WHERE rank <= 24")
 def topk_tie_stable(spark, d):
-    f = scores(spark, d).withColumn("score", F.round("score", 1) + 0.0)
-    return retrieval.top_k(f, ["query_id"], 24).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return nearest(spark, d, 24, combine=lambda s: retrieval.half_up(s, 1)).drop("video_id")
 
 
 @query(f"""WITH {SCORED}, f AS (SELECT *, {TOP8} AS coarse FROM s), r AS (SELECT *, round(1 / (1 + exp(-5 * half)), 6) AS rerank_score FROM f WHERE coarse <= 50)
 SELECT query_id, chunk_id, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM r) WHERE rank <= 10""")
 def two_stage_rerank(spark, d):
-    r = retrieval.rerank(scores(spark, d), ["query_id"], 50, 10, F.round(vector.sigmoid(5 * F.col("half")), 6))
+    q, c = halved(asked(spark, d), chunks(spark, d))
+    first = retrieval.nearest(q, c, "video_id", ["query_id"], 50, rank="coarse_rank")
+    pairs = first.join(q.select("query_id", "q_half"), "query_id").join(c.select("chunk_id", "v_half"), "chunk_id")
+    second = F.round(vector.sigmoid(5 * F.round(vector.dot(F.col("q_half"), F.col("v_half")), 6)), 6)
+    r = retrieval.top_k(pairs.withColumn("rerank_score", second), ["query_id"], 10, score="rerank_score")
     return r.select("query_id", "chunk_id", "rerank_score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {SCORED}, p AS (SELECT *, 1 + chunk_id % 2 AS pool FROM s), t AS (SELECT *, row_number() OVER (PARTITION BY query_id, pool ORDER BY score DESC, chunk_id) AS r FROM p)
 SELECT query_id, pool, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool, chunk_id) AS rank FROM t WHERE (pool = 1 AND r <= 8) OR (pool = 2 AND r <= 4)) WHERE rank <= 8""")
 def multi_pool_merge(spark, d):
-    s = scores(spark, d)
-    fine = retrieval.top_k(s.where("chunk_id % 2 = 0"), ["query_id"], 8, rank="r")
-    coarse = retrieval.top_k(s.where("chunk_id % 2 = 1"), ["query_id"], 4, rank="r")
+    fine, coarse = nearest(spark, d, 8, "chunk_id % 2 = 0").drop("rank"), nearest(spark, d, 4, "chunk_id % 2 = 1").drop("rank")
     return retrieval.merged([fine, coarse], ["query_id"], 8).select("query_id", F.col("pool").cast("bigint").alias("pool"), "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -118,7 +135,8 @@ def in_windows(spark, d):
 
 @query(f"{COARSE} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM s WHERE in_window) WHERE rank <= 8")
 def coarse_to_fine_strict(spark, d):
-    s = scores(spark, d).join(in_windows(spark, d), ["query_id", "chunk_id"], "left_semi")
+    inside = in_windows(spark, d).join(asked(spark, d), "query_id").join(chunks(spark, d).select("chunk_id", "v_dynamic"), "chunk_id")
+    s = inside.withColumn("score", F.round(vector.dot(F.col("q_vec"), F.col("v_dynamic")), 6))
     return retrieval.top_k(s, ["query_id"], 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -132,21 +150,21 @@ def coarse_to_fine_compat(spark, d):
 @query(f"""WITH {SCORED}, t AS (SELECT *, {TOP8} AS rank FROM s), k AS (SELECT query_id, chunk_id, rank, (SELECT label FROM embeddings e WHERE e.vec_id = query_id) AS video_id FROM t WHERE rank <= 8)
 SELECT video_id, query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY query_id, rank) AS r FROM k) WHERE r = 1""")
 def cross_query_first_seen(spark, d):
-    top = retrieval.top_k(retrieval.scored(asked(spark, d), chunks(spark, d), "video_id"), ["query_id"], 8)
+    top = nearest(spark, d, 8)
     return retrieval.first_seen(top.withColumnRenamed("query_id", "q_pos"), ["video_id"]).select("video_id", F.col("q_pos").alias("query_id"), "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {SCORED}, u AS (SELECT * FROM s WHERE chunk_id % 20 <> 0) SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM u) WHERE rank <= 8")
 def retrieve_unseen(spark, d):
-    s = scores(spark, d)
     seen = asked(spark, d).select(F.col("query_id").alias("chunk_id"))
-    return retrieval.top_k(retrieval.unseen(s, seen, ["chunk_id"]), ["query_id"], 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    top = retrieval.nearest(asked(spark, d), retrieval.unseen(chunks(spark, d), seen, ["chunk_id"]), "video_id", ["query_id"], 8)
+    return top.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {CHUNKS}, {ASKED}, m AS (SELECT q.query_id, max(round(list_dot_product(q.qv, c.v), 6)) AS nearest FROM q JOIN c USING (video_id) WHERE c.chunk_id % 20 <> 0 GROUP BY 1)
 SELECT query_id, nearest, nearest < 0.25 AS kept FROM m""")
 def query_drift_filter(spark, d):
-    s = scores(spark, d).where("chunk_id % 20 <> 0").groupBy("query_id").agg(F.max("score").alias("nearest"))
+    s = nearest(spark, d, 1, "chunk_id % 20 <> 0").select("query_id", F.col("score").alias("nearest"))
     return s.withColumn("kept", F.col("nearest") < 0.25)
 
 

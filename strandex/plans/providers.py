@@ -1,11 +1,12 @@
 """Models behind the plans. A provider turns columns into columns or tables into tables; the plans don't know what stands behind it.
 
-HashEmbedder and the lexical judge are deterministic stand-ins without weights, made of SQL functions. ModelEmbedder, ModelScorer and Chat carry
+HashEmbedder and the lexical judge are deterministic stand-ins without weights. ModelEmbedder, ModelScorer and Chat carry
 any Python model: batches arrive by Arrow, the model is loaded once a worker process.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,20 +14,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandex.functions.vector import l2_normalise, tokens
+from strandex.functions.vector import tokens
 
 
 class HashEmbedder:
-    """Counts of a text's tokens by hash, scaled to unit length. Tokens run between white space, lower-case, each occurrence once."""
+    """Counts of a text's tokens by hash, scaled to unit length. Tokens run between white space, lower-case, each occurrence once. Like a model it sees
+    batches of texts; it remembers the places of up to MOST tokens."""
+
+    MOST = 1 << 20
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def __call__(self, text: Column) -> Column:
-        words = F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
-        at = F.transform(words, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % self.dim)
-        counts = F.transform(F.array(at), lambda a: F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(self.dim - 1).cast("bigint")), lambda i: (F.size(a) - F.size(F.array_remove(a, i))).cast("double")))[0]
-        return F.transform(F.array(counts), lambda c: l2_normalise(c))[0]
+        dim, most = self.dim, self.MOST
+
+        @F.pandas_udf("array<double>")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            places = {}
+
+            def place(token):
+                if len(places) >= most:
+                    places.clear()
+                places[token] = at = int.from_bytes(hashlib.md5(token).digest()[:4]) % dim
+                return at
+
+            def vector(text):
+                if text is None:
+                    return None
+                tokens = text.encode().split()  # of bytes: at ASCII white space
+                at = [places[t] if t in places else place(t) for t in tokens]
+                counts = np.bincount(np.array(at, np.int64), minlength=dim).astype(float)
+                return counts / (np.sqrt(counts @ counts) + 1e-12)
+
+            for texts in parts:
+                yield pd.Series([vector(t) for t in texts], dtype=object)
+
+        return run(F.lower(text))
 
 
 class ModelEmbedder:

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.functions import text
-from strandex.functions.vector import dot, fuse, tokens
+from strandex.functions.vector import tokens
 from strandex.operators import answers as overrides
 from strandex.operators import dedup, retrieval, sequence, verdict
 from strandex.plans.providers import lexical_judge
@@ -29,17 +30,22 @@ def question_text(question: Column, candidates: Column) -> Column:
 def coarse_rag(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], k: int = 8, visual: Callable[[Column], Column] | None = None, alpha: float = 0.6) -> DataFrame:
     """The k nearest chunks of each question; samples without a bank give no rows. With visual, image scores are fused where a chunk has a vector."""
     q = samples.select(KEY, "video_id", embed(F.col("query")).alias("q_vec"), *([visual(F.col("query")).alias("vis_vec")] if visual else []))
-    s = retrieval.scored(q, chunks, "video_id")
-    if visual:
-        seen = F.round(dot(F.col("vis_vec"), F.col("v_visual")), retrieval.DIGITS)
-        s = s.withColumn("score", F.coalesce(F.round(fuse(F.col("score"), seen, alpha), retrieval.DIGITS), F.col("score")))
-    return retrieval.top_k(s, [KEY], k).select(KEY, "chunk_id", "score", "rank")
+    if not visual:
+        return retrieval.nearest(q, chunks, "video_id", [KEY], k).select(KEY, "chunk_id", "score", "rank")
+
+    def fused(text_score, seen):
+        both = retrieval.half_up(alpha * text_score + (1 - alpha) * seen, retrieval.DIGITS)
+        return np.where(np.isnan(seen), text_score, both)
+
+    return retrieval.nearest(q, chunks, "video_id", [KEY], k, (("q_vec", "v_dynamic"), ("vis_vec", "v_visual")), fused).select(KEY, "chunk_id", "score", "rank")
 
 
 def rerank_rag(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], score: Callable[[Column, Column], Column], coarse: int = 50, final: int = 10) -> DataFrame:
     q = samples.select(KEY, "video_id", "query", embed(F.col("query")).alias("q_vec"))
-    s = retrieval.scored(q, chunks, "video_id")
-    return retrieval.rerank(s, [KEY], coarse, final, score(F.col("query"), F.col("memory_text"))).select(KEY, "chunk_id", "score", "rerank_score", "rank")
+    first = retrieval.nearest(q, chunks, "video_id", [KEY], coarse, rank="coarse_rank")
+    pairs = first.join(q.select(KEY, "query"), KEY).join(chunks.select("video_id", "chunk_id", "memory_text"), ["video_id", "chunk_id"])
+    second = pairs.withColumn("rerank_score", score(F.col("query"), F.col("memory_text")))
+    return retrieval.top_k(second, [KEY], final, score="rerank_score").select(KEY, "chunk_id", "score", "rerank_score", "rank")
 
 
 def blended(text_score: Column, asr_score: Column, weight: float) -> Column:
@@ -102,16 +108,15 @@ def next_queries(samples: DataFrame, options: DataFrame, how: Loop) -> DataFrame
 
 def found_by(asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k nearest chunks of each query: ids and vectors are scored, and only the winners get their texts."""
-    narrow = chunks.select("video_id", "chunk_id", "v_dynamic")
-    top = retrieval.top_k(retrieval.scored(asked.select(KEY, "video_id", "q_pos", "q_vec"), narrow, "video_id").drop("q_vec"), [KEY, "q_pos"], k)
-    return top.join(chunks.select("video_id", "chunk_id", "memory_text"), ["video_id", "chunk_id"])
+    top = retrieval.nearest(asked, chunks, "video_id", [KEY, "q_pos"], k)
+    return top.join(chunks.select("video_id", "chunk_id", "v_dynamic", "memory_text"), ["video_id", "chunk_id"])
 
 
 def broadcast_found(samples: DataFrame, chunks: DataFrame, seen: DataFrame, k: int) -> DataFrame:
     """Chunks spread over the videos of samples whose queries were all dropped, in the form of found_by."""
     rows = timeline(samples, chunks.withColumn("start_time", F.col("start_time") if "start_time" in chunks.columns else F.col("chunk_id").cast("double")), seen, k)
     rank = F.row_number().over(sequence.Window.partitionBy(KEY).orderBy("start_time", "chunk_id"))
-    return rows.select("video_id", "chunk_id", KEY, F.lit(0).alias("q_pos"), "v_dynamic", F.lit(0.0).alias("score"), rank.alias("rank"), "memory_text")
+    return rows.select("video_id", "chunk_id", KEY, F.lit(0).alias("q_pos"), F.lit(0.0).alias("score"), rank.alias("rank"), "v_dynamic", "memory_text")
 
 
 def keyframe_counts(evidence: DataFrame, chunks: DataFrame, how: Loop) -> DataFrame:
