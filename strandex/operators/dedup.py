@@ -87,27 +87,28 @@ def carried(rows: DataFrame, state: DataFrame | None, by: str, order: str, vecto
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     joined = F.coalesce(F.col(joins), F.lit(False)) if joins else F.lit(True)
     new = placed(rows.withColumn("_joins", joined), by, order, vector, "_joins")
-    old = state if state is not None else rows.select(by, vector).limit(0)
+    old = state.select(by, vector) if state is not None else rows.sparkSession.createDataFrame([], rows.select(by, vector).schema)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.take(pc.sort_indices(left["_at"]))
         has, vectors = stacked(left[vector])
         keep = ~has
         if has.any():
-            _, before = stacked(right[vector])
+            _, before = stacked(right["_v"])
             keep[has] = first_of_kind(vectors, threshold, before=before if len(before) else None, joins=left["_joins"].to_numpy()[has])
         enters = keep & has & left["_joins"].to_numpy()
         return left.select([by, order, vector]).append_column("_kept", pa.array(keep)).append_column("_enters", pa.array(enters))
 
     schema = f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, `{vector}` {kinds[vector]}, _kept boolean, _enters boolean"
-    judged = new.groupBy(by).cogroup(old.groupBy(by)).applyInArrow(run, schema)
-    return judged, old.select(by, vector).unionByName(judged.where("_enters").select(by, vector))
+    known = old.select(F.col(by).alias("_k"), F.col(vector).alias("_v"))
+    judged = new.groupBy(by).cogroup(known.groupBy("_k")).applyInArrow(run, schema).where(F.col(order).isNotNull())
+    return judged, old.unionByName(judged.where("_enters").select(by, vector))
 
 
-def recent_hashes(rows: DataFrame, by: str, order: str, hash_: str, most: int = 4, window: int = 10) -> DataFrame:
-    """Rows whose hash differs in more than most bits from each of the last kept. A row without a hash stays and isn't remembered. The fold carries
-    the last hashes by themselves, so a step costs the window, not the sequence."""
-    item = F.struct(F.col(order).alias("o"), F.col(hash_).alias("h"))
+def recent_hashes(rows: DataFrame, by: str, order: str, hash_: str, most: int = 4, window: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose hash differs in more than most bits from each of the last kept, with the columns in carry. A row without a hash stays and isn't
+    remembered. The fold carries the last hashes by themselves, so a step costs the window, not the sequence."""
+    item = F.struct(F.col(order).alias("o"), F.col(hash_).alias("h"), *carry)
     kind = rows.select(F.array(hash_).alias("x")).schema["x"].dataType.simpleString()
     start = F.struct(F.expr(f"cast(array() as {kind})").alias("last"), F.expr("cast(array() as array<boolean>)").alias("keep"))
 
@@ -118,7 +119,7 @@ def recent_hashes(rows: DataFrame, by: str, order: str, hash_: str, most: int =
 
     items = F.sort_array(F.collect_list(item))
     flagged = rows.groupBy(by).agg(items.alias("_i")).withColumn("_k", F.aggregate("_i", start, step, lambda acc: acc.keep))
-    return flagged.select(by, F.explode(F.arrays_zip("_i", "_k")).alias("_z")).where("_z._k").select(by, F.col("_z._i.o").alias(order))
+    return flagged.select(by, F.explode(F.arrays_zip("_i", "_k")).alias("_z")).where("_z._k").select(by, F.col("_z._i.o").alias(order), *[F.col(f"_z._i.{c}").alias(c) for c in carry])
 
 
 def two_gates(rows: DataFrame, by: str, order: str, hash_: str, vector: str, most: int, threshold: float) -> DataFrame:

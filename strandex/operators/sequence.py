@@ -89,6 +89,17 @@ def even_sample(rows: DataFrame, by: list[str], order: list[str], k: int) -> Dat
     return r.where((F.col("_n") <= k) | near(i) | near(i + 1) | near(F.greatest(i - 1, F.lit(0)))).drop("_rn", "_n")
 
 
+def even_sample_large(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
+    """even_sample for sequences too long for one task, with rank, a row's place in its sequence: places come from a numbering of all rows by range
+    partitions, and a sequence is only counted."""
+    placed = position(rows, [by, *order], "_all")
+    span = placed.groupBy(by).agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    step = F.col("_n").cast("double") / k
+    wanted = F.when(F.col("_n") <= k, F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * step).cast("bigint")))
+    chosen = span.select(by, "_first", F.explode(F.array_distinct(wanted)).alias("rank")).select((F.col("_first") + F.col("rank")).alias("_all"), "rank")
+    return placed.join(chosen, "_all").drop("_all")
+
+
 def first_per_key(rows: DataFrame, by: list[str], order: list[str], k: int = 1) -> DataFrame:
     """The first k rows of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")

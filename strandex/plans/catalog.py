@@ -634,3 +634,5 @@ def repeated_question_loop(spark, d):
 
 
 from strandex.plans import answering  # noqa: E402, F401  it registers its queries here
+
+from strandex.plans import framing  # noqa: E402, F401  and here
