@@ -129,3 +129,30 @@ def lexical_judge(options: DataFrame, evidence: DataFrame, key: str) -> DataFram
     s = options.join(pool, key, "left").select(key, "opt", F.round(score, 9).alias("rubric_score"))
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("rubric_score"), "opt")) == 1
     return s.withColumn("said", F.when(best, "true").otherwise("false"))
+
+
+def lexical_distractors(options: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """key, place of evidence (from 1, by ord) that has no token of any option."""
+    from strandex.operators.sequence import Window
+
+    asked = options.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("candidate"))))).alias("_asked"))
+    placed = evidence.select(key, "text", F.row_number().over(Window.partitionBy(key).orderBy("ord")).alias("place"))
+    return placed.join(asked, key).where(~F.arrays_overlap(tokens(F.col("text")), "_asked")).select(key, "place")
+
+
+def lexical_order(samples: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """evidence with place: by the number of the question's tokens that it has, of equals as found."""
+    from strandex.operators.sequence import Window
+
+    both = evidence.join(samples.select(key, tokens(F.col("question")).alias("_q")), key)
+    shared = F.size(F.array_intersect(tokens(F.col("text")), F.col("_q")))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(shared), "ord"))).drop("_q")
+
+
+def lexical_asks(answers: DataFrame, samples: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """key, ids (the evidence's chunks) and said: a reply that lists the chunks with less than half of the answer's tokens, whose frames have to be seen."""
+    place = F.ascii("answer") - 65
+    chosen = answers.join(samples.select(key, "candidates"), key).select(key, tokens(F.coalesce(F.get("candidates", F.when(place >= 0, place)), F.lit(""))).alias("_a"))
+    rows = evidence.join(chosen, key).withColumn("_few", 2 * F.size(F.array_intersect(tokens(F.col("text")), F.col("_a"))) < F.size("_a"))
+    listed = F.array_join(F.sort_array(F.collect_list(F.when(F.col("_few"), F.col("chunk_id").cast("string")))), ", ")
+    return rows.groupBy(key).agg(F.collect_set("chunk_id").alias("ids"), F.concat(F.lit("I need ["), listed, F.lit("].")).alias("said"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from strandex.functions import text
 from strandex.functions.vector import tokens
 from strandex.operators import answers as overrides
-from strandex.operators import dedup, retrieval, sequence, verdict
-from strandex.plans.providers import lexical_judge
+from strandex.operators import dedup, keyframes, retrieval, sequence, verdict
+from strandex.plans import providers
 from strandex.scratch import written
 
 KEY = "sample_key"
@@ -73,7 +74,7 @@ class Loop:
     max_rounds: int = 3
     top_k: int = 8
     evidence_similarity: float = 0.9
-    threshold: float = 0.75
+    threshold: float = 0.75  # of samples without a threshold of their own
     margin: float = 0.2
     most_evidence: int = 32
     single_query: bool = False  # the first round asks the question only
@@ -84,7 +85,23 @@ class Loop:
     query_drift: float | None = 0.9  # and those that are so near to what was found
     repeat_queries: bool = False  # neither filter
     visual_similarity: float = 0.9
+    images_a_chunk: int = 1
     most_keyframes: int = 16
+    prune: bool = False  # evidence that is called a distractor goes after its round, with its keyframes
+    rerank: bool = False  # the answer's evidence, and its keyframes with it, in order of use; else as found
+    answer_evidence: int | None = None
+    text_first: bool = False  # the answer sees only keyframes of chunks that a reply to the texts asks for
+
+
+@dataclass
+class Providers:
+    """The models' parts, each a function of tables; lexical stand-ins by default."""
+
+    judge: Callable = providers.lexical_judge
+    distractors: Callable = providers.lexical_distractors
+    order: Callable = providers.lexical_order
+    asks: Callable = providers.lexical_asks
+    plan: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 def options_of(samples: DataFrame) -> DataFrame:
@@ -119,37 +136,52 @@ def broadcast_found(samples: DataFrame, chunks: DataFrame, seen: DataFrame, k: i
     return rows.select("video_id", "chunk_id", KEY, F.lit(0).alias("q_pos"), F.lit(0.0).alias("score"), rank.alias("rank"), "v_dynamic", "memory_text")
 
 
-def keyframe_counts(evidence: DataFrame, chunks: DataFrame, how: Loop) -> DataFrame:
-    """How many keyframes the evidence of each question has: in its order, without those near to one before, capped. Of chunks without a visual vector
-    each has its own."""
-    if "v_visual" not in chunks.columns:
-        return evidence.groupBy(KEY).agg(F.lit(0).cast("bigint").alias("n_keyframes"))
-    rows = evidence.select(KEY, "video_id", "chunk_id", "ord").join(chunks.select("video_id", "chunk_id", "v_visual"), ["video_id", "chunk_id"])
-    kept = dedup.greedy_similarity(rows, KEY, "ord", "v_visual", how.visual_similarity)
-    return kept.groupBy(KEY).agg(F.least(F.count(F.lit(1)), F.lit(how.most_keyframes)).alias("n_keyframes"))
+def as_shown(answers: DataFrame, samples: DataFrame, evidence: DataFrame, frames: DataFrame, how: Loop, models: Providers) -> DataFrame:
+    """answers with what the answer was given: the ids of its evidence and its keyframes, both in order. frames: sample, ord, chunk_id, image."""
+    found = F.row_number().over(sequence.Window.partitionBy(KEY).orderBy("ord"))
+    placed = (models.order(samples, evidence, KEY) if how.rerank else evidence).withColumn("place", F.col("place") if how.rerank else found)
+    placed = placed if how.answer_evidence is None else placed.where(F.col("place") <= how.answer_evidence)
+    seen = overrides.along_evidence(frames, placed, KEY, ["ord", "image"])
+    if how.text_first:
+        seen = overrides.gated(seen, models.asks(answers, samples, placed, KEY), KEY)
+        seen = seen.withColumn("rank", F.row_number().over(sequence.Window.partitionBy(KEY).orderBy("rank")).cast("bigint"))
+    seen = seen.where(F.col("rank") <= how.most_keyframes)
+    in_order = lambda at, x: F.transform(F.sort_array(F.collect_list(F.struct(at, x))), lambda s: s[x])
+    ids = placed.groupBy(KEY).agg(in_order("place", "chunk_id").alias("evidence"))
+    images = seen.groupBy(KEY).agg(in_order("rank", "image").alias("keyframes"))
+    none = lambda c: F.coalesce(c, F.expr("cast(array() as array<bigint>)") if c == "evidence" else F.expr("cast(array() as array<string>)")).alias(c)
+    return answers.join(ids, KEY, "left").join(images, KEY, "left").select(*answers.columns, none("evidence"), none("keyframes"))
 
 
-def run_loop(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], how: Loop | None = None, judge=lexical_judge, plan: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """samples: sample_key, video_id, question, candidates, gold; chunks: video_id, chunk_id, memory_text, v_dynamic and, if there, v_visual, start_time.
+def run_loop(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], how: Loop | None = None, models: Providers | None = None, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """samples: sample_key, video_id, question, candidates, gold and, if there, threshold; chunks: video_id, chunk_id, memory_text, v_dynamic and, if there,
+    v_visual, start_time; images: video_id, chunk_id, image (in order), only those that load; without them each chunk with a v_visual column has one.
 
     Each round asks its queries (from the second on, those that are neither like an earlier one nor near to what was found; where none is left, chunks
-    spread over the video are taken), adds what is new and not near to the evidence, and judges. plan(live samples, judged options) gives the queries of
-    later rounds (sample_key, video_id, q_pos, query); without it they follow from the options that are unknown.
+    spread over the video are taken), adds what is new and not near to the evidence, and with it the keyframes that are unlike those of earlier rounds,
+    judges, and prunes. models.plan(live samples, judged options) gives the queries of later rounds (sample_key, video_id, q_pos, query); without it
+    they follow from the options that are unknown.
 
-    Returns (answers: sample_key, answer, label, rounds, n_evidence, n_keyframes; trace: a row a question and round)."""
-    how = how or Loop()
+    Returns (answers: sample_key, answer, label, rounds, n_evidence, n_keyframes, evidence, keyframes; trace: a row a question and round)."""
+    how, models = how or Loop(), models or Providers()
+    spark = samples.sparkSession
     options = options_of(samples)
+    limits = samples.select(KEY, F.col("threshold") if "threshold" in samples.columns else F.lit(how.threshold).alias("threshold"))
+    if images is None and "v_visual" in chunks.columns:
+        images = chunks.select("video_id", "chunk_id", F.col("chunk_id").cast("string").alias("image"))
+    if images is not None:
+        images = sequence.first_per_key(images, ["video_id", "chunk_id"], ["image"], how.images_a_chunk)
     queries, live = first_queries(samples, how), samples
-    evidence = seen = trace = history = None
-    answers = []
+    evidence = seen = trace = history = frames = None
+    answers, used, shown = [], [], []
     for i in range(how.max_rounds):
         asked = queries.withColumn("q_vec", embed(F.col("query"))).withColumn("tokens", tokens(F.col("query")))
-        strategy = live.select(KEY, F.lit("targeted").alias("strategy"))
         if i and not how.repeat_queries:
-            judged_queries = written(overrides.targeted_or_broadcast(asked, history, evidence.select(KEY, F.col("v_dynamic").alias("v")), KEY, how.query_similarity, how.query_drift), "plan")
-            asked = asked.join(judged_queries.where("kept").select(KEY, "q_pos"), [KEY, "q_pos"], "left_semi")
-            strategy = judged_queries.select(KEY, "strategy").distinct()
-        asked = written(asked, "asked")
+            plans = overrides.targeted_or_broadcast(asked, history, evidence.select(KEY, F.col("v_dynamic").alias("v")), KEY, how.query_similarity, how.query_drift)
+            plans = written(asked.join(plans.select(KEY, "q_pos", "kept", "strategy"), [KEY, "q_pos"]), "plan")
+            asked, strategy = plans.where("kept").select(*asked.columns), plans.select(KEY, "strategy").distinct()
+        else:
+            asked, strategy = written(asked, "plan"), live.select(KEY, F.lit("targeted").alias("strategy"))
         found = found_by(asked, chunks, how.top_k)
         if seen is not None:
             found = retrieval.unseen(found, seen, [KEY, "chunk_id"])
@@ -164,28 +196,42 @@ def run_loop(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Co
         kept = dedup.greedy_similarity(pool, KEY, "ord", "v_dynamic", how.evidence_similarity)
         evidence = written(sequence.first_per_key(pool.join(kept, [KEY, "ord"], "left_semi"), [KEY], ["ord"], how.most_evidence), "evidence")
         seen = pool.select(KEY, "chunk_id") if seen is None else seen.unionByName(pool.select(KEY, "chunk_id"))
-        judged = judge(options.join(live.select(KEY), KEY, "left_semi"), evidence, KEY).join(options, [KEY, "opt"])
-        score = F.col("rubric_score") if how.judge_by_rubric else F.lit(1.0)
-        judged = written(judged.withColumn("judgment", verdict.enforced(score, F.col("said"), how.threshold)), "judged")
+        if images is not None:
+            visual = chunks.select("video_id", "chunk_id", "v_visual") if "v_visual" in chunks.columns else chunks.select("video_id", "chunk_id", F.lit(None).cast("array<double>").alias("v_visual"))
+            state = frames.select(KEY, "video_id", "chunk_id").distinct().join(visual.where("size(v_visual) > 0"), ["video_id", "chunk_id"]).select(KEY, "v_visual") if frames is not None else None
+            latest = evidence.where(F.col("ord.round") == i).select(KEY, "ord", "video_id", "chunk_id").join(visual, ["video_id", "chunk_id"])
+            added, _ = keyframes.accumulated(latest, images, state, KEY, "ord", "v_visual", how.visual_similarity, ["video_id", "chunk_id"])
+            added = added.select(KEY, "ord", "video_id", "chunk_id", "image")
+            frames = added if frames is None else frames.join(live.select(KEY), KEY, "left_semi").unionByName(added)
+            frames = frames if how.prune else written(frames, "frames")
+        judged = models.judge(options.join(live.select(KEY), KEY, "left_semi"), evidence, KEY).join(options, [KEY, "opt"]).join(limits, KEY)
+        score = F.col("rubric_score") if how.judge_by_rubric else F.col("threshold")
+        judged = written(judged.withColumn("judgment", verdict.enforced(score, F.col("said"), F.col("threshold"))).drop("threshold"), "judged")
         said = judged.groupBy(KEY).agg(F.max_by("opt", F.struct((F.col("said") == "true").cast("int"), F.col("rubric_score"))).alias("answer"))
         state = verdict.verdicts(judged, KEY, how.margin).join(said, KEY).join(live.select(KEY, "gold"), KEY).withColumn("round", F.lit(i))
         if how.oracle:
             over = overrides.against_gold(judged.select(KEY, "opt", "judgment"), state.select(KEY, "answer", "gold", "label"), KEY, "opt")
             judged = written(judged.drop("judgment").join(over.select(KEY, "opt", "judgment"), [KEY, "opt"]), "overridden")
             state = state.drop("label").join(over.groupBy(KEY).agg(F.first("label").alias("label")), KEY)
-        state = state.join(evidence.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_evidence")), KEY, "left").join(keyframe_counts(evidence, chunks, how), KEY, "left")
-        state = written(state.join(strategy, KEY, "left").withColumn("strategy", F.coalesce("strategy", F.lit("broadcast"))), "state")
+        if how.prune:
+            flagged = models.distractors(options, evidence, KEY)
+            left, frames_left = overrides.pruned(evidence, flagged, KEY, ["ord"], frames)
+            evidence, frames = written(left, "pruned"), frames if frames is None else written(frames_left, "frames")
+        counts = evidence.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_evidence"))
+        images_of = (frames if frames is not None else evidence.limit(0)).groupBy(KEY).agg(F.least(F.count(F.lit(1)), F.lit(how.most_keyframes)).alias("n_keyframes"))
+        state = state.join(counts, KEY, "left").join(images_of, KEY, "left").join(strategy, KEY, "left")
+        zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_evidence", "n_keyframes")]
+        state = written(state.select(*[c for c in state.columns if c not in ("n_evidence", "n_keyframes", "strategy")], *zero, F.coalesce("strategy", F.lit("broadcast")).alias("strategy")), "state")
         trace = state if trace is None else trace.unionByName(state)
         over = state if i == how.max_rounds - 1 else state.where("label <> 'INSUFFICIENT'")
-        counted = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_evidence", "n_keyframes")]
-        answers.append(over.select(KEY, "answer", "label", (F.col("round") + 1).alias("rounds"), *counted))
+        answers.append(over.select(KEY, "answer", "label", (F.col("round") + 1).alias("rounds"), "n_evidence", "n_keyframes"))
+        used.append(evidence.join(over.select(KEY), KEY, "left_semi").select(KEY, "ord", "chunk_id", "text"))
+        shown.append((frames if frames is not None else spark.createDataFrame([], evidence.select(KEY, "ord", "chunk_id", F.lit("").alias("image")).schema)).join(over.select(KEY), KEY, "left_semi").select(KEY, "ord", "chunk_id", "image"))
         live = live.join(over.select(KEY), KEY, "left_anti")
         if i < how.max_rounds - 1:
-            queries = plan(live, judged) if plan else next_queries(live, judged, how)
-    out = answers[0]
-    for a in answers[1:]:
-        out = out.unionByName(a)
-    return out, trace
+            queries = models.plan(live, judged) if models.plan else next_queries(live, judged, how)
+    every = lambda parts: reduce(DataFrame.unionByName, parts)
+    return as_shown(every(answers), samples, every(used), every(shown), how, models), trace
 
 
 def repeated_question(samples: DataFrame, chunks: DataFrame, embed, how: Loop | None = None) -> tuple[DataFrame, DataFrame]:

@@ -51,7 +51,7 @@ def test_loop_filters_and_broadcast(spark):
     samples = samples.where("sample_key = 1").withColumn("candidates", F.array(F.lit("zebra"), F.lit("yak"))).withColumn("gold", F.lit("B"))
     seen = chunks.withColumn("v_visual", F.col("v_dynamic"))
     again = lambda live, _: live.select("sample_key", "video_id", F.lit(0).alias("q_pos"), F.col("question").alias("query"))
-    answers, trace = retrieval.run_loop(samples, seen, providers.HashEmbedder(), Loop(top_k=1, max_rounds=3, single_query=True, oracle=True), plan=again)
+    answers, trace = retrieval.run_loop(samples, seen, providers.HashEmbedder(), Loop(top_k=1, max_rounds=3, single_query=True, oracle=True), retrieval.Providers(plan=again))
     rows = {r["round"]: r for r in trace.collect()}
     assert [rows[i].strategy for i in range(3)] == ["targeted", "broadcast", "broadcast"]
     assert rows[0].n_evidence == 1 and rows[2].n_evidence > rows[0].n_evidence and rows[2].n_keyframes == rows[2].n_evidence
