@@ -81,9 +81,9 @@ def test_providers(spark):
 def test_streams(spark, tmp_path):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(30, 3)).tolist()
-    rows = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(v)], "k int, i int, v array<double>").coalesce(1)
+    rows = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(v)], "k int, i int, v array<double>").withColumn("ts", F.timestamp_seconds(F.col("i") + 1_700_000_000)).coalesce(1)
     rows.write.parquet(str(tmp_path / "in"))
-    out = streams.sessions(streams.parquet_stream(spark, str(tmp_path / "in"), rows.schema), "k", "i", "v", 0.1, 4)
+    out = streams.sessions(streams.parquet_stream(spark, str(tmp_path / "in"), rows.schema), "k", "i", "v", 0.1, 4, "ts").drop("opened")
     q = out.writeStream.format("memory").queryName("sessions").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
     q.awaitTermination()
     from strandex.operators import sequence
@@ -102,6 +102,40 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in spark.table("tumbling").collect()) == [1, 2]
 
 
+def test_session_state_ends(spark, tmp_path):
+    """A key's state goes once the watermark has passed its last frame; late frames and frames out of order are left out, and a key that returns begins anew."""
+    start = 1_700_000_000
+    batches = [[("a", 0, 0, 1.0), ("a", 1, 1, 1.0), ("b", 0, 2, 1.0)], [("a", 1, 3, 1.0), ("a", 2, 4, 0.0), ("b", 1, 500, 1.0)], [("a", 9, 100, 1.0), ("b", 2, 501, 1.0)], [("a", 5, 502, 1.0), ("b", 3, 3000, 1.0)], [("c", 0, 6000, 1.0)], [("c", 1, 6001, 1.0)]]
+    kind = "k string, i int, ts timestamp, v array<double>"
+    check = str(tmp_path / "check")
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([(k, i, s, [x, 1 - x]) for k, i, s, x in rows], "k string, i int, s bigint, v array<double>").select("k", "i", F.timestamp_seconds(F.col("s") + start).alias("ts"), "v")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = streams.sessions(streams.parquet_stream(spark, str(tmp_path / "in"), kind), "k", "i", "v", 0.5, 9, "ts", "10 seconds", 100_000)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        if n == 1:
+            held = spark.read.format("statestore").option("stateVarName", "held").load(check)
+            assert {r.key.k for r in held.collect()} >= {"b"}
+    got = sorted((r.k, r.i, r.raw_group, int(r.opened.timestamp()) - start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # a/1 came twice; a/9 came at 100 when the watermark stood at 490; a returned at 502, after its state had gone; each frame of b came before its timer
+    assert got == [("a", 0, 0, 0), ("a", 1, 0, 0), ("a", 2, 1, 0), ("a", 5, 0, 502), ("b", 0, 0, 2), ("b", 1, 0, 2), ("b", 2, 0, 2), ("b", 3, 0, 2), ("c", 0, 0, 6000), ("c", 1, 0, 6000)]
+    held = spark.read.format("statestore").option("stateVarName", "held").load(check)
+    assert {r.key.k for r in held.collect()} == {"c"}
+
+
+def test_append_costs_what_a_batch_holds(spark, tmp_path):
+    """Batches don't read what was written before, a key goes once, and a batch that is run again adds nothing."""
+    check, out, kind = str(tmp_path / "c"), str(tmp_path / "out"), "key string, x int, ts timestamp"
+    for n in range(3):
+        rows = [(f"k{i}", n, 1_700_000_000 + n) for i in range(n, n + 5)]
+        spark.createDataFrame(rows, "key string, x int, s bigint").select("key", "x", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streams.append_new(streams.parquet_stream(spark, str(tmp_path / "in"), kind), out, "key", check, "ts", "1 hour")
+        q.awaitTermination()
+        assert sum(s["numInputRows"] for p in q.recentProgress for s in p["sources"]) == 5 and str(tmp_path / "out") not in str([p["sources"] for p in q.recentProgress])
+    streams.append_new(streams.parquet_stream(spark, str(tmp_path / "in"), kind), out, "key", str(tmp_path / "again"), "ts", "1 hour").awaitTermination()
+    assert sorted((r.key, r.x) for r in spark.read.parquet(out).collect()) == sorted([(f"k{i}", max(0, i - 4)) for i in range(7)])
+
+
 def test_whole_numbered_evidence(spark, tmp_path):
     long = "word " * 100 + "end"
     spark.createDataFrame([(1, 1, "assistant", "b" * 30), (1, 0, "user", long)], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")

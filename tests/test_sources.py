@@ -96,6 +96,42 @@ def test_banks_round_trip(spark, tmp_path):
     assert (meta["v"].duration, meta["v"].l1, meta["v"].layers_present) == (4.0, 2, "1,2")
 
 
+def test_layers_are_atomic_and_resume(spark, tmp_path):
+    """A build that dies half way has no part of what it was writing, and going on gives what a fresh build gives."""
+    rows = [("v", k, i, float(i), i + 1.0, f"t{k}{i}") for k in (1, 2, 3) for i in range(20 // k)]
+    c = chunk_rows(spark, rows).repartition(4)
+    path = str(tmp_path / "bank")
+    dies = F.udf(lambda i: 1 // (0 if i == 7 else 1) + i, "bigint")
+    layer = lambda k: c.where(F.col("layer") == k)
+    up = lambda at: writers.load_part(spark, at, "L1").withColumn("layer", F.lit(2))
+    with pytest.raises(Exception, match="ZeroDivision"):
+        writers.resumed(spark, path, {"L1": lambda: layer(1), "L2": lambda: up(path).withColumn("chunk_id", dies("chunk_id"))})
+    assert writers.done_layers(spark, path) == {1} and [p.name[:2] for p in (tmp_path / "bank/data").iterdir()].count("L2") == 1
+    assert writers.resumed(spark, path, {"L1": lambda: layer(1), "L2": lambda: up(path), "L3": lambda: layer(3)}) == ["L2", "L3"]
+    fresh = str(tmp_path / "fresh")
+    writers.resumed(spark, fresh, {"L1": lambda: layer(1), "L2": lambda: up(fresh), "L3": lambda: layer(3)})
+    for k in (1, 2, 3):
+        a, b = (sorted(map(repr, writers.load_part(spark, at, f"L{k}").collect())) for at in (path, fresh))
+        assert a == b and a
+    writers.save_layers(c.limit(0), path, [4])
+    assert writers.done_layers(spark, path) == {1, 2, 3, 4} and writers.load_part(spark, path, "L4").count() == 0
+    writers.save_visual(spark.createDataFrame([("v", 0, 1, 2.0, [1.0, 0.0])], "video_id string, idx bigint, frame int, ts double, v_visual array<double>"), path)
+    assert writers.manifests(spark, path)["visual"]["rows"] == 1 and writers.load_part(spark, path, "visual").first().v_visual == [1.0, 0.0]
+
+
+def test_results_append(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "key string, x int")
+    for _ in range(2):
+        writers.append_results(rows, str(tmp_path / "out"))
+    got = readers.jsonl(spark, str(tmp_path / "out"), "key string, x int")
+    assert sorted((r.key, r.x) for r in got.collect()) == [("a", 1), ("a", 1), ("b", 2), ("b", 2)]
+    frames = spark.createDataFrame([("v", 1, "x"), ("v", 2, "y")], "video_id string, chunk_id bigint, path string")
+    c = spark.createDataFrame([("v", 1), ("v", 2), ("v", 3)], "video_id string, chunk_id bigint")
+    assert [r.path for r in readers.keyframes(c, frames.where("chunk_id = 1"), frames.withColumn("path", F.upper("path"))).orderBy("chunk_id").collect()] == ["x", "Y", None]
+    timed = images.frame_times(spark.createDataFrame([("v", "f2"), ("v", "f1")], "video_id string, path string"), "video_id", 2.0).orderBy("path").collect()
+    assert [(r.frame_idx, r.ts) for r in timed] == [(0, 0.0), (1, 0.5)]
+
+
 def test_legacy_bank(spark, tmp_path):
     d = tmp_path / "vid"
     d.mkdir()
