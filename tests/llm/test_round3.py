@@ -14,7 +14,8 @@ import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 
-from strandex.llm import collocations, filter_audit, fingerprints
+from strandex.llm import collocations, filter_audit, fingerprints, lines
+from strandex.llm.common import KeyFilter
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -266,3 +267,86 @@ def test_filter_audit_against_brute_force(spark):
 
 def test_filter_audit_sql(spark):
     same_as_sql(filter_audit.op13_filter_audit(spark, SMALL), filter_audit.SQL)
+
+
+# --- 3 ------------------------------------------------------------------------------------------------------------
+
+
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+@pytest.mark.parametrize("tail", [40, 6])
+def test_lines_that_share_a_passage_make_few_pairs(tail):
+    """Of lines that agree in their first 51 code points pairs are written only where counts leave a chance, and all that are close are among them."""
+    rng = random.Random(tail)
+    start = "".join(rng.choice("abcdefghij ") for _ in range(50)) + "x"
+    texts = [start + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(tail)) for _ in range(1500)]
+    for i in range(0, 1500, 50):
+        texts[i + 1] = texts[i][:-1] + "Q"
+    texts = list(dict.fromkeys(texts))
+    x = lines.Lines(texts)
+    every = KeyFilter(np.full(1 << (KeyFilter.BITS - 6), -1, np.int64))
+    out = {}
+    for giant in (every, KeyFilter(np.zeros(1 << (KeyFilter.BITS - 6), np.int64))):
+        packets, held, pairs = lines.Packets(6, 32, every, every, giant), defaultdict(list), set()
+        packets.add(x, np.arange(len(texts)))
+        for batch in packets.flush():
+            for bucket, packet in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[bucket].append(packet)
+        for bucket, packed in held.items():
+            pairs |= set(zip(*(p.tolist() for p in lines.Bucket(packed, bucket >> 6).flagged_pairs()), strict=True))
+        out[giant] = pairs
+        assert (max(held) >> 6 > 0) == (giant is every)
+    assert len({frozenset(p) for p in out.values()}) == 1
+    short = {int(h) >> 32 & 0xFFFFFFFF: i for i, h in enumerate(x.id.tolist())}
+    found = {frozenset((short[a], short[b])) for a, b in out[every]}
+    if tail == 40:
+        assert len(found) < 3 * len(texts)
+    near = {frozenset((i, j)) for i in range(0, len(texts) - 1, 50) for j in range(len(texts)) if i != j and abs(len(texts[i]) - len(texts[j])) <= 4 and distance(texts[i][-tail - 4 :], texts[j][-tail - 4 :]) <= lines.threshold(min(len(texts[i]), len(texts[j])))}
+    assert near <= found and near
+
+
+def test_line_dedup_columns(spark, tmp_path):
+    """op3's columns, on a table of its own, against all pairs of lines."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    base = [" ".join(word() for _ in range(rng.randint(1, 24))) for _ in range(30)]
+
+    def line():
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            t[rng.randrange(len(t))] = rng.choice("abcdxyz")
+        return rng.choice(["", "  ", "\t"]) + "".join(t) + rng.choice(["", " "])
+
+    rows = [(i, "\n".join(rng.choice([line, line, line, lambda: "", lambda: " \x0b"])() for _ in range(rng.randint(1, 9))), "en", "s") for i in range(60)]
+    rows += [(100, None, "en", "s"), (101, "", "en", None), (102, " \n ", "en", None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in lines.op3_line_dedup(spark, str(tmp_path)).collect()}
+    placed = [(i, k, t) for i, text, *_ in rows for k, y in enumerate((text or "").split("\n")) if (t := y.strip(lines.BLANKS))]
+    earlier, fate = [], {}
+    for i, k, t in placed:
+        if t in {e for e in earlier}:
+            fate[i, k] = (True, False)
+            continue
+        near = any(abs(len(t) - len(e)) <= min(len(t), len(e)) // 20 and distance(t, e) <= min(len(t), len(e)) // 20 for e in earlier)
+        fate[i, k] = (near, near)
+        earlier.append(t)
+    # a line that is near to an earlier one is itself what equal lines stand after
+    first = {}
+    for i, k, t in placed:
+        first.setdefault(t, (i, k))
+    for i, k, t in placed:
+        if first[t] != (i, k):
+            fate[i, k] = (True, False)
+    for i, *_ in rows:
+        own = {k: v for (j, k), v in fate.items() if j == i}
+        want = (len(own), sum(v[0] for v in own.values()), sum(v[1] for v in own.values()), ",".join(str(k) for k, v in sorted(own.items()) if v[0]))
+        assert (got[i].n_lines, got[i].n_removed, got[i].n_near, got[i].removed_lines) == want, i
+    assert len(got) == len(rows) and sum(r.n_near for r in got.values()) > 10
