@@ -55,8 +55,11 @@ def task_accuracy(results: DataFrame, task: str = "question_type") -> DataFrame:
     return out.select(F.when(F.col("_all") == 1, "__overall__").otherwise(F.col(task)).alias("task"), "n", "correct", F.round(F.col("correct") / F.col("n"), 6).alias("accuracy"), F.when(F.col("_all") == 0, F.col("no_letter")).alias("no_letter"))
 
 
-def accuracy_pivot(results: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    """Mean correctness by row and column, and Overall; null where there is nothing."""
+def accuracy_pivot(results: DataFrame, row: str, column: str, values: list[str] | None = None) -> DataFrame:
+    """Mean correctness by row and column, and Overall; null where there is nothing. Without values, those that the results have (null, which has no
+    column, counts in Overall)."""
+    if values is None:
+        values = sorted(r[0] for r in results.select(column).where(F.col(column).isNotNull()).distinct().collect())
     cells = [F.round(F.avg(F.when(F.col(column) == v, F.col("correct").cast("int"))), 6).alias(v) for v in values]
     return results.groupBy(row).agg(*cells, F.round(F.avg(F.col("correct").cast("int")), 6).alias("Overall"))
 

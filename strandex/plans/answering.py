@@ -235,3 +235,28 @@ def parsed_plan(spark, d):
     p = parsing.plan(plan, F.col("lang"))
     score = F.try_element_at(F.try_element_at(parsing.criterion_scores(cells), F.lit("B")), F.lit("g"))
     return table(spark, d, "documents").select("doc_id", p.strategy.alias("strategy"), F.array_join(p.queries, ",").alias("queries"), p.reasoning.alias("reasoning"), score.alias("score"), F.try_element_at(parsing.judgments(judged), F.lit("B")).alias("judgment"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, ts, CAST(json_extract(props, '$.k') AS INT) AS k FROM events), w AS (SELECT event_id, list_filter([k, lead(k) OVER o, lag(k) OVER o], lambda x: x IS NOT NULL) AS ks FROM e WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+v AS (SELECT event_id, list_filter(ks, lambda x: x < 60)[1:2] AS v FROM w),
+p AS (SELECT event_id, CASE WHEN len(v) > 0 THEN list_transform(v, lambda x, i: {'idx': x, 'score': round(1 - (i - 1) * 0.01, 2)}) ELSE list_transform([0, 1], lambda x: {'idx': x, 'score': 1.0::DOUBLE}) END AS p FROM v)
+SELECT event_id, CAST(unnest(range(len(p))) AS INT) AS rank, unnest(list_transform(p, lambda x: x.idx)) AS idx, unnest(list_transform(p, lambda x: x.score)) AS score FROM p""")
+def listwise_replies(spark, d):
+    """Replies that select by the numbers that an event and its neighbours carry in their JSON; numbers from 60 on name nothing."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    k = F.get_json_object("props", "$.k")
+    e = table(spark, d, "events").select("event_id", F.concat_ws(", ", k, F.lead(k).over(w), F.lag(k).over(w)).alias("listed"))
+    picked = e.select("event_id", answers.selected(F.concat(F.lit('I take {"selected": ['), "listed", F.lit("]}, I think")), F.lit(60), 2).alias("p"))
+    return picked.select("event_id", F.posexplode("p").alias("rank", "p")).select("event_id", "rank", "p.idx", "p.score")
+
+
+@query("""WITH t AS (SELECT conv_id, list(trim(text) ORDER BY turn, role, text) AS q, count(*) AS n FROM conversations GROUP BY 1),
+f AS (SELECT conv_id, n, list_filter(q, lambda x: x <> '') AS q FROM t)
+SELECT conv_id, CASE WHEN n % 3 = 1 THEN 'broadcast' ELSE 'targeted' END AS strategy, array_to_string(CASE WHEN n % 3 = 2 THEN ['ask ' || conv_id] ELSE q END, chr(31)) AS queries, CASE WHEN n % 3 = 2 THEN 'parse_failed' ELSE n || ' turns' END AS reasoning FROM f""")
+def plan_replies(spark, d):
+    """Planners' replies that carry a conversation's whole texts as queries, in JSON amid prose; a third of them breaks off."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda s: s.text).alias("q"), F.count(F.lit(1)).alias("n"))
+    said = F.to_json(F.struct(F.when(F.col("n") % 3 == 1, "Broadcast").otherwise("other").alias("strategy"), F.col("q").alias("queries"), F.concat(F.col("n").cast("string"), F.lit(" turns")).alias("reasoning")))
+    said = F.concat(F.lit("My plan: "), F.when(F.col("n") % 3 == 2, F.regexp_replace(said, r"\}$", "")).otherwise(said), F.lit(" that is all"))
+    p = parsing.plan(said, F.concat(F.lit("ask "), F.col("conv_id").cast("string")))
+    return c.select("conv_id", p.strategy.alias("strategy"), F.array_join(p.queries, "\x1f").alias("queries"), p.reasoning.alias("reasoning"))

@@ -495,7 +495,7 @@ def task_accuracy_rollup(spark, d):
 
 @query(f"WITH {RESULTS} SELECT pipeline, {', '.join(f"round(avg(quality) FILTER (question_type = '{x}'), 6) AS {x}" for x in ('de', 'en', 'es', 'fr'))}, round(avg(quality), 6) AS Overall FROM r GROUP BY 1")
 def accuracy_pivot(spark, d):
-    return verdict.accuracy_pivot(results(spark, d), "pipeline", "question_type", ["de", "en", "es", "fr"])
+    return verdict.accuracy_pivot(results(spark, d), "pipeline", "question_type")
 
 
 @query("""WITH l AS (SELECT label AS video_id, 1 + vec_id % 3 AS layer, CAST(vec_id AS DOUBLE) AS end_time FROM embeddings), g AS (SELECT video_id, max(end_time) AS duration, count(*) FILTER (layer = 1) AS l1, count(*) FILTER (layer = 2) AS l2, count(*) FILTER (layer = 3) AS l3, count(*) FILTER (layer = 4) AS l4 FROM l GROUP BY 1)

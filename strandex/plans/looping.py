@@ -129,22 +129,29 @@ def loop_sql(how: plans.Loop) -> str:
     return "WITH RECURSIVE " + ",\n".join(c)
 
 
-def run(spark, d, how):
-    """Documents are the chunks of their source. Every other token of a text makes its visual vector, and two of three places of a chunk hold an image
-    that loads."""
+def inputs(spark, d):
+    """(chunks, images): documents are the chunks of their source. Every other token of a text makes its visual vector, and two of three places of a chunk
+    hold an image that loads."""
     docs = table(spark, d, "documents")
     embed = providers.HashEmbedder()
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")
     odd = F.array_join(F.filter(words, lambda t, i: i % 2 == 1), " ")
     chunks = docs.select(F.col("source").alias("video_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("memory_text"), embed(F.col("text")).alias("v_dynamic"), embed(odd).alias("v_visual"))
     images = docs.select(F.col("source").alias("video_id"), F.col("doc_id").alias("chunk_id"), "n_chars", F.explode(F.array(*map(F.lit, range(3)))).alias("u")).where((F.col("n_chars") + F.col("u")) % 3 > 0)
-    images = images.select("video_id", "chunk_id", F.concat_ws("/", "chunk_id", "u").alias("image"))
+    return written(chunks, "chunks"), images.select("video_id", "chunk_id", F.concat_ws("/", "chunk_id", "u").alias("image"))
+
+
+def shown(name):
+    return F.array_join(F.col(name).cast("array<string>"), ",").alias(name)
+
+
+def run(spark, d, how):
+    chunks, images = inputs(spark, d)
     samples = benchmark_samples(spark, d)
     if how is WHOLE:
         routed = RUBRIC.applied(samples.withColumn("_type", F.lit("")), "question", "_type")
         samples = written(routed.select(*samples.columns, "threshold"), "samples")
-    answers, trace = plans.run_loop(samples, written(chunks, "chunks"), embed, how, images=images)
-    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    answers, trace = plans.run_loop(samples, chunks, providers.HashEmbedder(), how, images=images)
     return answers.select("sample_key", "answer", "label", "rounds", "n_evidence", "n_keyframes", shown("evidence"), shown("keyframes")), trace
 
 
@@ -161,3 +168,33 @@ def iterative_loop_trace(spark, d):
 @query(loop_sql(REPEATED) + " SELECT * FROM answers")
 def repeated_question_loop(spark, d):
     return run(spark, d, REPEATED)[0]
+
+
+COARSE = plans.Loop(most_keyframes=6, visual_similarity=0.85, images_a_chunk=2, rerank=True, answer_evidence=6)
+
+
+@query(
+    "WITH RECURSIVE "
+    + ",\n".join([
+        *loop_sql(COARSE).removeprefix("WITH RECURSIVE ").split(",\n")[:3],
+        "b AS (SELECT item_id AS k, 'src' || item_id % 23 AS video, text AS question, item_id // 4 AS g FROM benchmark)",
+        f"cand AS (SELECT b.k, chr((65 + c.k % 4)::INT) AS opt, c.question AS candidate, list_distinct({tokens_of('c.question')}) AS tk FROM b JOIN b c USING (g))",
+        f"q AS (SELECT *, {vector_of('w')} AS v FROM (SELECT k, video, {tokens_of("question || chr(10) || 'Choices:' || chr(10) || opts")} AS w FROM b JOIN (SELECT k, string_agg('  (' || opt || ') ' || candidate, chr(10) ORDER BY opt) AS opts FROM cand GROUP BY 1) USING (k)))",
+        f"found AS (SELECT q.k, ch.id, ch.tk, ch.vis, row_number() OVER (PARTITION BY q.k ORDER BY {near('q.v', 'ch.v')} DESC, ch.id) AS rn FROM q JOIN ch USING (video) QUALIFY rn <= 8)",
+        "late AS (SELECT *, id IN (SELECT id FROM img) AS loads FROM found)",
+        fold("vis", "late", "vis", COARSE.visual_similarity, "[]", "o.loads"),
+        "words AS (SELECT k, list_distinct(flatten(list(tk))) AS pool FROM found GROUP BY 1)",
+        "score AS (SELECT k, opt, round(CASE WHEN len(tk) > 0 THEN len(list_intersect(tk, coalesce(pool, []))) / len(tk) ELSE 0 END, 9) AS score FROM cand LEFT JOIN words USING (k))",
+        "said AS (SELECT k, arg_max(opt, (score, -ascii(opt))) AS answer FROM score GROUP BY 1)",
+        f"used AS (SELECT * FROM (SELECT f.k, f.id, row_number() OVER (PARTITION BY f.k ORDER BY len(list_intersect(f.tk, list_distinct({tokens_of('b.question')}))) DESC, rn) AS place FROM found f JOIN b USING (k)) WHERE place <= {COARSE.answer_evidence})",
+        "seen AS (SELECT v.k, image, row_number() OVER (PARTITION BY v.k ORDER BY u.place NULLS LAST, v.rn, image) AS n FROM vis v JOIN img USING (id) LEFT JOIN used u ON u.k = v.k AND u.id = v.id)",
+    ])
+    + f""" SELECT k AS sample_key, answer, (SELECT count(*) FROM found f WHERE f.k = s.k) AS n_evidence, coalesce((SELECT string_agg(id::VARCHAR, ',' ORDER BY place) FROM used u WHERE u.k = s.k), '') AS evidence,
+    coalesce((SELECT string_agg(image, ',' ORDER BY n) FROM seen x WHERE x.k = s.k AND n <= {COARSE.most_keyframes}), '') AS keyframes FROM said s"""
+)
+def coarse_rag_answers(spark, d):
+    """One search with the options in the query; every eighth question or so asks a video that isn't there."""
+    chunks, images = inputs(spark, d)
+    samples = benchmark_samples(spark, d).withColumn("video_id", F.concat(F.lit("src"), (F.col("sample_key") % 23).cast("string")))
+    got = plans.coarse_answers(written(samples, "samples"), chunks, providers.HashEmbedder(), 8, COARSE, images=images)
+    return got.select("sample_key", "answer", "n_evidence", shown("evidence"), shown("keyframes"))

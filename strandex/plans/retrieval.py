@@ -41,6 +41,27 @@ def coarse_rag(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column],
     return retrieval.nearest(q, chunks, "video_id", [KEY], k, (("q_vec", "v_dynamic"), ("vis_vec", "v_visual")), fused).select(KEY, "chunk_id", "score", "rank")
 
 
+def coarse_answers(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], k: int = 8, how: Loop | None = None, models: Providers | None = None, images: DataFrame | None = None) -> DataFrame:
+    """One search a question, with its options in the query, and an answer from what it finds, in order of use if wanted: sample_key, answer, n_evidence,
+    evidence and keyframes as run_loop gives them. Samples whose video has no chunks are answered without evidence."""
+    how, models = how or Loop(most_keyframes=8, visual_similarity=0.92), models or Providers()
+    asked = samples.withColumn("query", question_text(F.col("question"), F.col("candidates")))
+    top = coarse_rag(asked, chunks, embed, k).withColumn("ord", F.struct(F.lit(0).alias("round"), F.lit(0).alias("q_pos"), F.col("rank")))
+    found = written(top.join(samples.select(KEY, "video_id"), KEY).join(chunks.select("video_id", "chunk_id", F.col("memory_text").alias("text"), *(["v_visual"] if "v_visual" in chunks.columns else [])), ["video_id", "chunk_id"]), "found")
+    options = options_of(samples)
+    judged = models.judge(options, found, KEY)
+    said = judged.groupBy(KEY).agg(F.max_by("opt", F.struct((F.col("said") == "true").cast("int"), F.col("rubric_score"))).alias("answer"))
+    counts = found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_evidence"))
+    answers = samples.select(KEY).join(said, KEY, "left").join(counts, KEY, "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+    if images is None or "v_visual" not in chunks.columns:
+        frames = found.select(KEY, "ord", "chunk_id", F.lit("").alias("image")).limit(0)
+    else:
+        images = sequence.first_per_key(images, ["video_id", "chunk_id"], ["image"], how.images_a_chunk)
+        frames, _ = keyframes.accumulated(found.select(KEY, "ord", "video_id", "chunk_id", "v_visual"), images, None, KEY, "ord", "v_visual", how.visual_similarity, ["video_id", "chunk_id"])
+        frames = frames.select(KEY, "ord", "chunk_id", "image")
+    return as_shown(answers, samples, found.select(KEY, "ord", "chunk_id", "text"), frames, how, models)
+
+
 def rerank_rag(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column], score: Callable[[Column, Column], Column], coarse: int = 50, final: int = 10) -> DataFrame:
     q = samples.select(KEY, "video_id", "query", embed(F.col("query")).alias("q_vec"))
     first = retrieval.nearest(q, chunks, "video_id", [KEY], coarse, rank="coarse_rank")

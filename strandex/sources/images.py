@@ -1,4 +1,4 @@
-"""Frame statistics from image bytes: size, brightness, sharpness, difference hash; resizing and writing of frames.
+"""Frame statistics from image bytes: size, brightness, sharpness, difference hash; resizing of frames.
 
 Decoding needs a library; without Pillow, binary PGM and PPM are read here. Whatever can't be decoded has null statistics, which the filters
 count as blank and blurry.
@@ -92,6 +92,34 @@ def frame_statistics(spark: SparkSession, path: str, glob: str = "*") -> DataFra
     return files.select("path", "length", "content").mapInPandas(run, schemas.FRAME_STATS)
 
 
+def encode(pixels: np.ndarray) -> bytes:
+    """Binary PGM or PPM, which need no library."""
+    p = np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
+    return b"P%d\n%d %d\n255\n" % (5 if p.shape[2] == 1 else 6, p.shape[1], p.shape[0]) + p.tobytes()
+
+
+def resized(frames: DataFrame, longest: int | None = None, shortest: int | None = None, content: str = "content") -> DataFrame:
+    """frames with their content scaled down to at most so long a long or short side, by means over equal areas; images that are small enough, and bytes that
+    can't be decoded, stay as they are."""
+
+    def one(body):
+        px = decode(body) if body is not None else None
+        if px is None:
+            return body
+        h, w, n = px.shape
+        scale = longest / max(w, h) if longest else shortest / min(w, h)
+        if scale >= 1:
+            return body
+        width, height = (max(1, int(x * scale)) if longest else round(x * scale) for x in (w, h))
+        return encode(np.stack([shrink(px[..., k].astype(float), height, width) for k in range(n)], axis=2))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.assign(**{content: [one(b) for b in p[content]]})
+
+    return frames.mapInPandas(run, frames.schema)
+
+
 def is_blank(n_bytes: Column, mean: Column, std: Column) -> Column:
     """The cheap test of the file's size first, then the pixels'; what isn't known is blank."""
     return (F.coalesce(n_bytes, F.lit(0)) < LEAST_BYTES) | (F.coalesce(mean, F.lit(0.0)) < LEAST_MEAN) | (F.coalesce(std, F.lit(0.0)) < LEAST_STD)
@@ -108,4 +136,4 @@ def frame_times(frames: DataFrame, by: str, fps: float) -> DataFrame:
     return frames.withColumn("frame_idx", F.row_number().over(Window.partitionBy(by).orderBy("path")) - 1).withColumn("ts", F.col("frame_idx") / F.lit(float(fps)))
 
 
-__all__ = ["decode", "dhash", "frame_statistics", "frame_times", "grey", "is_blank", "is_blurry", "laplacian_variance", "shrink"]
+__all__ = ["decode", "dhash", "encode", "frame_statistics", "frame_times", "grey", "is_blank", "is_blurry", "laplacian_variance", "resized", "shrink"]

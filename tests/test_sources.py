@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex import schemas
-from strandex.sources import images, readers, writers
+from strandex.sources import images, readers, stills, writers
 
 SRT = """1
 00:00:01,000 --> 00:00:02,500
@@ -171,3 +171,37 @@ def test_frames(spark, tmp_path):
     assert (got["noise.pgm"].blank, got["noise.pgm"].blurry, got["noise.pgm"].width, got["noise.pgm"].height) == (False, False, 48, 32)
     assert got["flat.pgm"].blank and got["flat.pgm"].blurry and got["bad.pgm"].blank and got["bad.pgm"].dhash is None
     assert images.dhash(np.tile(np.arange(9.0, 0, -1), (8, 1))) == -1 and images.dhash(np.tile(np.arange(9.0), (8, 1))) == 0
+
+
+def test_stills(spark, tmp_path):
+    """Frames by byte ranges: split counts, times and indexes, and no frame read where content isn't asked for."""
+    rng = np.random.default_rng(1)
+    want = {}
+    for v, n in (("a", 10), ("b", 3), ("none", 0)):
+        frames = [(i / 2, b"P5\n8 4\n255\n" + rng.integers(0, 255, 32, np.uint8).tobytes() + b"x" * i) for i in range(n)]
+        stills.write(str(tmp_path / f"{v}.stills"), frames, n / 2)
+        want |= {(v, i): (ts, body, n / 2) for i, (ts, body) in enumerate(frames)}
+    (tmp_path / "notes.txt").write_text("no container")
+    stills.register(spark)
+    for size, splits in ((1 << 20, 2), (100, 7), (1, 13)):
+        df = spark.read.format("stills").option("splitBytes", size).load(str(tmp_path))
+        assert df.rdd.getNumPartitions() == splits, (size, df.rdd.getNumPartitions())
+        assert {(r.video_id, r.frame_idx): (r.ts, bytes(r.content), r.duration) for r in df.collect()} == want
+    narrow = spark.read.format("stills").schema("video_id string, ts double, duration double").load(str(tmp_path))
+    assert narrow.groupBy("video_id").agg(F.max("ts").alias("t"), F.max("duration").alias("d")).orderBy("video_id").collect() == [("a", 4.5, 5.0), ("b", 1.0, 1.5)]
+    reader = stills.Reader(narrow.schema, {"path": str(tmp_path)})
+    assert reader.partitions()[0].last == 10 and next(reader.read(reader.partitions()[0])).schema.names == ["video_id", "ts", "duration"]
+    (tmp_path / "bad.stills").write_bytes(b"STILLS1\n" * 9)
+    with pytest.raises(Exception, match="no container"):
+        spark.read.format("stills").load(str(tmp_path)).count()
+
+
+def test_resized(spark):
+    px = np.arange(8 * 4 * 3, dtype=np.uint8).reshape(4, 8, 3)
+    rows = spark.createDataFrame([("x", bytearray(images.encode(px))), ("bad", bytearray(b"nothing")), ("none", None)], "path string, content binary")
+    got = {r.path: r.content and bytes(r.content) for r in images.resized(rows, longest=4).collect()}
+    small = images.decode(got["x"])
+    assert small.shape == (2, 4, 3) and got["bad"] == b"nothing" and got["none"] is None
+    assert abs(int(small[0, 0, 0]) - px[:2, :2, 0].mean()) <= 1
+    assert images.decode(bytes(images.resized(rows, shortest=2).where("path = 'x'").first().content)).shape == (2, 4, 3)
+    assert bytes(images.resized(rows, longest=8).where("path = 'x'").first().content) == images.encode(px)
