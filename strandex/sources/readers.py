@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,51 +95,35 @@ def videos(spark: SparkSession, path: str) -> DataFrame:
 
 # --- subtitles ----------------------------------------------------------------------------------------------------
 
-_TIMES = re.compile(r"(\d{2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})[,.](\d{3})")
+STAMP = r"^(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 
 
-def srt_cues(body: str) -> Iterator[tuple[float, float, str]]:
-    """(start, end, text) of every cue: a time line opens one, a blank line after text or the next time line closes it; lines of digits
-    alone don't count, tags go, empty cues are left out."""
-    span, said = None, []
-
-    def cue():
-        if span and said and (t := re.sub(r"<[^>]+>", "", " ".join(said)).strip()):
-            yield (*span, t)
-
-    for line in map(str.strip, body.splitlines()):
-        if m := _TIMES.match(line):
-            yield from cue()
-            g = [int(x) for x in m.groups()]
-            span, said = tuple(g[i] * 3600 + g[i + 1] * 60 + g[i + 2] + g[i + 3] / 1000 for i in (0, 4)), []
-        elif span and line and not line.isdigit():
-            said.append(line)
-        elif span and said and not line:
-            yield from cue()
-            span, said = None, []
-    yield from cue()
+def subtitles_native(files: DataFrame) -> DataFrame:
+    """Cues of texts of SRT files (video_id, value), well-formed or not.
+
+    A time line opens a cue and numbers the lines up to the next one; of these its text is what comes before the first blank line that follows any text.
+    Lines of digits alone aren't text, tags go, cues without text are left out and the others numbered from 0."""
+    lines = F.split(F.regexp_replace("value", r"\r\n?", "\n"), "\n")
+    rows = files.select("video_id", F.posexplode(lines).alias("_n", "_line")).withColumn("_line", F.regexp_replace("_line", r"^[\s\ufeff]+|\s+$", ""))
+    rows = rows.withColumn("_time", F.col("_line").rlike(STAMP))
+    in_file = sequence.Window.partitionBy("video_id").orderBy("_n")
+    rows = rows.withColumn("_cue", F.sum(F.col("_time").cast("int")).over(in_file)).where("_cue > 0")
+    rows = rows.withColumn("_text", ~F.col("_time") & (F.col("_line") != "") & ~F.col("_line").rlike(r"^\d+$"))
+    before = sequence.Window.partitionBy("video_id", "_cue").orderBy("_n").rowsBetween(sequence.Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_ends", (F.col("_line") == "") & F.coalesce(F.bool_or("_text").over(before), F.lit(False)))
+    rows = rows.withColumn("_text", F.col("_text") & ~F.coalesce(F.bool_or("_ends").over(before), F.lit(False)))
+    head = F.max(F.when(F.col("_time"), F.col("_line")))
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_text"), F.struct("_n", "_line")))), lambda s: s["_line"]), " ")
+    cues = rows.groupBy("video_id", "_cue").agg(head.alias("_head"), F.trim(text.strip_tags(said)).alias("text")).where("text <> ''")
+    at = lambda i: text.srt_seconds(F.regexp_extract("_head", STAMP, i))
+    number = F.row_number().over(sequence.Window.partitionBy("video_id").orderBy("_cue")) - 1
+    return cues.select("video_id", number.alias("cue_idx"), at(1).alias("start_s"), at(2).alias("end_s"), "text")
 
 
 def subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """Cues of all SRT files at a path, the file's stem as video_id. One row holds one file's text."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(v, i, *c) for v, body in zip(p["video_id"], p["value"], strict=True) for i, c in enumerate(srt_cues(body))]
-            yield pd.DataFrame(rows, columns=[f.name for f in schemas.CUE])
-
-    files = spark.read.option("pathGlobFilter", "*.srt").text(path, wholetext=True).select(text.stem(F.input_file_name()).alias("video_id"), "value")
-    return files.mapInPandas(run, schemas.CUE)
-
-
-def subtitles_native(files: DataFrame) -> DataFrame:
-    """The same for well-formed files, without Python: video_id, value (a file's text) -> cues."""
-    blocks = F.split(F.regexp_replace("value", r"\r\n?", "\n"), r"\n[ \t]*\n")
-    stamp = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
-    b = files.select("video_id", F.posexplode(blocks).alias("cue_idx", "b")).where(F.col("b").rlike(stamp))
-    lines = F.filter(F.split(F.regexp_replace("b", r"(?s)^.*?-->[^\n]*\n?", ""), "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^\d+$"))
-    said = F.trim(text.strip_tags(F.array_join(F.transform(lines, lambda s: F.trim(s)), " ")))
-    return b.select("video_id", "cue_idx", text.srt_seconds(F.regexp_extract("b", stamp, 1)).alias("start_s"), text.srt_seconds(F.regexp_extract("b", stamp, 2)).alias("end_s"), said.alias("text")).where("text <> ''")
+    """Cues of all SRT files at a path, the file's stem as video_id."""
+    files = spark.read.option("pathGlobFilter", "*.srt").text(path, wholetext=True)
+    return subtitles_native(files.select(text.stem(F.input_file_name()).alias("video_id"), "value"))
 
 
 # --- banks --------------------------------------------------------------------------------------------------------

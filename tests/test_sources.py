@@ -32,6 +32,14 @@ def test_subtitles(spark, tmp_path):
     assert [(r.video_id, r.start_s, r.end_s, r.text) for r in native] == want
 
 
+def test_malformed_subtitles(spark):
+    """Time lines close what is open, blank lines count only after text, what follows a closed cue is nobody's, and a byte order mark does no harm."""
+    body = "\ufeffnoise\r\n00:00:01,000 --> 00:00:02,000\r\n\r\n  first <b>one</b> \r\nmore\r\n00:00:03.000-->00:00:04.500 align:left\r\n7\r\nsecond\r\n \t\r\nlost\r\n9\r\n00:00:05,000 --> 00:00:06,000\r\n<i></i>\r\n\r\n00:00:07,000 --> 00:00:08,000\r\n\r\n\r\n12\r\n00:00:09,000 --> 00:00:10,000\r\nlast"
+    rows = spark.createDataFrame([("v", body), ("w", ""), ("x", None), ("y", "no cue")], "video_id string, value string")
+    got = sorted((r.video_id, r.cue_idx, r.start_s, r.end_s, r.text) for r in readers.subtitles_native(rows).collect())
+    assert got == [("v", 0, 1.0, 2.0, "first one more"), ("v", 1, 3.0, 4.5, "second"), ("v", 2, 9.0, 10.0, "last")]
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"video_id": "x"}\n\nnot json\n{"video_id": "y"}\n')
     assert sorted(r.video_id for r in readers.video_filter(spark, str(tmp_path)).collect()) == ["x", "y"]
@@ -183,7 +191,7 @@ def test_stills(spark, tmp_path):
         want |= {(v, i): (ts, body, n / 2) for i, (ts, body) in enumerate(frames)}
     (tmp_path / "notes.txt").write_text("no container")
     stills.register(spark)
-    for size, splits in ((1 << 20, 2), (100, 7), (1, 13)):
+    for size, splits in ((1 << 20, 2), (100, 8), (1, 13)):
         df = spark.read.format("stills").option("splitBytes", size).load(str(tmp_path))
         assert df.rdd.getNumPartitions() == splits, (size, df.rdd.getNumPartitions())
         assert {(r.video_id, r.frame_idx): (r.ts, bytes(r.content), r.duration) for r in df.collect()} == want
