@@ -9,12 +9,15 @@ The tables here have no topic column, so the query's topic is the form of the te
 column or expression serves.
 
 Defined cases: a null margin is the value "(none)"; a null or empty text has no words and stands in its cell with weight; targets that no
-document meets are left out and the others scaled; repeated rows share an id and so one draw; further columns are carried through by
+document meets are left out and the others scaled; where a margin has targets, a value that has none (or 0) gets weight 0, and its documents aren't
+drawn; raking that hasn't settled after ROUNDS rounds warns, and says how far off it is; a topic may be any column; repeated rows share an id and so one draw; further columns are carried through by
 mix_documents; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +46,8 @@ def values(margin: str) -> Column:
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Weights w with the margins of tokens * w in the target shares. tokens: one axis a margin. Empty slices keep weight 1."""
+    """Weights w with the margins of tokens * w in the target shares. tokens: one axis a margin. Slices without words keep their weight, others without a
+    share get 0."""
     codes = [x.ravel() for x in np.indices(tokens.shape)]
     return rake_cells(codes, tokens.ravel(), targets, rounds, tolerance).reshape(tokens.shape)
 
@@ -59,14 +63,20 @@ def rake_cells(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.nda
             have = np.bincount(code, tokens * w, minlength=len(share))
             want = np.where(have > 0, share, 0)
             want = want / want.sum() * total if want.sum() else have
-            ratio = np.where((have > 0) & (want > 0), want / np.where(have > 0, have, 1), 1.0)
+            ratio = np.where(have > 0, want / np.where(have > 0, have, 1), 1.0)
             worst = max(worst, float(np.abs(ratio - 1).max()))
             w = w * ratio[code]
         if worst < tolerance:
             break
+    else:
+        unsettled(rounds, worst)
     return w
 
 
+def unsettled(rounds: int, off: float) -> None:
+    warnings.warn(f"raking is off by {off:.3g} after {rounds} rounds: the targets of the margins may contradict each other", stacklevel=2)
+
+
 def flattened(tokens: dict[str, float], power: float) -> dict[str, float]:
     """Target shares in proportion to the present ones to a power: below 1, small sources gain."""
     raised = {k: v**power for k, v in tokens.items() if v > 0}
@@ -89,18 +99,21 @@ def on_driver(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str
 
 
 def in_rounds(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str, float]], power: float) -> DataFrame:
-    """The same in Spark. Weights stay above zero, so what a value is to have is the same in each round."""
+    """The same in Spark, a table written a round. Weights above zero stay so, and what a value is to have is the same in each round."""
     spark, wanted = scratch.spark, {}
+    cells, every = cells.select(*MARGINS, "n", F.lit(1.0).alias("weight")), {}
+    for m in MARGINS:
+        if targets.get(m):  # a value without a target, of those that have words, starts with weight 0 and keeps it
+            every[m] = spark.createDataFrame(list(targets[m].items()), f"{m} string, share double").where("share > 0")
+            worded = cells.groupBy(m).agg((F.sum("n") > 0).alias("_words")).join(every[m], m, "left").select(m, (F.col("_words") & F.col("share").isNull()).alias("_gone"))
+            cells = cells.join(worded, m).withColumn("weight", F.when(F.col("_gone"), 0.0).otherwise(F.col("weight"))).drop("_gone")
     total = float(cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    old = scratch.save(cells.select(*MARGINS, "n", "weight", F.lit(0.0).alias("off")), "round")
     for m in MARGINS:
-        have = cells.groupBy(m).agg(F.sum("n").cast("double").alias("have")).where("have > 0")
-        if targets.get(m):
-            share = have.join(spark.createDataFrame(list(targets[m].items()), f"{m} string, share double"), m).where("share > 0").select(m, "share")
-        else:
-            share = have.select(m, F.pow("have", F.lit(power)).alias("share"))
+        have = old.groupBy(m).agg(F.sum("n").cast("double").alias("have"), F.sum(F.col("n") * F.col("weight")).alias("live")).where("live > 0")
+        share = have.join(every[m], m).select(m, "share") if m in every else have.select(m, F.pow("have", F.lit(power)).alias("share"))
         share = scratch.save(share, "share")
         wanted[m] = share.select(m, (F.col("share") / F.lit(share.agg(F.coalesce(F.sum("share"), F.lit(1.0))).first()[0]) * F.lit(total)).alias("want"))
-    old = scratch.save(cells.select(*MARGINS, "n", F.lit(1.0).alias("weight"), F.lit(0.0).alias("off")), "round")
     for _ in range(ROUNDS):
         now = old.withColumn("off", F.lit(0.0))
         for m in MARGINS:
@@ -108,11 +121,13 @@ def in_rounds(scratch: Scratch, cells: DataFrame, targets: dict[str, dict[str, f
             ratio = have.join(wanted[m], m).select(m, (F.col("want") / F.col("have")).alias("ratio"))
             by = F.coalesce("ratio", F.lit(1.0))
             now = now.join(ratio, m, "left").select(*MARGINS, "n", (F.col("weight") * by).alias("weight"), F.greatest("off", F.abs(by - 1)).alias("off"))
-            now = scratch.save(now, "round")
-            scratch.drop(old)
-            old = now
-        if (old.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+        now = scratch.save(now, "round")
+        scratch.drop(old)
+        old, off = now, now.agg(F.max("off")).first()[0] or 0.0
+        if off < TOLERANCE:
             break
+    else:
+        unsettled(ROUNDS, off)
     return old.drop("off")
 
 
@@ -144,7 +159,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, topic: Column | None = N
     counted = docs.select(values("source").alias("source"), values("lang").alias("lang"), F.coalesce(topic, F.lit(NONE)).alias("topic"), n_words(F.col(text)).alias("n_tokens"))
     sums = Scratch(spark, "mixing").save(counted.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     cells, few = cell_weights(spark, sums, **how)
-    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), values("source").alias("_cell_source"), values("lang").alias("_cell_lang"), F.coalesce(topic, F.lit(NONE)).alias("_cell_topic"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_key"), values("source").alias("_cell_source"), values("lang").alias("_cell_lang"), F.coalesce(topic, F.lit(NONE)).alias("_cell_topic"))
     return with_cells(marked, cells, few).where(draw(F.col("_key"), seed) < F.col("_cell_probability")).select("_row.*")
 
 

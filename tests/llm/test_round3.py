@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
-from strandex.llm import collocations, filter_audit, fingerprints, lines
+from strandex.llm import collocations, filter_audit, fingerprints, lines, mixing
 from strandex.llm.common import KeyFilter
 
 SMALL = "/root/testdata/sf0.001"
@@ -350,3 +351,73 @@ def test_line_dedup_columns(spark, tmp_path):
         want = (len(own), sum(v[0] for v in own.values()), sum(v[1] for v in own.values()), ",".join(str(k) for k, v in sorted(own.items()) if v[0]))
         assert (got[i].n_lines, got[i].n_removed, got[i].n_near, got[i].removed_lines) == want, i
     assert len(got) == len(rows) and sum(r.n_near for r in got.values()) > 10
+
+
+# --- 4 ------------------------------------------------------------------------------------------------------------
+
+
+def raked(cells, targets, rounds=200):
+    """Plain raking of {(source, lang, topic): words}; targets by margin, None for the present shares to the power 0.9."""
+    goal = []
+    for k, t in enumerate(targets):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[k]] += n
+        goal.append(t if t is not None else {v: n**0.9 for v, n in have.items() if n})
+    w = {c: 1.0 for c in cells}
+    for _ in range(rounds):
+        for k, t in enumerate(goal):
+            have = Counter()
+            for c, n in cells.items():
+                have[c[k]] += n * w[c]
+            live = {v for v, n in have.items() if n > 0}
+            total = sum(t.get(v, 0) for v in live)
+            for c in cells:
+                if c[k] in live:
+                    w[c] *= t.get(c[k], 0) / total * sum(cells.values()) / have[c[k]]
+    return w
+
+
+def test_mixing_against_plain_raking(spark, monkeypatch):
+    """Weights on the driver and in rounds of Spark, with and without targets; values without a target get nothing."""
+    rng = random.Random(4)
+    rows = [(f"s{rng.randrange(4)}", rng.choice(["en", "de", "(none)"]), rng.choice(["short", "long"]), rng.choice([0, 5, 90, 700])) for _ in range(120)]
+    cells = Counter()
+    for *c, n in rows:
+        cells[tuple(c)] += n
+    counted = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens bigint")
+    monkeypatch.setattr(mixing, "ROUNDS", 40)
+    for targets in ({}, {"source": {"s0": 0.5, "s1": 0.5, "s3": 0.0, "absent": 0.4}, "lang": {"en": 0.7, "de": 0.3, "(none)": 0.1}}):
+        want = raked(cells, [targets.get(m) for m in mixing.MARGINS], 40)
+        for most in (1 << 16, 1):
+            monkeypatch.setattr(mixing, "MOST_CELLS", most)
+            got = {(r.source, r.lang, r.topic): r.weight for r in mixing.cell_weights(spark, counted, targets)[0].collect()}
+            assert got.keys() == want.keys() and all(abs(got[c] - want[c]) <= 1e-6 * max(1, want[c]) for c in want), (targets, most)
+            if targets:
+                assert all(w == 0 for c, w in got.items() if c[0] in ("s2", "s3")) and any(w > 0 for w in got.values())
+    with pytest.warns(UserWarning, match="off by"):
+        mixing.rake(np.array([[1.0, 0.0], [0.0, 1.0]]), [np.array([0.9, 0.1]), np.array([0.1, 0.9])], 5)
+
+
+def test_mixing_columns(spark, tmp_path):
+    """op4's columns against plain counting and raking, and the rows that were drawn against the draw itself."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, "", "x y\n" * rng.randint(1, 40), " ".join(["word"] * rng.randint(1, 600)), " | ".join(["cell"] * rng.randint(1, 30))]), rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", None])) for i in range(150)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def topic(t):
+        return "tabular" if t.count(" | ") >= 8 else "listed" if len(t) < 60 * (t.count("\n") + 1) else "short" if len(t) < 1500 else "long"
+
+    cell = {i: (s or "(none)", lang or "(none)", topic(t or "")) for i, t, lang, s in rows}
+    cells = Counter()
+    for i, t, *_ in rows:
+        cells[cell[i]] += len(WORDS.findall(t or ""))
+    w = raked(cells, [None, None, None])
+    top = max(w[c] for c in w if cells[c])
+    p = {i: min(1.0, w[cell[i]] / top) for i in cell}
+    u = {r.doc_id: r.u for r in frame(spark, rows).select("doc_id", mixing.draw(F.col("doc_id")).alias("u")).collect()}
+    got = {r.doc_id: r for r in mixing.op4_source_mixing(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i in cell if u[i] < p[i]} and 0 < len(got) < len(rows)
+    for i, t, *_ in rows:
+        if r := got.get(i):
+            assert ((r.source, r.lang, r.topic), r.n_tokens) == (cell[i], len(WORDS.findall(t or ""))) and abs(r.weight - w[cell[i]]) < 1e-6 and abs(r.probability - p[i]) < 1e-6
