@@ -151,12 +151,6 @@ def window_subtitles(lines: Column, start: Column, end: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(F.concat(F.array(head), rows), "\n")).otherwise("No subtitles in this window.")
 
 
-def criteria_text(criteria: Column) -> Column:
-    """criteria: array<struct<name, description, weight>>."""
-    line = lambda c: F.concat(F.lit("- "), c["name"], F.lit(": "), c.description, F.when(c.weight != 1, F.concat(F.lit(" (weight "), c.weight.cast("string"), F.lit(")"))).otherwise(""))
-    return F.array_join(F.transform(criteria, line), "\n")
-
-
 def verdict_hint(judgment: Column, scores: Column) -> Column:
     """judgment: map option -> true/false/unknown; scores: map option -> double."""
     line = lambda e: F.concat(F.lit("  ("), e.key, F.lit(") "), e.value, F.coalesce(F.concat(F.lit(" ["), F.format_string("%.2f", half_even(F.try_element_at(scores, e.key), 2)), F.lit("]")), F.lit("")))

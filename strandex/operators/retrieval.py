@@ -70,6 +70,13 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], columns[keep]
 
 
+def blended(texts: np.ndarray, speech: np.ndarray, images: np.ndarray, speech_share: float, text_share: float, digits: int = DIGITS) -> np.ndarray:
+    """Text scores with a share of speech scores, and of that a share beside image scores; a score that isn't there leaves the others as they are."""
+    both = np.where(np.isnan(speech), texts, (1 - speech_share) * texts + speech_share * speech)
+    mixed = text_share * both + (1 - text_share) * np.where(np.isnan(images), both, images)
+    return np.floor(mixed * 10**digits + 0.5) / 10**digits
+
+
 def nearest(queries: DataFrame, chunks: DataFrame, by: str, query: list[str], k: int, channels: tuple[tuple[str, str], ...] = (("q_vec", "v_dynamic"),), combine: Callable[..., np.ndarray] | None = None, item: str = "chunk_id", score: str = "score", rank: str = "rank") -> DataFrame:
     """by, query, item, score and rank of the k best chunks of each query's video, exactly; of equal scores the smaller item.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandex.functions import text, vector
-from strandex.operators import keyframes, messages, sequence
-from strandex.plans.catalog import CHUNKS, HASHED, chunks, query, seconds
+from strandex.functions import prompts, text, vector
+from strandex.operators import keyframes, messages, retrieval, sequence
+from strandex.plans.catalog import ASKED, CHUNKS, HASHED, asked, chunks, query, seconds
 from strandex.session import table
 
 EACH = "(SELECT max(vec_id) + 1 FROM embeddings)"
@@ -102,3 +102,71 @@ def message_parts(spark, d):
     tail = F.concat(text.segmented(F.col("_evidence")), F.lit("\nQuestion: "), "question")
     rows = messages.assembled(samples, evidence, e, "conv_id", head, tail, 6, 1200, labels=True)
     return rows.select("conv_id", F.posexplode("parts").alias("pos", "p")).select("conv_id", "pos", "p.*")
+
+
+# --- prompts and their replies ------------------------------------------------------------------------------------
+
+TALK = """q AS (SELECT conv_id, list(text ORDER BY turn, role, text) FILTER (role = 'user') AS u, list('[' || turn * 10 || 's-' || (turn * 10 + 9) || 's] ' || text ORDER BY turn, role, text) FILTER (role = 'assistant') AS e, count(*) AS n FROM conversations GROUP BY 1),
+t AS (SELECT conv_id, coalesce(u, []) AS u, coalesce(e, []) AS e, n, coalesce(u, [])[1:3] AS c, array_to_string(list_transform(coalesce(u, [])[1:3], lambda x, i: '  (' || chr((64 + i)::INT) || ') ' || x), chr(10)) AS opts FROM q)"""
+
+
+def talks(spark, d):
+    """A conversation's user turns ask (the first is the question, the first three the options), its answers are the evidence."""
+    c = table(spark, d, "conversations")
+    of = lambda role, said: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "role", "text", said.alias("said"))))), lambda s: s.said)
+    head = F.concat(F.lit("["), (F.col("turn") * 10).cast("string"), F.lit("s-"), (F.col("turn") * 10 + 9).cast("string"), F.lit("s] "), "text")
+    t = c.groupBy("conv_id").agg(of("user", F.col("text")).alias("u"), of("assistant", head).alias("e"), F.count(F.lit(1)).alias("n"))
+    return t.withColumn("c", F.slice("u", 1, 3)).withColumn("question", F.coalesce(F.get("u", F.lit(0)), F.lit("")))
+
+
+@query(f"""WITH {TALK} SELECT conv_id, 'Question: ' || coalesce(u[1], '') || chr(10) || 'Options:' || chr(10) || opts || chr(10) || chr(10) || 'Evidence:' || chr(10) || array_to_string(list_transform(e, lambda x, i: '  [E' || i || '] ' || x[1:250]), chr(10)) || chr(10) || chr(10) || 'Correct answer: (' || chr((65 + n % 3)::INT) || ') '
+|| coalesce(nullif(c[1 + n % 3], ''), '?') || chr(10) || 'Model predicted: (' || CASE WHEN n % 2 = 0 THEN '?' ELSE 'A' END || ') ' || CASE WHEN n % 2 = 0 THEN 'unknown' ELSE coalesce(nullif(c[1], ''), 'unknown') END || chr(10) || chr(10) || 'What does the evidence lack to support the correct answer?' AS prompt,
+CASE WHEN n % 2 = 0 AND coalesce(e[1], '') <> '' THEN e[1] ELSE (CASE WHEN n % 2 = 0 THEN '{{"description":""}}' ELSE 'no braces: ' || coalesce(u[1], '') END)[1:200] END AS missing FROM t""")
+def missing_facts(spark, d):
+    """Prompts about whole evidence, each text cut where the prompt cuts it, and replies with and without JSON."""
+    t = talks(spark, d)
+    gold, said = F.char(65 + F.col("n") % 3), F.when(F.col("n") % 2 == 1, "A")
+    reply = F.when(F.col("n") % 2 == 0, F.to_json(F.struct(F.coalesce(F.get("e", F.lit(0)), F.lit("")).alias("description")))).otherwise(F.concat(F.lit("no braces: "), "question"))
+    return t.select("conv_id", prompts.missing_fact_prompt(F.col("question"), F.col("c"), F.col("e"), gold, said).alias("prompt"), prompts.missing_fact(reply).alias("missing"))
+
+
+@query(f"""WITH {TALK}, r AS (SELECT conv_id, list_sort(list_distinct(list((turn * 10, turn * 10 + 9)))) AS r FROM conversations WHERE role = 'assistant' GROUP BY 1),
+p AS (SELECT *, CASE WHEN n % 4 = 0 THEN '' ELSE 'turn ' || n END AS gap, array_to_string(list_transform(r, lambda x: printf('%d:%02d', x[1] // 60, x[1] % 60) || '-' || printf('%d:%02d', x[2] // 60, x[2] % 60)), ', ') AS covered FROM t LEFT JOIN r USING (conv_id))
+SELECT conv_id, 'Question: ' || coalesce(u[1], '') || repeat(chr(10), 2) || 'Options:' || chr(10) || opts || repeat(chr(10), 2) || 'Already tried (do NOT repeat):' || chr(10) || CASE WHEN len(u) > 0 THEN '  "' || array_to_string(u, '" | "') || '"' ELSE '  [broadcast]' END || chr(10) || '  [broadcast]'
+|| CASE WHEN len(e) > 0 THEN repeat(chr(10), 2) || 'Evidence covers video segments: ' || covered || repeat(chr(10), 2) || 'Current evidence (sample):' || chr(10) || array_to_string(list_transform(e[1:5], lambda x, i: '  [E' || i || '] ' || x[1:200]), chr(10)) ELSE '' END
+|| CASE WHEN gap <> '' THEN repeat(chr(10), 2) || 'Still missing: ' || gap ELSE '' END || repeat(chr(10), 2) || 'Output the retrieval strategy JSON now.' AS prompt,
+array_to_string(list_filter([CASE WHEN n % 3 > 0 THEN 'Weak rubric criteria: coverage' || CASE WHEN n % 3 = 2 THEN ', order' ELSE '' END END, CASE WHEN n % 2 = 0 THEN 'Unresolved options: A, C' END, CASE WHEN gap <> '' THEN 'Missing evidence analysis: ' || gap END], lambda x: x IS NOT NULL), chr(10)) AS context FROM p""")
+def planner_prompts(spark, d):
+    t = talks(spark, d).withColumn("gap", F.when(F.col("n") % 4 == 0, "").otherwise(F.concat(F.lit("turn "), F.col("n").cast("string"))))
+    none = F.expr("cast(array() as array<string>)")
+    weak = F.slice(F.array(F.lit("coverage"), F.lit("order")), F.lit(1), (F.col("n") % 3).cast("int"))
+    unknown = F.when(F.col("n") % 2 == 0, F.array(F.lit("A"), F.lit("C"))).otherwise(none)
+    return t.select("conv_id", prompts.planner_prompt(F.col("question"), F.col("c"), F.array("u", none), F.col("e"), F.col("gap")).alias("prompt"), prompts.repair_context(weak, unknown, F.col("gap")).alias("context"))
+
+
+@query("""WITH r AS (SELECT doc_id, text, lang, l.quality AS q, n_chars FROM documents LEFT JOIN labels l USING (doc_id)), v AS (SELECT *, CASE WHEN q = 1 THEN 'sufficient' ELSE 'insufficient' END AS label FROM r)
+SELECT doc_id, label, CASE WHEN q IS NULL THEN '' ELSE CASE n_chars % 3 WHEN 0 THEN 'A=verified,B=unclear' WHEN 1 THEN 'B=unclear' ELSE '' END END AS status, CASE WHEN label = 'insufficient' AND q IS NOT NULL THEN nullif(text, '') END AS missing, CASE WHEN q IS NULL THEN '' ELSE lang END AS reasoning FROM v""")
+def holistic_verdicts(spark, d):
+    """Replies of a verifier without a rubric, about whole texts: labels in any case, statuses that aren't allowed, and replies that break off."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    first = F.when(F.col("n_chars") % 3 == 0, " Verified ").otherwise("odd")
+    status = F.when(F.col("n_chars") % 3 < 2, F.create_map(F.lit("a) x"), first, F.lit("B"), F.lit("unclear")))
+    label = F.when(F.col("quality") == 1, "SUFFICIENT").otherwise("perhaps")
+    reply = F.to_json(F.struct(label.alias("label"), status.alias("option_status"), F.col("text").alias("missing_evidence_analysis"), F.col("lang").alias("reasoning")))
+    reply = F.when(F.col("quality").isNotNull(), F.concat(F.lit("Here it is: "), reply)).otherwise(F.substring(reply, 1, 9))
+    v = prompts.holistic_verdict(reply)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(v.option_status)), lambda e: F.concat(e.key, F.lit("="), e.value)), ",")
+    return docs.select("doc_id", v.label.alias("label"), shown.alias("status"), v.missing.alias("missing"), v.reasoning.alias("reasoning"))
+
+
+@query(f"""WITH {CHUNKS}, {ASKED}, s AS (SELECT q.query_id, c.chunk_id, round(list_dot_product(q.qv[1:32], c.v[1:32]), 6) AS t, round(list_dot_product(q.qv[1:32], c.v[17:48]), 6) AS a, CASE WHEN c.chunk_id % 3 > 0 THEN round(list_dot_product(q.qv[33:64], c.v[33:64]), 6) END AS i FROM q JOIN c USING (video_id)),
+b AS (SELECT *, (1 - 0.3::DOUBLE) * t + 0.3::DOUBLE * a AS x FROM s), f AS (SELECT query_id, chunk_id, floor((0.6::DOUBLE * x + (1 - 0.6::DOUBLE) * coalesce(i, x)) * 100000 + 0.5) / 100000 AS score FROM b)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 8""")
+def topk_blended(spark, d):
+    """Text and speech in one space, images in another where a chunk has one."""
+    part = lambda c, i: F.slice(c, i, 32)
+    q = asked(spark, d).select("video_id", "query_id", part(F.col("q_vec"), 1).alias("q_text"), part(F.col("q_vec"), 33).alias("q_image"))
+    c = chunks(spark, d).select("video_id", "chunk_id", part(F.col("v_dynamic"), 1).alias("text"), part(F.col("v_dynamic"), 17).alias("speech"), F.when(F.col("chunk_id") % 3 > 0, part(F.col("v_dynamic"), 33)).alias("image"))
+    channels = (("q_text", "text"), ("q_text", "speech"), ("q_image", "image"))
+    top = retrieval.nearest(q, c, "video_id", ["query_id"], 8, channels, lambda t, a, i: retrieval.blended(t, a, i, 0.3, 0.6, 5))
+    return top.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))

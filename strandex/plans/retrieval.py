@@ -70,11 +70,6 @@ def rerank_rag(samples: DataFrame, chunks: DataFrame, embed: Callable[[Column],
     return retrieval.top_k(second, [KEY], final, score="rerank_score").select(KEY, "chunk_id", "score", "rerank_score", "rank")
 
 
-def blended(text_score: Column, asr_score: Column, weight: float) -> Column:
-    """Text and speech scores."""
-    return (1 - weight) * text_score + weight * F.coalesce(asr_score, text_score)
-
-
 def timeline(samples: DataFrame, chunks: DataFrame, seen: DataFrame | None, k: int) -> DataFrame:
     """Chunks spread evenly over each question's video, those already seen left out first."""
     rows = samples.select(KEY, "video_id").join(chunks, "video_id")
