@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_url_filter": urls.op10_url_filter,
     "op11_collocations": collocations.op11_collocations,
+    "quality_base_columns": quality.quality_base_columns,
+    "url_rules": urls.url_rules,
     "op12_document_fingerprints": fingerprints.op12_document_fingerprints,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
@@ -24,5 +26,7 @@ ORACLES = {
     "op1_preference_format": preference.SQL,
     "op8_embedding_near_dedup": embeddings.SQL,
     "op11_collocations": collocations.SQL,
+    "quality_base_columns": quality.SQL,
+    "url_rules": urls.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }

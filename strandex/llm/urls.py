@@ -179,3 +179,20 @@ def filter_urls(pages: DataFrame, labelled: list[tuple[str, int]] | DataFrame, r
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), list(LABELLED_URLS))
 
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """What op10's rules alone say of each url."""
+    found = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"))
+    return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
+
+
+#: Of url_rules; the verdict on other urls is learned.
+SQL = r"""
+WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules AS (SELECT unnest(['com/', 'example.com/en/', 'www.example.com/en/', 'net/es/', 'net/fr/']) AS rule, unnest(['allow', 'block', 'allow', 'block', 'block']) AS said),
+fit AS (SELECT page_id, rule, said FROM p, rules WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, rule[instr(rule, '/'):]) QUALIFY row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rule) DESC) = 1)
+SELECT page_id, host, path, rule, said AS by_rule FROM p LEFT JOIN fit USING (page_id)
+"""

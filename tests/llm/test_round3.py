@@ -15,7 +15,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from strandex.llm import collocations, filter_audit, fingerprints, lines, mixing
+from strandex.llm import collocations, filter_audit, fingerprints, lines, mixing, quality, urls
 from strandex.llm.common import KeyFilter
 
 SMALL = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def frame(spark, rows):
 
 def same_as_sql(got, sql):
     names = sql
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "pages"):
         names = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 '{SMALL}/{t}.parquet'", names)
     want = duckdb.sql(names).df()
     got = got.toPandas()
@@ -421,3 +421,12 @@ def test_mixing_columns(spark, tmp_path):
     for i, t, *_ in rows:
         if r := got.get(i):
             assert ((r.source, r.lang, r.topic), r.n_tokens) == (cell[i], len(WORDS.findall(t or ""))) and abs(r.weight - w[cell[i]]) < 1e-6 and abs(r.probability - p[i]) < 1e-6
+
+
+# --- 9, 10: what isn't learned ------------------------------------------------------------------------------------
+
+
+def test_base_columns_and_rules_sql(spark):
+    same_as_sql(quality.quality_base_columns(spark, SMALL), quality.SQL)
+    rows = urls.url_rules(spark, SMALL)
+    same_as_sql(rows.na.fill("-"), f"SELECT page_id, host, path, coalesce(rule, '-') AS rule, coalesce(by_rule, '-') AS by_rule FROM ({urls.SQL})")
