@@ -80,13 +80,6 @@ def nearest(spark, d, k, where="true", **more):
     return top.select("video_id", "query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def scores(spark, d):
-    """A row a pair: for what looks at all pairs of a video."""
-    s = retrieval.scored(asked(spark, d), chunks(spark, d), "video_id")
-    half = lambda c: F.slice(c, 1, 32)
-    return s.withColumn("half", F.round(vector.dot(half(F.col("q_vec")), half(F.col("v_dynamic"))), 6)).select("query_id", "chunk_id", "score", "half")
-
-
 @query(f"WITH {SCORED} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM s) WHERE rank <= 8")
 def topk_cosine(spark, d):
     return nearest(spark, d, 8).drop("video_id")
@@ -133,18 +126,23 @@ def in_windows(spark, d):
     return retrieval.in_best_windows(asked(spark, d), w, c, "video_id", "query_id", 2).select("query_id", "chunk_id")
 
 
+def in_window_scores(spark, d):
+    pairs = in_windows(spark, d).join(asked(spark, d), "query_id").join(chunks(spark, d).select("chunk_id", "v_dynamic"), "chunk_id")
+    return pairs.select("query_id", "chunk_id", F.round(vector.dot(F.col("q_vec"), F.col("v_dynamic")), 6).alias("score"))
+
+
 @query(f"{COARSE} SELECT query_id, chunk_id, score, rank FROM (SELECT *, {TOP8} AS rank FROM s WHERE in_window) WHERE rank <= 8")
 def coarse_to_fine_strict(spark, d):
-    inside = in_windows(spark, d).join(asked(spark, d), "query_id").join(chunks(spark, d).select("chunk_id", "v_dynamic"), "chunk_id")
-    s = inside.withColumn("score", F.round(vector.dot(F.col("q_vec"), F.col("v_dynamic")), 6))
-    return retrieval.top_k(s, ["query_id"], 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return retrieval.top_k(in_window_scores(spark, d), ["query_id"], 8).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"{COARSE}, t AS (SELECT *, round(score, 1) + 0.0 AS tied FROM s) SELECT query_id, chunk_id, tied AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tied DESC, NOT in_window, chunk_id) AS rank FROM t) WHERE rank <= 8")
 def coarse_to_fine_compat(spark, d):
-    """Windows only break ties."""
-    s = scores(spark, d).join(in_windows(spark, d).withColumn("_in", F.lit(0)), ["query_id", "chunk_id"], "left").withColumn("_in", F.coalesce("_in", F.lit(1))).withColumn("score", F.round("score", 1) + 0.0)
-    return retrieval.top_k(s, ["query_id"], 8, ties=("_in", "chunk_id")).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+    """Windows only break ties. What isn't in a window can only be among the best as one of the best by score and id, so no other pair is made."""
+    inside = in_window_scores(spark, d).withColumn("score", F.round("score", 1) + 0.0)
+    top = nearest(spark, d, 8, combine=lambda s: retrieval.half_up(s, 1)).select("query_id", "chunk_id", "score")
+    both = inside.withColumn("_in", F.lit(0)).unionByName(top.join(inside, ["query_id", "chunk_id"], "left_anti").withColumn("_in", F.lit(1)))
+    return retrieval.top_k(both, ["query_id"], 8, ties=("_in", "chunk_id")).select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"""WITH {SCORED}, t AS (SELECT *, {TOP8} AS rank FROM s), k AS (SELECT query_id, chunk_id, rank, (SELECT label FROM embeddings e WHERE e.vec_id = query_id) AS video_id FROM t WHERE rank <= 8)

@@ -232,6 +232,23 @@ def bank(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     return {"file": bank_files, "lines": lambda s, p: bank_files(s, p, True), "legacy": legacy_banks, "pyramid": pyramid_banks}[kind](spark, path)
 
 
+#: Folders of frames below a video's, the one to prefer and the one of older banks; names of frames by chunk, and in pyramids (fixed values).
+FRAME_FOLDERS, FRAME_NAMES = ("keyframes_origin", "frames"), (r"^(\d{4,})_.*\.jpg$", r"^c(\d{5,})_f.*\.jpg$")
+
+
+def frame_files(spark: SparkSession, folder: str, preferred: str = FRAME_FOLDERS[0]) -> DataFrame:
+    """video_id, chunk_id and path of every frame below {folder}/{video}/{preferred}, or the older folder where a video lacks that one. A chunk's frames are
+    named by its number; only where it has none do names as pyramids give them count. Contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(folder).select("path")
+    part = lambda i: F.element_at(F.split("path", "/"), -i)
+    rows = found.select("path", part(3).alias("video_id"), part(2).alias("_folder"), part(1).alias("_name")).where(F.col("_folder").isin(preferred, FRAME_FOLDERS[1]))
+    number = [F.nullif(F.regexp_extract("_name", n, 1), F.lit("")).cast("bigint") for n in FRAME_NAMES]
+    rows = rows.withColumns({"chunk_id": F.coalesce(*number), "_scheme": F.when(number[0].isNotNull(), 0).otherwise(1), "_older": (F.col("_folder") != preferred).cast("int")}).where("chunk_id is not null")
+    least = lambda column, *by: F.min(column).over(sequence.Window.partitionBy(*by))
+    rows = rows.where(F.col("path").isNotNull()).withColumn("_first", least("_older", "video_id")).where("_older = _first").withColumn("_first", least("_scheme", "video_id", "chunk_id")).where("_scheme = _first")
+    return rows.select("video_id", "chunk_id", "path")
+
+
 def keyframes(chunks: DataFrame, frames: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
     """The path of each chunk's keyframe: from frames (video_id, chunk_id, path), else from a fallback of the same columns."""
     out = chunks.join(frames.withColumnRenamed("path", "_a"), ["video_id", "chunk_id"], "left")

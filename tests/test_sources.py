@@ -140,6 +140,14 @@ def test_results_append(spark, tmp_path):
     assert [(r.frame_idx, r.ts) for r in timed] == [(0, 0.0), (1, 0.5)]
 
 
+def test_frame_files(spark, tmp_path):
+    for p in ("v/keyframes_origin/0003_a.jpg", "v/keyframes_origin/0003_b.jpg", "v/keyframes_origin/c00003_f00.jpg", "v/keyframes_origin/c00004_f01.jpg", "v/frames/0009_a.jpg", "w/frames/0009_a.jpg", "w/frames/notes.jpg", "w/other/0001_a.jpg"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(b"0")
+    got = sorted((r.video_id, r.chunk_id, r.path.rsplit("/", 1)[1]) for r in readers.frame_files(spark, str(tmp_path)).collect())
+    assert got == [("v", 3, "0003_a.jpg"), ("v", 3, "0003_b.jpg"), ("v", 4, "c00004_f01.jpg"), ("w", 9, "0009_a.jpg")]
+
+
 def test_legacy_bank(spark, tmp_path):
     d = tmp_path / "vid"
     d.mkdir()
