@@ -1,5 +1,5 @@
-"""What models are asked and how their replies are read, as Column functions: planner, verifier and the analysis of what is missing. Wording of the system
-texts is free; what is pinned is how parts are put together, cut and read."""
+"""What models are asked and how their replies are read, as Column functions: planner, verifier and the analysis of what is missing. Wording is free; what is
+pinned is which parts there are, in what order, how they are cut and how replies are read."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ STATUSES = ("verified", "excluded", "unclear", "conflicting")
 
 
 def rubric_lines(criteria: Column, rule: Column, threshold: Column, long: bool = False) -> Column:
-    """A rubric for a prompt. criteria: array<struct<name, description, score_1, score_half, score_0, weight>>; a weight shows where it isn't 1. The long
+    """A rubric for a prompt, in one of two layouts (fixed formats). criteria: array<struct<name, description, score_1, score_half, score_0, weight>>; a weight shows where it isn't 1. The long
     layout has a line a score."""
     weight = lambda c: F.when(F.coalesce(c.weight, F.lit(1.0)) != 1, F.concat(F.lit(" [weight="), c.weight.cast("string"), F.lit("]"))).otherwise("")
     if long:
@@ -37,7 +37,7 @@ def verifier_prompt(question: Column, candidates: Column, evidence: Column, rubr
     """Question, options, the rubric if there is one, and the numbered evidence, a blank line between."""
     parts = [F.concat(F.lit("Question: "), question), F.concat(F.lit("Options:\n"), text.option_lines(candidates))]
     parts += [] if rubric is None else [F.concat(F.lit("Rubric:\n"), rubric)]
-    parts += [F.concat(F.lit("Evidence Chain:\n"), text.numbered(evidence, "(no evidence retrieved yet)")), F.lit("Return the JSON now.")]
+    parts += [F.concat(F.lit("Evidence, in order:\n"), text.numbered(evidence, "(nothing found so far)")), F.lit("Give the verdict as JSON.")]
     return F.concat_ws("\n\n", *parts)
 
 
@@ -54,26 +54,26 @@ def holistic_verdict(reply: Column) -> Column:
 def repair_context(weak: Column, unknown: Column, missing: Column, by_rubric: bool = True) -> Column:
     """What a verdict tells the planner; without a rubric only what is missing."""
     shown = F.trim(F.coalesce(missing, F.lit("")))
-    gap = F.when(shown != "", F.concat(F.lit("Missing evidence analysis: "), shown))
+    gap = F.when(shown != "", F.concat(F.lit("What is missing: "), shown))
     if not by_rubric:
         return F.coalesce(gap, F.lit(""))
     listed = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(name), F.array_join(c, ", ")))
-    return F.concat_ws("\n", listed("Weak rubric criteria: ", weak), listed("Unresolved options: ", unknown), gap)
+    return F.concat_ws("\n", listed("Weak criteria: ", weak), listed("Open options: ", unknown), gap)
 
 
 def planner_prompt(question: Column, candidates: Column, history: Column, evidence: Column, missing: Column, sample: int = 5, most: int = 200) -> Column:
     """history: array<array<string>>, the queries of each round, none for a broadcast. Of the evidence its times and the beginnings of the first texts."""
-    tried = F.transform(history, lambda q: F.when(F.size(q) > 0, F.concat(F.lit("  "), F.array_join(F.transform(q, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " | "))).otherwise("  [broadcast]"))
+    tried = F.transform(history, lambda q: F.when(F.size(q) > 0, F.concat(F.lit("  "), F.array_join(F.transform(q, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " | "))).otherwise("  [spread]"))
     covered = text.covered_ranges(evidence)
     first = F.transform(F.slice(evidence, 1, sample), lambda t, i: F.concat(F.lit("  [E"), (i + 1).cast("string"), F.lit("] "), F.substring(t, 1, most)))
     gap = F.coalesce(missing, F.lit(""))
     return F.concat_ws(
         "\n\n",
         F.concat(F.lit("Question: "), question), F.concat(F.lit("Options:\n"), text.option_lines(candidates)),
-        F.when(F.size(history) > 0, F.concat(F.lit("Already tried (do NOT repeat):\n"), F.array_join(tried, "\n"))),
-        F.when(covered != "", F.concat(F.lit("Evidence covers video segments: "), covered)),
-        F.when(F.size(evidence) > 0, F.concat(F.lit("Current evidence (sample):\n"), F.array_join(first, "\n"))),
-        F.when(gap != "", F.concat(F.lit("Still missing: "), gap)), F.lit("Output the retrieval strategy JSON now."),
+        F.when(F.size(history) > 0, F.concat(F.lit("Asked before:\n"), F.array_join(tried, "\n"))),
+        F.when(covered != "", F.concat(F.lit("Times seen: "), covered)),
+        F.when(F.size(evidence) > 0, F.concat(F.lit("Evidence so far, in part:\n"), F.array_join(first, "\n"))),
+        F.when(gap != "", F.concat(F.lit("Open: "), gap)), F.lit("Give the next plan as JSON."),
     )
 
 
@@ -82,8 +82,8 @@ def missing_fact_prompt(question: Column, candidates: Column, evidence: Column,
     named = lambda letter_, none: F.coalesce(F.nullif(text.option_text(F.coalesce(letter_, F.lit("")), candidates), F.lit("")), F.lit(none))
     cut = F.transform(evidence, lambda t, i: F.concat(F.lit("  [E"), (i + 1).cast("string"), F.lit("] "), F.substring(t, 1, most)))
     return F.concat(
-        F.lit("Question: "), question, F.lit("\nOptions:\n"), text.option_lines(candidates), F.lit("\n\nEvidence:\n"), F.array_join(cut, "\n"), F.lit("\n\nCorrect answer: ("), gold, F.lit(") "), named(gold, "?"),
-        F.lit("\nModel predicted: ("), F.coalesce(said, F.lit("?")), F.lit(") "), named(said, "unknown"), F.lit("\n\nWhat does the evidence lack to support the correct answer?"),
+        F.lit("Question: "), question, F.lit("\nOptions:\n"), text.option_lines(candidates), F.lit("\n\nEvidence:\n"), F.array_join(cut, "\n"), F.lit("\n\nRight: ("), gold, F.lit(") "), named(gold, "?"),
+        F.lit("\nSaid: ("), F.coalesce(said, F.lit("?")), F.lit(") "), named(said, "unknown"), F.lit("\n\nWhat does the evidence lack to support the correct answer?"),
     )
 
 

@@ -119,8 +119,8 @@ def talks(spark, d):
     return t.withColumn("c", F.slice("u", 1, 3)).withColumn("question", F.coalesce(F.get("u", F.lit(0)), F.lit("")))
 
 
-@query(f"""WITH {TALK} SELECT conv_id, 'Question: ' || coalesce(u[1], '') || chr(10) || 'Options:' || chr(10) || opts || chr(10) || chr(10) || 'Evidence:' || chr(10) || array_to_string(list_transform(e, lambda x, i: '  [E' || i || '] ' || x[1:250]), chr(10)) || chr(10) || chr(10) || 'Correct answer: (' || chr((65 + n % 3)::INT) || ') '
-|| coalesce(nullif(c[1 + n % 3], ''), '?') || chr(10) || 'Model predicted: (' || CASE WHEN n % 2 = 0 THEN '?' ELSE 'A' END || ') ' || CASE WHEN n % 2 = 0 THEN 'unknown' ELSE coalesce(nullif(c[1], ''), 'unknown') END || chr(10) || chr(10) || 'What does the evidence lack to support the correct answer?' AS prompt,
+@query(f"""WITH {TALK} SELECT conv_id, 'Question: ' || coalesce(u[1], '') || chr(10) || 'Options:' || chr(10) || opts || chr(10) || chr(10) || 'Evidence:' || chr(10) || array_to_string(list_transform(e, lambda x, i: '  [E' || i || '] ' || x[1:250]), chr(10)) || chr(10) || chr(10) || 'Right: (' || chr((65 + n % 3)::INT) || ') '
+|| coalesce(nullif(c[1 + n % 3], ''), '?') || chr(10) || 'Said: (' || CASE WHEN n % 2 = 0 THEN '?' ELSE 'A' END || ') ' || CASE WHEN n % 2 = 0 THEN 'unknown' ELSE coalesce(nullif(c[1], ''), 'unknown') END || chr(10) || chr(10) || 'What does the evidence lack to support the correct answer?' AS prompt,
 CASE WHEN n % 2 = 0 AND coalesce(e[1], '') <> '' THEN e[1] ELSE (CASE WHEN n % 2 = 0 THEN '{{"description":""}}' ELSE 'no braces: ' || coalesce(u[1], '') END)[1:200] END AS missing FROM t""")
 def missing_facts(spark, d):
     """Prompts about whole evidence, each text cut where the prompt cuts it, and replies with and without JSON."""
@@ -132,10 +132,10 @@ def missing_facts(spark, d):
 
 @query(f"""WITH {TALK}, r AS (SELECT conv_id, list_sort(list_distinct(list((turn * 10, turn * 10 + 9)))) AS r FROM conversations WHERE role = 'assistant' GROUP BY 1),
 p AS (SELECT *, CASE WHEN n % 4 = 0 THEN '' ELSE 'turn ' || n END AS gap, array_to_string(list_transform(r, lambda x: printf('%d:%02d', x[1] // 60, x[1] % 60) || '-' || printf('%d:%02d', x[2] // 60, x[2] % 60)), ', ') AS covered FROM t LEFT JOIN r USING (conv_id))
-SELECT conv_id, 'Question: ' || coalesce(u[1], '') || repeat(chr(10), 2) || 'Options:' || chr(10) || opts || repeat(chr(10), 2) || 'Already tried (do NOT repeat):' || chr(10) || CASE WHEN len(u) > 0 THEN '  "' || array_to_string(u, '" | "') || '"' ELSE '  [broadcast]' END || chr(10) || '  [broadcast]'
-|| CASE WHEN len(e) > 0 THEN repeat(chr(10), 2) || 'Evidence covers video segments: ' || covered || repeat(chr(10), 2) || 'Current evidence (sample):' || chr(10) || array_to_string(list_transform(e[1:5], lambda x, i: '  [E' || i || '] ' || x[1:200]), chr(10)) ELSE '' END
-|| CASE WHEN gap <> '' THEN repeat(chr(10), 2) || 'Still missing: ' || gap ELSE '' END || repeat(chr(10), 2) || 'Output the retrieval strategy JSON now.' AS prompt,
-array_to_string(list_filter([CASE WHEN n % 3 > 0 THEN 'Weak rubric criteria: coverage' || CASE WHEN n % 3 = 2 THEN ', order' ELSE '' END END, CASE WHEN n % 2 = 0 THEN 'Unresolved options: A, C' END, CASE WHEN gap <> '' THEN 'Missing evidence analysis: ' || gap END], lambda x: x IS NOT NULL), chr(10)) AS context FROM p""")
+SELECT conv_id, 'Question: ' || coalesce(u[1], '') || repeat(chr(10), 2) || 'Options:' || chr(10) || opts || repeat(chr(10), 2) || 'Asked before:' || chr(10) || CASE WHEN len(u) > 0 THEN '  "' || array_to_string(u, '" | "') || '"' ELSE '  [spread]' END || chr(10) || '  [spread]'
+|| CASE WHEN len(e) > 0 THEN repeat(chr(10), 2) || 'Times seen: ' || covered || repeat(chr(10), 2) || 'Evidence so far, in part:' || chr(10) || array_to_string(list_transform(e[1:5], lambda x, i: '  [E' || i || '] ' || x[1:200]), chr(10)) ELSE '' END
+|| CASE WHEN gap <> '' THEN repeat(chr(10), 2) || 'Open: ' || gap ELSE '' END || repeat(chr(10), 2) || 'Give the next plan as JSON.' AS prompt,
+array_to_string(list_filter([CASE WHEN n % 3 > 0 THEN 'Weak criteria: coverage' || CASE WHEN n % 3 = 2 THEN ', order' ELSE '' END END, CASE WHEN n % 2 = 0 THEN 'Open options: A, C' END, CASE WHEN gap <> '' THEN 'What is missing: ' || gap END], lambda x: x IS NOT NULL), chr(10)) AS context FROM p""")
 def planner_prompts(spark, d):
     t = talks(spark, d).withColumn("gap", F.when(F.col("n") % 4 == 0, "").otherwise(F.concat(F.lit("turn "), F.col("n").cast("string"))))
     none = F.expr("cast(array() as array<string>)")

@@ -161,8 +161,8 @@ def test_rubric_lines_and_verifier_prompt(spark):
     assert df.select(prompts.rubric_lines(*args).alias("r")).first().r == "  Criterion [a] : da (1=x; 0.5=y; 0=z)\n  Criterion [b]  [weight=2.0]: db (1=p; 0.5=q; 0=r)\n  Scoring: average of criteria; sufficient if score >= 0.75"
     assert df.select(prompts.rubric_lines(*args, long=True).alias("r")).first().r == "### Rubric Criteria  (scoring: average of scores; sufficient if score ≥ 0.75)\n  [a]   da\n    1.0 → x\n    0.5 → y\n    0.0 → z\n  [b]  [weight=2.0]  db\n    1.0 → p\n    0.5 → q\n    0.0 → r"
     p = one(spark, prompts.verifier_prompt(F.lit("q?"), F.array(F.lit("x")), F.expr("cast(array() as array<string>)"), F.lit("R")))
-    assert p == "Question: q?\n\nOptions:\n  (A) x\n\nRubric:\nR\n\nEvidence Chain:\n(no evidence retrieved yet)\n\nReturn the JSON now."
-    assert one(spark, prompts.repair_context(F.array(F.lit("c")), F.array(F.lit("A")), F.lit(" m "), by_rubric=False)) == "Missing evidence analysis: m"
+    assert p == "Question: q?\n\nOptions:\n  (A) x\n\nRubric:\nR\n\nEvidence, in order:\n(nothing found so far)\n\nGive the verdict as JSON."
+    assert one(spark, prompts.repair_context(F.array(F.lit("c")), F.array(F.lit("A")), F.lit(" m "), by_rubric=False)) == "What is missing: m"
     assert set(prompts.VERIFIER) == {"strict", "loose", "plain", "attributed", "status"}
 
 
