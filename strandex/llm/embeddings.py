@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandex.llm.common import Scratch, components, roots, table, tidy
+from strandex.llm.common import Scratch, components, roots, small_batches, table, tidy
 
 SAMPLE, CELL, BLOCK, ROUNDS = 20_000, 512, 1024, 8
+#: Vectors that a task holds against the centroids at once, and rows of visits, each with its vector, that it hands on at once.
+HELD, HANDED = 512, 4096
+#: Rows of a block that are held against the other block at once.
+STRIP = 128
 #: Cells whose sizes are broadcast at most; those of more are joined.
 MOST_BLOCKS = 100_000
 
@@ -80,7 +84,7 @@ def visits(cells: dict, threshold: float):
     reach = np.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, HELD) for b in batches for i in range(0, b.num_rows, HELD)):
             rep, label, dim, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
             raw = batch.column(3)
             rows, cell, owner = [], [], []
@@ -100,12 +104,23 @@ def visits(cells: dict, threshold: float):
                 rows.append(at[i]), cell.append(j), owner.append(j == own[i])
             if not rows:
                 continue
-            at = np.concatenate(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(label[at]), pa.array(dim[at]), raw.take(pa.array(at)), pa.array(n[at]), pa.array(np.concatenate(cell)), pa.array(np.concatenate(owner))], names=["rep", "label", "dim", "v", "n", "cell", "owner"])
+            visitors, cell, owner = (np.concatenate(x) for x in (rows, cell, owner))
+            for k in range(0, len(visitors), HANDED):
+                s = slice(k, k + HANDED)
+                at = visitors[s]
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(label[at]), pa.array(dim[at]), raw.take(pa.array(at)), pa.array(n[at]), pa.array(cell[s]), pa.array(owner[s])], names=["rep", "label", "dim", "v", "n", "cell", "owner"])
 
     return run
 
 
+def star(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links a-b as a star a group: (nodes in order, places of those that aren't their group's smallest, places of these)."""
+    nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = roots(len(nodes), ids[: len(a)], ids[len(a) :])
+    leaf = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes, leaf, root[leaf]
+
+
 PARTNERS = "rep bigint, links bigint, other bigint"
 
 
@@ -118,17 +133,20 @@ def block_product(threshold: float):
         n = rows.column("n").to_numpy()
         x = unit(np.frombuffer(b"".join(rows.column("v").to_pylist()), np.float64).reshape(len(rep), -1))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        hit = x[b] @ x[a].T >= threshold
-        hit &= rep[b][:, None] != rep[a][None, :]
-        links = hit.astype(np.int64) @ n[a]
+        links, u, v = np.zeros(len(b), np.int64), [], []
+        for k in range(0, len(b), STRIP):  # a strip's pairs go as soon as they are a star a group
+            part = b[k : k + STRIP]
+            hit = x[part] @ x[a].T >= threshold
+            hit &= rep[part][:, None] != rep[a][None, :]
+            links[k : k + STRIP] = hit.astype(np.int64) @ n[a]
+            i, j = np.nonzero(hit)
+            known, one, other = star(rep[part[i]], rep[a[j]])
+            u.append(known[one]), v.append(known[other])
         some = np.flatnonzero(links)
         if not len(some):
             return pa.Table.from_pydict({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        i, j = np.nonzero(hit)
-        nodes, ids = np.unique(np.concatenate([rep[b[i]], rep[a[j]]]), return_inverse=True)
-        root = roots(len(nodes), ids[: len(i)], ids[len(i) :])
-        star = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.Table.from_pydict({"rep": pa.array(np.concatenate([rep[b[some]], nodes[star]])), "links": pa.array(np.concatenate([links[some], np.zeros(len(star), np.int64)])), "other": pa.array(np.concatenate([rep[b[some]], nodes[root[star]]]))})
+        nodes, leaf, root = star(np.concatenate(u), np.concatenate(v))
+        return pa.Table.from_pydict({"rep": pa.array(np.concatenate([rep[b[some]], nodes[leaf]])), "links": pa.array(np.concatenate([links[some], np.zeros(len(leaf), np.int64)])), "other": pa.array(np.concatenate([rep[b[some]], nodes[root]]))})
 
     return run
 
@@ -136,6 +154,7 @@ def block_product(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """key, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "embeddings")
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("bigint").alias("label"), F.col(vector).cast("array<double>").alias("a"))
     good = rows.where(usable(F.col("a")) & F.col("label").isNotNull() & F.col("id").isNotNull())
