@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandex.scratch import released, small_batches
+
 DIGITS = 6
 #: Rows of a block.
 QUERIES, CHUNKS = 256, 1024
@@ -79,6 +81,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, by: str, query: list[str], k:
 
     channels: pairs of a query's and a chunk's vector columns; combine makes one score of their rounded products, matrices of queries by chunks
     (the first alone without it). Chunks whose score isn't known come last, with a null score."""
+    small_batches(queries.sparkSession)
     mine, theirs = [q for q, _ in dict.fromkeys(channels)], list(dict.fromkeys(c for _, c in channels))
     mine = list(dict.fromkeys(mine))
     q, _ = dealt(queries.select(by, *query, *mine), by, query, QUERIES)
@@ -103,7 +106,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, by: str, query: list[str], k:
                 )
 
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
-    out = asked.join(packed, [by, "_block"]).select(by, "_q", "_c").mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in (by, *query, item)) + f", `{score}` double")
+    out = asked.join(packed, [by, "_block"]).select(by, "_q", "_c").mapInArrow(released(run), ", ".join(f"`{n}` {kinds[n]}" for n in (by, *query, item)) + f", `{score}` double")
     return top_k(out, query, k, score, (item,), rank)
 
 

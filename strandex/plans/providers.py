@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.functions.vector import tokens
+from strandex.scratch import released
 
 
 class HashEmbedder:
     """Counts of a text's tokens by hash, scaled to unit length. Tokens run between white space, lower-case, each occurrence once. Like a model it sees
-    batches of texts; it remembers the places of up to MOST tokens."""
+    batches of texts; it remembers the places of up to MOST tokens, and gives its memory back when a task ends."""
 
-    MOST = 1 << 20
+    MOST = 1 << 16
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -47,8 +48,11 @@ class HashEmbedder:
                 counts = np.bincount(np.array(at, np.int64), minlength=dim).astype(float)
                 return counts / (np.sqrt(counts @ counts) + 1e-12)
 
-            for texts in parts:
-                yield pd.Series([vector(t) for t in texts], dtype=object)
+            def vectors(parts):
+                for texts in parts:
+                    yield pd.Series([vector(t) for t in texts], dtype=object)
+
+            return released(vectors)(parts)
 
         return run(F.lower(text))
 
